@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,6 +40,12 @@ def map_slices(df: DataFrame, fn: Callable[..., dict], schema: str, *, rows: int
     return df.mapInArrow(run, schema)
 
 
+def shared_value(spark: SparkSession, value: object) -> Callable[[], object]:
+    """Broadcasts ``value``, whose size the caller has bounded; the function returned gives it to a worker, as ``setup`` of ``map_slices``."""
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: cloudpickle.loads(sent.value)
+
+
 def raw_bytes(column: pa.Array) -> list[bytes | None]:
     """UTF-8 bytes of a string column, None for null."""
     return column.cast(pa.binary()).to_pylist()

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from lumenaudit.llm import quality_rules
+from lumenaudit.llm import decontaminate, quality_rules
 
-QUERIES = {"op1_quality_rules": quality_rules.query}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    "op1_quality_rules": quality_rules.query,
+    "op5_benchmark_decontamination": decontaminate.query,
+}
+ORACLES: dict[str, str] = {"op5_benchmark_decontamination": decontaminate.SQL}
