@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from lumenaudit.llm import decontaminate, quality_rules, sharding
+from lumenaudit.llm import bpe, decontaminate, quality_rules, sharding
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
     "op5_benchmark_decontamination": decontaminate.query,
+    "op6_bpe_roundtrip": bpe.query,
     "op9_vector_sharding": sharding.query,
 }
 ORACLES: dict[str, str] = {"op5_benchmark_decontamination": decontaminate.SQL}
