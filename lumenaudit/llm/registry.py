@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from lumenaudit.llm import bpe, decontaminate, quality_rules, sharding
+from lumenaudit.llm import bpe, decontaminate, quality_rules, sharding, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
+    "op4_warc_roundtrip": warc.query,
     "op5_benchmark_decontamination": decontaminate.query,
     "op6_bpe_roundtrip": bpe.query,
     "op9_vector_sharding": sharding.query,
 }
-ORACLES: dict[str, str] = {"op5_benchmark_decontamination": decontaminate.SQL}
+ORACLES: dict[str, str] = {"op4_warc_roundtrip": warc.SQL, "op5_benchmark_decontamination": decontaminate.SQL}
