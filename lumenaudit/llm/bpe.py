@@ -67,11 +67,13 @@ class Codec:
 
     def learn(self, words: Iterable[str]) -> None:
         """Encode the words that are not known yet, all at once."""
-        new = [w for w in dict.fromkeys(words) if w not in self.known]
+        distinct = dict.fromkeys(words)
+        new = [w for w in distinct if w not in self.known]
         if not new:
             return
         if len(self.known) + len(new) > KEPT_WORDS:
             self.known.clear()
+            new = list(distinct)
         byte_ids, merges = self.byte_ids, self.merges
         symbols: list[int] = []
         starts: list[int] = []
