@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from lumenaudit.llm import bpe, decontaminate, quality_rules, sharding, warc
+from lumenaudit.llm import bpe, decontaminate, importance, quality_rules, sharding, toxicity, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
+    "op3_ftrl_toxicity": toxicity.query,
     "op4_warc_roundtrip": warc.query,
     "op5_benchmark_decontamination": decontaminate.query,
     "op6_bpe_roundtrip": bpe.query,
     "op9_vector_sharding": sharding.query,
+    "op10_importance_resampling": importance.query,
 }
 ORACLES: dict[str, str] = {"op4_warc_roundtrip": warc.SQL, "op5_benchmark_decontamination": decontaminate.SQL}
