@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumenaudit.llm import bpe, decontaminate, importance, quality_rules, sharding, toxicity, warc
+from lumenaudit.llm import bpe, decontaminate, importance, pii, quality_rules, sharding, toxicity, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_warc_roundtrip": warc.query,
     "op5_benchmark_decontamination": decontaminate.query,
     "op6_bpe_roundtrip": bpe.query,
+    "op8_pii_bootstrap": pii.query,
     "op9_vector_sharding": sharding.query,
     "op10_importance_resampling": importance.query,
 }
