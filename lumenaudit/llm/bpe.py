@@ -21,7 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenaudit.llm.common import map_slices, shared_value
+from lumenaudit.llm.common import columns, map_slices, shared_value
 
 #: How byte-level vocabularies split text before merging (fixed by that format).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -159,31 +159,33 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _ddl(df: DataFrame, names: list[str]) -> str:
-    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names)
-
-
 def encode(docs: DataFrame, keep: list[str], *, path: str | None = None, rows: int = 128) -> DataFrame:
     """``keep`` columns and ``ids`` (array of int) of every row's text."""
 
+    keep, ddl = columns(docs, keep, "ids array<int>")
+
     def run(cols: dict, codec: Codec) -> dict:
         return {c: cols[c] for c in keep} | {"ids": codec.encode(cols["text"].to_pylist())}
 
-    return map_slices(docs.select(*dict.fromkeys([*keep, "text"])), run, f"{_ddl(docs, keep)}, ids array<int>", rows=rows, setup=codec_setup(docs.sparkSession, path or default_path()))
+    return map_slices(docs.select(*dict.fromkeys([*keep, "text"])), run, ddl, rows=rows, setup=codec_setup(docs.sparkSession, path or default_path()))
 
 
 def decode(coded: DataFrame, keep: list[str], *, path: str | None = None, rows: int = 128) -> DataFrame:
     """``keep`` columns and ``text``, decoded from ``ids`` (null: empty)."""
 
+    keep, ddl = columns(coded, keep, "text string")
+
     def run(cols: dict, codec: Codec) -> dict:
         return {c: cols[c] for c in keep} | {"text": [codec.decode(x or ()) for x in cols["ids"].to_pylist()]}
 
-    return map_slices(coded.select(*dict.fromkeys([*keep, "ids"])), run, f"{_ddl(coded, keep)}, text string", rows=rows, setup=codec_setup(coded.sparkSession, path or default_path()))
+    return map_slices(coded.select(*dict.fromkeys([*keep, "ids"])), run, ddl, rows=rows, setup=codec_setup(coded.sparkSession, path or default_path()))
 
 
 def digests(docs: DataFrame, keep: list[str], *, path: str | None = None, rows: int = 128) -> DataFrame:
     """``keep`` columns, ``n_tokens``, ``ids_sha256`` and ``decoded_sha256``: a round trip of every text in one pass."""
 
+    keep, ddl = columns(docs, keep, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+
     def run(cols: dict, codec: Codec) -> dict:
         ids = codec.encode(cols["text"].to_pylist())
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
@@ -191,7 +193,6 @@ def digests(docs: DataFrame, keep: list[str], *, path: str | None = None, rows:
             "n_tokens": pa.array(map(len, ids), pa.int64()), "ids_sha256": [sha(",".join(map(str, x))) for x in ids], "decoded_sha256": [sha(codec.decode(x)) for x in ids],
         }
 
-    ddl = f"{_ddl(docs, keep)}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     return map_slices(docs.select(*dict.fromkeys([*keep, "text"])), run, ddl, rows=rows, setup=codec_setup(docs.sparkSession, path or default_path()))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -75,6 +76,8 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # lets the cleaner drop the shuffle files that nothing needs now
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -88,3 +91,15 @@ def label_sample(labels: DataFrame, column: str, rows: int) -> DataFrame:
         .groupBy("doc_id").agg(F.min(column).cast("int").alias("label"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     )
+
+
+def columns(docs: DataFrame, keep: list[str], made: str) -> tuple[list[str], str]:
+    """The kept columns and the schema of an operator's output ``made``: a kept column that an output column is named like gives way to it."""
+    names = {f.split()[0].strip("`") for f in made.split(", ")}
+    keep = [c for c in keep if c not in names]
+    return keep, "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep) + made
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``text`` and whole rows as ``__row``, so that no column of theirs clashes with an operator's."""
+    return docs.select("doc_id", "text", F.struct("*").alias("__row"))

@@ -19,12 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenaudit.llm.common import map_slices, raw_bytes, shared_value, written
+from lumenaudit.llm.common import columns, map_slices, packed, raw_bytes, shared_value, written
 
 WIDTH = 13
 #: Upper-case ASCII letters to lower case; other ASCII but letters and digits to blanks.
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 FILTER_BITS = 22
+MADE = "n_words long, hits array<int>, items array<long>"
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -115,29 +116,29 @@ def blocks(benchmark: DataFrame, most_bytes: int) -> list[DataFrame]:
 def scan(docs: DataFrame, benchmark: DataFrame, keep: list[str], *, width: int = WIDTH, most_bytes: int = 16 << 20) -> DataFrame:
     """``keep`` columns, ``n_words``, ``hits`` (positions of hit words) and ``items`` of every row."""
     spark = docs.sparkSession
-    kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    keep = columns(docs, keep, MADE)[0]
 
-    def block(rows: DataFrame, found: DataFrame, columns: list[str], ddl: str) -> DataFrame:
+    def block(rows: DataFrame, found: DataFrame, names: list[str]) -> DataFrame:
         index = shared_value(spark, Windows([(r[0], r[1].encode()) for r in found.collect()], width))
 
         def find(cols: dict, windows: Windows) -> dict:
             got = scan_texts(raw_bytes(cols["text"]), windows)
-            return {c: cols[c] for c in columns} | {"n_words": [g[0] for g in got], "hits": [g[1] for g in got], "items": [g[2] for g in got]}
+            return {c: cols[c] for c in names} | {"n_words": [g[0] for g in got], "hits": [g[1] for g in got], "items": [g[2] for g in got]}
 
-        return map_slices(rows.select(*dict.fromkeys([*columns, "text"])), find, f"{ddl}, n_words long, hits array<int>, items array<long>", setup=index)
+        return map_slices(rows.select(*dict.fromkeys([*names, "text"])), find, columns(rows, names, MADE)[1], setup=index)
 
     cut = blocks(benchmark, most_bytes)
     if len(cut) == 1:
-        return block(docs, cut[0], keep, kept)
+        return block(docs, cut[0], keep)
     # each row carries a number of its own through the blocks, as doc_id may repeat
-    rows = docs.select(*dict.fromkeys([*keep, "text"])).withColumn("__row", F.monotonically_increasing_id())
+    rows = docs.select(*dict.fromkeys([*keep, "text"])).withColumn("__number", F.monotonically_increasing_id())
     rows = written(rows)
-    parts = [block(rows, b, ["__row"], "__row long") for b in cut]
+    parts = [block(rows, b, ["__number"]) for b in cut]
     union = parts[0]
     for p in parts[1:]:
         union = union.unionByName(p)
-    joined = union.groupBy("__row").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return rows.select("__row", *keep).join(joined, "__row").select(*keep, "n_words", "hits", "items")
+    joined = union.groupBy("__number").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    return rows.select("__number", *keep).join(joined, "__number").select(*keep, "n_words", "hits", "items")
 
 
 def contaminated(n_hit, n_words):
@@ -146,17 +147,16 @@ def contaminated(n_hit, n_words):
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, remove: str = "documents", **options) -> DataFrame:
     """All columns of ``docs`` without contamination: contaminated documents go, or with ``remove="spans"`` the hit words go from every text."""
-    got = scan(docs, benchmark, docs.columns, **options)
+    got = scan(packed(docs), benchmark, ["__row", "text"], **options)
     if remove == "documents":
-        n = F.size("hits")
-        return got.where(~contaminated(n, F.col("n_words"))).select(*docs.columns)
-    names = docs.columns
+        return got.where(~contaminated(F.size("hits"), F.col("n_words"))).select("__row.*")
 
     def cut(cols: dict) -> dict:
         texts = [None if t is None else without(t, h) for t, h in zip(raw_bytes(cols["text"]), cols["hits"].to_pylist(), strict=True)]
-        return {c: pa.array(texts, pa.binary()).cast(pa.string()) if c == "text" else cols[c] for c in names}
+        return {"__row": cols["__row"], "cut": pa.array(texts, pa.binary()).cast(pa.string())}
 
-    return map_slices(got.select(*names, "hits"), cut, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
+    rows = map_slices(got.select("__row", "text", "hits"), cut, columns(got, ["__row"], "cut string")[1])
+    return rows.select(*(F.col("cut").alias(c) if c == "text" else F.col("__row")[c].alias(c) for c in docs.columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

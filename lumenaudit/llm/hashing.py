@@ -45,3 +45,7 @@ def grams(codes: np.ndarray, owner: np.ndarray, gap: int, bits: int) -> tuple[np
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * C
     return (x ^ (x >> np.uint64(29))) * A
+
+
+def signed(x: np.ndarray) -> np.ndarray:
+    return x.view(np.int64)

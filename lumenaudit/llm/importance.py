@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenaudit.llm.common import label_sample, map_slices, raw_bytes, shared_value, written
+from lumenaudit.llm.common import columns, label_sample, map_slices, raw_bytes, shared_value, written
 from lumenaudit.llm.hashing import WordCodes, coded, grams
 
 BITS = 16
@@ -82,8 +82,8 @@ def weigh(docs: DataFrame, ratios: np.ndarray, keep: list[str], seed: int = 0) -
         rank = np.where(bits < 0, np.int64(-(2**63)) - bits - 1, bits)
         return {c: cols[c] for c in keep} | {"n_grams": pa.array(np.bincount(owner, minlength=len(texts)), pa.int64()), "log_weight": pa.array(w), "key": pa.array(key), "rank_key": pa.array(rank)}
 
-    kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return map_slices(docs.select(*dict.fromkeys([*keep, "doc_id", "text"])), run, f"{kept}, n_grams long, log_weight double, key double, rank_key long", setup=lambda: (WordCodes(), sent()))
+    keep, ddl = columns(docs, keep, "n_grams long, log_weight double, key double, rank_key long")
+    return map_slices(docs.select(*dict.fromkeys([*keep, "doc_id", "text"])), run, ddl, setup=lambda: (WordCodes(), sent()))
 
 
 def kth_largest(rows: DataFrame, column: str, k: int) -> int | None:

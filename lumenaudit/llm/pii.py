@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenaudit.llm.common import map_slices, shared_value, written
+from lumenaudit.llm.common import columns, map_slices, shared_value, written
 
 KINDS = ("email", "ip", "card", "phone", "id")
 ORDER = {k: n for n, k in enumerate(KINDS)}
@@ -192,7 +192,7 @@ def all_spans(text: str | None, patterns: set[str], last: set[str]) -> tuple[lis
 def find(docs: DataFrame, keep: list[str], patterns: list[str]) -> DataFrame:
     """``keep`` columns, ``base`` and ``spans`` (as ``kind:start:end``, comma-joined) of every row."""
     sent = shared_value(docs.sparkSession, (set(patterns), {p.split(" ")[-1] for p in patterns}))
-    kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    keep, ddl = columns(docs, keep, "base string, spans string, " + ", ".join(f"n_{k} long" for k in KINDS[:4]))
 
     def run(cols: dict, state: tuple) -> dict:
         got = [all_spans(t, *state) for t in cols["text"].to_pylist()]
@@ -200,7 +200,7 @@ def find(docs: DataFrame, keep: list[str], patterns: list[str]) -> DataFrame:
             f"n_{k}": pa.array([sum(s[0] == k for s in b) for b, _ in got], pa.int64()) for k in KINDS[:4]
         }
 
-    return map_slices(docs.select(*dict.fromkeys([*keep, "text"])), run, f"{kept}, base string, spans string, " + ", ".join(f"n_{k} long" for k in KINDS[:4]), setup=sent)
+    return map_slices(docs.select(*dict.fromkeys([*keep, "text"])), run, ddl, setup=sent)
 
 
 def masked(text: str, spans: list[Span]) -> str:

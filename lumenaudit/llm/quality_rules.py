@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenaudit.llm.common import label_sample, map_slices, raw_bytes
+from lumenaudit.llm.common import columns, label_sample, map_slices, packed, raw_bytes
 
 SYMBOLS = b"#*$%&|<>"
 SPACE = b" \t\n\x0b\x0c\r"
@@ -69,14 +69,14 @@ def statistics(text: bytes | None) -> tuple[int, ...]:
 def with_statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
     """``keep`` columns and the statistics of ``text``, for every row."""
     fields = [f.split()[0] for f in STATS.split(", ")]
-    kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    keep, ddl = columns(docs, keep, STATS)
 
     def stats(cols: dict) -> dict:
         rows = [statistics(t) for t in raw_bytes(cols["text"])]
         made = zip(*rows, strict=True) if rows else [[] for _ in fields]
         return {c: cols[c] for c in keep} | {f: pa.array(x, pa.int64()) for f, x in zip(fields, made, strict=True)}
 
-    return map_slices(docs.select(*dict.fromkeys([*keep, "text"])), stats, f"{kept}, {STATS}")
+    return map_slices(docs.select(*dict.fromkeys([*keep, "text"])), stats, ddl)
 
 
 @dataclass(frozen=True)
@@ -200,6 +200,11 @@ def classify(docs: DataFrame, rules: list[list[Test]], keep: list[str]) -> DataF
     return out.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """The rows that the rules learnt from ``labels`` keep, with all their columns."""
+    return classify(packed(docs), train(docs, labels, **options), ["__row"]).where("kept").select("__row.*")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     from lumenaudit.sources.tables import table
 

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from lumenaudit.llm import bpe, decontaminate, importance, pii, quality_rules, sharding, toxicity, warc
+from lumenaudit.llm import bpe, decontaminate, importance, jaccard_join, pii, quality_rules, sharding, suffix_dedup, toxicity, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
+    "op2_suffix_dedup": suffix_dedup.query,
     "op3_ftrl_toxicity": toxicity.query,
     "op4_warc_roundtrip": warc.query,
     "op5_benchmark_decontamination": decontaminate.query,
     "op6_bpe_roundtrip": bpe.query,
+    "op7_ngram_jaccard": jaccard_join.query,
     "op8_pii_bootstrap": pii.query,
     "op9_vector_sharding": sharding.query,
     "op10_importance_resampling": importance.query,

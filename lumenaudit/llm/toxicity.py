@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenaudit.llm.common import label_sample, map_slices, raw_bytes, shared_value
+from lumenaudit.llm.common import columns, label_sample, map_slices, raw_bytes, shared_value
 from lumenaudit.llm.decontaminate import words_of
 from lumenaudit.llm.hashing import WordCodes, coded, grams
 
@@ -120,8 +120,8 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float | None], k
             scores = 1 / (1 + np.exp(-np.clip(sums, -35, 35)))
         return {c: cols[c] for c in keep} | {"score": pa.array(scores, pa.float64())}
 
-    kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return map_slices(docs.select(*dict.fromkeys([*keep, "text"])), run, f"{kept}, score double", setup=table)
+    keep, ddl = columns(docs, keep, "score double")
+    return map_slices(docs.select(*dict.fromkeys([*keep, "text"])), run, ddl, setup=table)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
