@@ -113,30 +113,24 @@ def _covers(rule: list[Test], x: dict, n: int) -> np.ndarray:
     return out
 
 
-def _cuts(values: np.ndarray, most: int) -> np.ndarray:
-    distinct = np.unique(values)
-    if len(distinct) < 2:
-        return distinct[:0]
-    middle = (distinct[1:] + distinct[:-1]) / 2
-    return middle if len(middle) <= most else middle[np.linspace(0, len(middle) - 1, most).astype(int)]
-
-
-def _grow(x: dict, bad: np.ndarray, most_tests: int, cuts: int) -> list[Test]:
+def _grow(x: dict, bad: np.ndarray, most_tests: int, cost: float) -> list[Test]:
     rule: list[Test] = []
     on = np.ones(len(bad), bool)
     while len(rule) < most_tests and (on & ~bad).any():
         p0, n0 = int((on & bad).sum()), int((on & ~bad).sum())
-        base, best, best_gain = np.log2(p0 / (p0 + n0)) if p0 else 0.0, None, 1e-9
+        base, best, best_gain = np.log2(p0 / (p0 + cost * n0)) if p0 else 0.0, None, 1e-9
         for name, values in x.items():
             v, b = values[on], bad[on]
             order = np.argsort(v, kind="stable")
             v, pos = v[order], np.concatenate([[0], np.cumsum(b[order])])
-            for cut in _cuts(v, cuts):
-                k = int(np.searchsorted(v, cut, side="right"))
-                for above, p, n in ((False, pos[k], k - pos[k]), (True, pos[-1] - pos[k], len(v) - k - pos[-1] + pos[k])):
-                    gain = p * (np.log2(p / (p + n)) - base) if p else 0.0
-                    if gain > best_gain:
-                        best, best_gain = Test(name, above, float(cut)), gain
+            at = np.flatnonzero(v[1:] != v[:-1]) + 1  # a cut between each two neighbouring values
+            if not len(at):
+                continue
+            for above, p, n in ((False, pos[at], at - pos[at]), (True, pos[-1] - pos[at], len(v) - at - pos[-1] + pos[at])):
+                gain = np.where(p > 0, p * (np.log2(np.maximum(p, 1) / np.maximum(p + cost * n, 1)) - base), 0.0)
+                k = int(np.argmax(gain))
+                if gain[k] > best_gain:
+                    best, best_gain = Test(name, above, float(v[at[k] - 1] + v[at[k]]) / 2), float(gain[k])
         if best is None:
             break
         rule.append(best)
@@ -144,9 +138,9 @@ def _grow(x: dict, bad: np.ndarray, most_tests: int, cuts: int) -> list[Test]:
     return rule
 
 
-def learn_rules(stats: dict[str, np.ndarray], label: np.ndarray, *, most_rules: int = 12, most_tests: int = 4, least_precision: float = 0.97, least_covered: int = 3, cuts: int = 64) -> list[list[Test]]:
+def learn_rules(stats: dict[str, np.ndarray], label: np.ndarray, *, most_rules: int = 12, most_tests: int = 4, cost: float = 8.0, least_precision: float = 0.97, least_covered: int = 3) -> list[list[Test]]:
     """Rules that mark rows with label 0, in order. A rule counts if, on the rows held back for pruning, it covers ``least_covered``
-    low-quality rows and ``least_precision`` of what it covers is of low quality."""
+    low-quality rows and ``least_precision`` of what it covers is of low quality. cost: how many low-quality rows a good row weighs while a rule grows."""
     x, bad = _features(stats), label == 0
     fold = np.arange(len(bad)) % 3 == 2
     open_ = np.ones(len(bad), bool)
@@ -155,7 +149,7 @@ def learn_rules(stats: dict[str, np.ndarray], label: np.ndarray, *, most_rules:
         grow, prune = open_ & ~fold, open_ & fold
         if not (grow & bad).any() or not (prune & bad).any():
             break
-        rule = _grow({k: v[grow] for k, v in x.items()}, bad[grow], most_tests, cuts)
+        rule = _grow({k: v[grow] for k, v in x.items()}, bad[grow], most_tests, cost)
         px, pb = {k: v[prune] for k, v in x.items()}, bad[prune]
         worth = []
         for k in range(1, len(rule) + 1):

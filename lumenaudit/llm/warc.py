@@ -17,7 +17,9 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import count
 
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -123,22 +125,20 @@ def archive_pages(pages: DataFrame, *, least_bytes: int = LEAST_BYTES, archive_b
     rows = pages.select("page_id", "url", body.alias("payload"), F.sha1(body).alias("__d"))
     rows = rows.join(other, rows["page_id"].eqNullSafe(other["__id"]) & (rows["__d"] == other["__digest"]), "left").select("page_id", "url", "payload", "refers_to")
 
-    def write(cols: dict) -> dict:
-        out, names, size, parts, key = [], [], 0, [], hashlib.sha1()
+    def write(cols: dict, number: Iterator[int]) -> dict:
+        out, parts, size = [], [], 0
         for p, u, b, r in zip(cols["page_id"].to_pylist(), cols["url"].to_pylist(), cols["payload"].to_pylist(), cols["refers_to"].to_pylist(), strict=True):
             parts.append(record(p, u, b or b"", r))
-            key.update(parts[-1])
             size += len(parts[-1])
             if size >= archive_bytes:
                 out.append(b"".join(parts))
-                names.append(f"{key.hexdigest()}.warc.gz")
-                size, parts, key = 0, [], hashlib.sha1()
+                parts, size = [], 0
         if parts:
             out.append(b"".join(parts))
-            names.append(f"{key.hexdigest()}.warc.gz")
-        return {"archive": names, "content": out}
+        task = TaskContext.get().partitionId()
+        return {"archive": [f"part-{task:06d}-{next(number):06d}.warc.gz" for _ in out], "content": out}
 
-    return map_slices(rows, write, "archive string, content binary")
+    return map_slices(rows, write, "archive string, content binary", setup=count)
 
 
 def read_archives(archives: DataFrame, *, payloads: bool = False) -> DataFrame:
