@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -71,14 +70,30 @@ def _drop(spark: SparkSession, path: str) -> None:
         return
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame) -> DataFrame:
-    """The rows, written to shared storage and read again: this cuts the lineage, and lost executors cost no recomputation."""
+    """The rows, written to shared storage and read again: this cuts the lineage, and lost executors cost no recomputation.
+
+    The shuffle files that led to them go at once, as nothing needs them any more."""
     spark = df.sparkSession
     path = shared_dir(spark)
-    df.write.parquet(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # lets the cleaner drop the shuffle files that nothing needs now
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_path = path
+    return out
+
+
+def release(*written_rows: DataFrame) -> None:
+    """Deletes rows that ``written`` stored, once all that was built on them is itself written."""
+    for df in written_rows:
+        _drop(df.sparkSession, df._written_path)
 
 
 def label_sample(labels: DataFrame, column: str, rows: int) -> DataFrame:

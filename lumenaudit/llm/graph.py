@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenaudit.llm.common import written
+from lumenaudit.llm.common import release, written
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -24,12 +24,15 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             up = parent.join(parent.select(F.col("a").alias("p"), F.col("p").alias("pp")), "p").select("a", F.col("pp").alias("p"), (F.col("pp") < F.col("p")).alias("moved"))
             parent_next = written(up)
             moved = parent_next.where("moved").limit(1).count()
-            parent = parent_next.select("a", "p")
+            release(parent)
+            parent = parent_next
             if not moved:
                 break
+        old = labels, left, parent
         labels = written(labels.join(parent, F.col("component") == F.col("a"), "left").select("node", F.coalesce("p", "component").alias("component")))
         hop = left.join(parent, "a").select(F.col("p").alias("x"), "b").join(parent.select(F.col("a").alias("b"), F.col("p").alias("y")), "b")
         left = written(hop.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+        release(*old)
         if left.limit(1).count() == 0:
             return labels
     raise RuntimeError(f"components didn't settle in {most_rounds} rounds")

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenaudit.llm.common import map_slices, raw_bytes, shared_value, written
+from lumenaudit.llm.common import raw_bytes, release, shared_value, written
 from lumenaudit.llm.graph import components
 from lumenaudit.llm.hashing import A, B, WordCodes, mixed, signed
 from lumenaudit.llm.stars import ENTRY, shared_lists, stars
@@ -232,7 +232,9 @@ def join(docs: DataFrame, *, heavy_share: float = 0.001, most_heavy: int = 1_000
     fitting = sized.where((F.col("na") * DENOMINATOR >= F.col("nb") * NUMERATOR) & (F.col("nb") * DENOMINATOR >= F.col("na") * NUMERATOR)).select("a", "b")
     links = written(_verified(fitting, texts))
     labels = components(links)
-    more = written(_verified(written(_open_pairs(lists, classes, labels)), texts))
+    pairs = written(_open_pairs(lists, classes, labels))
+    more = written(_verified(pairs, texts))
+    release(pairs, lists, texts)
     labels = components(links.union(more))
     named = classes.join(labels.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     least_doc = named.groupBy("component").agg(F.min("rep").alias("component_id"))

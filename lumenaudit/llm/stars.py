@@ -15,8 +15,9 @@ from pyspark.sql import DataFrame
 
 from lumenaudit.llm.hashing import mixed, signed
 
-#: key: where the entry is dealt to; pivot: the least member of the task's star; local: the task had several members.
-ENTRY = "key long, sig long, member long, pivot long, local boolean"
+#: key: where the entry is dealt to; pivot: the least member of the task's star. kind: 0 a forwarded entry, 1 one whose task has further members, both with the
+#: signature as key and 0 as sig and pivot, which compress away; 2 a further member.
+ENTRY = "key long, sig long, member long, pivot long, kind byte"
 
 
 def stars(sigs: np.ndarray, members: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -31,12 +32,13 @@ def stars(sigs: np.ndarray, members: np.ndarray) -> Iterator[pa.RecordBatch]:
     first[1:] = g[1:] != g[:-1]
     starts = np.flatnonzero(first)
     size = np.diff(np.append(starts, len(g)))
-    pivot = np.repeat(c[starts], size)
+    kind = np.where(first, np.repeat(size > 1, size), 2).astype(np.int8)
     key = np.where(first, g, signed(mixed((c ^ g).view(np.uint64))))
-    local = np.repeat(size > 1, size)
+    pivot = np.where(first, 0, np.repeat(c[starts], size))
+    g = np.where(first, 0, g)
     for k in range(0, len(g), 200_000):
         z = slice(k, k + 200_000)
-        yield pa.RecordBatch.from_arrays([pa.array(x[z]) for x in (key, g, c, pivot, local)], names=["key", "sig", "member", "pivot", "local"])
+        yield pa.RecordBatch.from_arrays([pa.array(x[z]) for x in (key, g, c, pivot, kind)], names=["key", "sig", "member", "pivot", "kind"])
 
 
 def shared_lists(entries: DataFrame) -> DataFrame:
@@ -57,12 +59,12 @@ def shared_lists(entries: DataFrame) -> DataFrame:
             yield from settle(rest)
 
     def settle(cols):
-        key, sig, member, pivot, local = cols
+        key, sig, member, pivot, kind = cols
         if not len(key):
             return
-        alone = member != pivot  # a star's member: it stays beside its local pivot
+        alone = kind == 2  # a star's further member: it stays beside its local pivot
         f = np.flatnonzero(~alone)
-        g, c, l = sig[f], member[f], local[f]
+        g, c, l = key[f], member[f], kind[f] == 1
         order = np.lexsort((c, g))
         g, c, l = g[order], c[order], l[order]
         first = np.ones(len(g), bool)

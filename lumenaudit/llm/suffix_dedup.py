@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenaudit.llm.common import columns, map_slices, raw_bytes, written
+from lumenaudit.llm.common import columns, map_slices, raw_bytes, release, written
 from lumenaudit.llm.hashing import A, B, C, mixed, signed
 from lumenaudit.llm.stars import ENTRY, shared_lists, stars
 
@@ -100,7 +100,7 @@ def _members(docs: DataFrame, shared: DataFrame) -> DataFrame:
     keys = shared.groupBy(F.col("member").alias("doc_id")).agg(F.collect_set("sig").alias("keys"))  # no more than a document's own windows
     rows = docs.join(keys, "doc_id").select("doc_id", F.xxhash64("text").alias("th"), "text", "keys")
 
-    def run(cols: dict) -> dict:
+    def run(cols: dict, seen: set) -> dict:
         texts = raw_bytes(cols["text"])
         own, pos, n, key = segments(texts)
         sets = cols["keys"]
@@ -112,12 +112,20 @@ def _members(docs: DataFrame, shared: DataFrame) -> DataFrame:
         own, pos, n, key = own[on], pos[on], n[on], key[on]
         cut = [texts[o][p : p + m + LENGTH - 1] for o, p, m in zip(own.tolist(), pos.tolist(), n.tolist(), strict=True)]
         take = pa.array(own)
+        hashes = [xxhash.xxh64_intdigest(b) - (1 << 63) for b in cut]
+        if len(seen) > 500_000:
+            seen.clear()
+        for k, h in enumerate(hashes):  # a task sends a segment's bytes once, not with each of its members
+            if h in seen:
+                cut[k] = None
+            else:
+                seen.add(h)
         return {
             "doc_id": cols["doc_id"].take(take), "th": cols["th"].take(take), "pos": pa.array(pos, pa.int32()), "n": pa.array(n, pa.int32()), "key": pa.array(key),
-            "seg": pa.array([xxhash.xxh64_intdigest(b) - (1 << 63) for b in cut], pa.int64()), "bytes": pa.array(cut, pa.binary()),
+            "seg": pa.array(hashes, pa.int64()), "bytes": pa.array(cut, pa.binary()),
         }
 
-    return map_slices(rows, run, MEMBER, rows=256)
+    return map_slices(rows, run, MEMBER, rows=256, setup=set)
 
 
 class Transform:
@@ -141,7 +149,7 @@ class Transform:
         key = np.zeros(self.n, np.int64)
         for d in range(step):
             key = key << bits | np.where(d <= left, padded[d : d + self.n], 0)
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         longest = int(left.max(initial=0)) + 1
         rank = self._ranks(order, key)
         while step < longest:
@@ -149,10 +157,11 @@ class Transform:
             far = step <= left
             nxt[far] = rank[np.flatnonzero(far) + step] + 1
             key = rank * (self.n + 1) + nxt
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             rank = self._ranks(order, key)
             step *= 2
-        self.sa = order  # what is still equal ends alike: the end marks' order, which is that of positions, decides
+        # what is still equal ends alike: the end marks' order, which is that of positions, decides
+        self.sa = order if rank[order[-1]] == self.n - 1 else np.argsort(rank * self.n + np.arange(self.n))
         last = symbols[np.where(self.sa > 0, self.sa - 1, self.n - 1)]
         start = np.zeros(self.n, bool)
         start[np.concatenate([[0], self.marks[:-1] + 1])] = True
@@ -169,7 +178,7 @@ class Transform:
         """Which suffixes, in order, share fewer than ``least`` bytes with the one before: common prefixes by increasing length."""
         n = self.n
         ok = self.bwt > 0
-        by_symbol = np.argsort(np.where(ok, self.bwt, self.sigma + 1), kind="stable")[: int(ok.sum())]
+        by_symbol = np.argsort(np.where(ok, self.bwt, self.sigma + 1).astype(np.int16), kind="stable")[: int(ok.sum())]  # a radix sort
         lf = np.full(n, -1, np.int64)
         lf[by_symbol] = self.k + np.arange(len(by_symbol))  # the end marks come first
         same = np.zeros(len(by_symbol), bool)
@@ -279,19 +288,24 @@ def removals(docs: DataFrame) -> DataFrame:
     docs = docs.where(F.col("doc_id").isNotNull())
     shared = written(shared_lists(_keys(docs)).select("sig", "member"))
     members = written(_members(docs, shared))
-    segs = written(members.groupBy("key", "seg").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("final"), F.first("bytes").alias("bytes")))
-    many = segs.groupBy("key").count().where(F.col("count") > MANY).select("key")
+    release(shared)
+    segs = written(members.groupBy("key", "seg").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("final"), F.first("bytes", ignorenulls=True).alias("bytes")))
+    # a key of a single segment has nothing to compare: its documents share that segment whole
+    several = written(segs.groupBy("key").count().where(F.col("count") > 1))
+    alone = segs.join(several, "key", "left_anti").select("key", "seg", "first", F.lit(None).cast("binary").alias("flags"))
+    verdicts = _judged(segs.join(several.where(F.col("count") <= MANY), "key", "left_semi").withColumn("route", F.col("key"))).unionByName(alone)
+    many = several.where(F.col("count") > MANY)
     if many.limit(1).count():
-        many = written(many)
-        verdicts = _judged(segs.join(many, "key", "left_anti").withColumn("route", F.col("key"))).unionByName(_judged_by_windows(segs.join(many, "key", "left_semi")))
-    else:
-        verdicts = _judged(segs.withColumn("route", F.col("key")))
+        verdicts = verdicts.unionByName(_judged_by_windows(segs.join(many, "key", "left_semi")))
     # a segment that one document alone has, and no window of which is earlier, removes nothing
     verdicts = written(verdicts.join(segs.select("key", "seg", "final"), ["key", "seg"]).where("flags IS NOT NULL OR first < final").select("key", "seg", "first", "flags"))
+    release(segs, several)
     hits = members.select("doc_id", "th", "pos", "n", "key", "seg").join(verdicts, ["key", "seg"])
     hits = hits.where((F.col("doc_id") > F.col("first")) | F.col("flags").isNotNull())
     span = F.struct("pos", "n", F.when(F.col("doc_id") > F.col("first"), None).otherwise(F.col("flags")).alias("flags"))
-    return hits.groupBy("doc_id", "th").agg(F.collect_set(span).alias("spans"))
+    out = written(hits.groupBy("doc_id", "th").agg(F.collect_set(span).alias("spans")))
+    release(members, verdicts)
+    return out
 
 
 def covered(n_bytes: int, spans: list[dict]) -> list[tuple[int, int]]:
