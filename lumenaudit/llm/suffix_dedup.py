@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,9 +34,9 @@ SPAN = LENGTH - GRAM + 1  # grams in a window
 #: Windows in a segment at most; a gram lies in no more windows anyway unless a text repeats itself.
 SEGMENT = SPAN
 #: Symbols in one transform.
-PIECE = 1_500_000
+PIECE = 1_200_000
 #: Different segments of a key beyond which it is dealt by windows.
-MANY = 8_000
+MANY = 12_000
 
 
 def segments(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -97,8 +98,8 @@ MEMBER = "doc_id long, th long, pos int, n int, key long, seg long, bytes binary
 
 def _members(docs: DataFrame, shared: DataFrame) -> DataFrame:
     """The segments of shared keys: document, first window, number of windows, key, hash and bytes."""
-    keys = shared.groupBy(F.col("member").alias("doc_id")).agg(F.collect_set("sig").alias("keys"))  # no more than a document's own windows
-    rows = docs.join(keys, "doc_id").select("doc_id", F.xxhash64("text").alias("th"), "text", "keys")
+    keys = shared.groupBy(F.col("member").alias("doc_id")).agg(F.collect_list("sig").alias("keys"))  # no more than a document's own windows
+    rows = docs.join(keys.hint("shuffle_hash"), "doc_id").select("doc_id", F.xxhash64("text").alias("th"), "text", "keys")
 
     def run(cols: dict, seen: set) -> dict:
         texts = raw_bytes(cols["text"])
@@ -222,28 +223,35 @@ def earlier(texts: list[bytes], owners: np.ndarray, length: int = LENGTH) -> lis
 
 
 def _judged(parts: DataFrame) -> DataFrame:
-    """Segments ``(route, key, seg, first, bytes)`` by route, through transforms of bounded size: ``(key, seg, first, flags)``, flags only where a window has an
-    earlier document."""
+    """Segments ``(route, key, seg, first, final, bytes)`` by route, through transforms of bounded size: ``(key, seg, first, flags)`` of those that several documents
+    have or that have a window of an earlier document; flags tell the latter. A route of a single segment has nothing to compare and skips the transform."""
 
     def run(batches):
-        held, size, route = [], 0, None
+        held, size, group = [], 0, []
         for batch in batches:
-            for r in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-                if r[0] != route and size > PIECE // 2:
-                    yield settle(held)
-                    held, size = [], 0
-                route = r[0]
-                held.append(r)
-                size += len(r[4]) + 1
+            for r in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+                if group and r[0] != group[0][0]:
+                    held.append(group)
+                    size += sum(len(x[5]) + 1 for x in group) if len(group) > 1 else 0
+                    group = []
+                    if size > PIECE // 2 or len(held) > 50_000:
+                        yield settle(held)
+                        held, size = [], 0
+                group.append(r)
+        if group:
+            held.append(group)
         if held:
             yield settle(held)
 
-    def settle(held):
-        flags = earlier([r[4] for r in held], np.array([r[3] for r in held], np.int64))
-        cols = ([r[1] for r in held], [r[2] for r in held], [r[3] for r in held], [f.tobytes() if f.any() else None for f in flags])
-        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["key", "seg", "first", "flags"])
+    def settle(groups):
+        several = [r for g in groups if len(g) > 1 for r in g]
+        flags = earlier([r[5] for r in several], np.array([r[3] for r in several], np.int64)) if several else []
+        rows = [(r, f.tobytes() if f.any() else None) for r, f in zip(several, flags, strict=True)] + [(g[0], None) for g in groups if len(g) == 1]
+        rows = [(r, f) for r, f in rows if f is not None or r[3] < r[4]]
+        cols = [pa.array([r[k] for r, _ in rows], pa.int64()) for k in (1, 2, 3)] + [pa.array([f for _, f in rows], pa.binary())]
+        return pa.RecordBatch.from_arrays(cols, names=["key", "seg", "first", "flags"])
 
-    return parts.repartition("route").sortWithinPartitions("route").select("route", "key", "seg", "first", "bytes").mapInArrow(run, "key long, seg long, first long, flags binary")
+    return parts.repartition("route").sortWithinPartitions("route").select("route", "key", "seg", "first", "final", "bytes").mapInArrow(run, "key long, seg long, first long, flags binary")
 
 
 def _windows(segs: DataFrame) -> DataFrame:
@@ -265,7 +273,7 @@ def _judged_by_windows(segs: DataFrame) -> DataFrame:
     """The same for keys of very many segments. Equal windows fold into one with their least document before they meet."""
     rows = written(_windows(segs))
     folded = rows.groupBy("route").agg(F.min("first").alias("least"), F.max("first").alias("most"), F.first("bytes").alias("bytes")).where("least < most")
-    ends = folded.select("route", "route", F.explode(F.array("least", "most")).alias("first"), "bytes").toDF("route", "key", "first", "bytes").withColumn("seg", F.col("first"))
+    ends = folded.select("route", "route", F.explode(F.array("least", "most")).alias("first"), "bytes").toDF("route", "key", "first", "bytes").withColumns({"seg": F.col("first"), "final": F.col("first")})
     verdict = _judged(ends).where("flags IS NOT NULL").select(F.col("key").alias("route")).distinct()
     least = folded.select("route", "least").join(verdict, "route")
     flagged = rows.join(least, "route").where("least < first").groupBy("key", "seg", "first").agg(F.collect_set("at").alias("ats"))
@@ -280,7 +288,7 @@ def _judged_by_windows(segs: DataFrame) -> DataFrame:
         return {c: cols[c] for c in ("key", "seg", "first")} | {"flags": flags}
 
     some = map_slices(flagged, run, "key long, seg long, first long, flags binary")
-    return segs.select("key", "seg", "first").join(some.select("key", "seg", "flags"), ["key", "seg"], "left").select("key", "seg", "first", "flags")
+    return segs.select("key", "seg", "first", "final").join(some.select("key", "seg", "flags"), ["key", "seg"], "left").where("flags IS NOT NULL OR first < final").select("key", "seg", "first", "flags")
 
 
 def removals(docs: DataFrame) -> DataFrame:
@@ -290,39 +298,36 @@ def removals(docs: DataFrame) -> DataFrame:
     members = written(_members(docs, shared))
     release(shared)
     segs = written(members.groupBy("key", "seg").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("final"), F.first("bytes", ignorenulls=True).alias("bytes")))
-    # a key of a single segment has nothing to compare: its documents share that segment whole
-    several = written(segs.groupBy("key").count().where(F.col("count") > 1))
-    alone = segs.join(several, "key", "left_anti").select("key", "seg", "first", F.lit(None).cast("binary").alias("flags"))
-    verdicts = _judged(segs.join(several.where(F.col("count") <= MANY), "key", "left_semi").withColumn("route", F.col("key"))).unionByName(alone)
-    many = several.where(F.col("count") > MANY)
-    if many.limit(1).count():
-        verdicts = verdicts.unionByName(_judged_by_windows(segs.join(many, "key", "left_semi")))
-    # a segment that one document alone has, and no window of which is earlier, removes nothing
-    verdicts = written(verdicts.join(segs.select("key", "seg", "final"), ["key", "seg"]).where("flags IS NOT NULL OR first < final").select("key", "seg", "first", "flags"))
-    release(segs, several)
-    hits = members.select("doc_id", "th", "pos", "n", "key", "seg").join(verdicts, ["key", "seg"])
+    many = segs.groupBy("key").count().where(F.col("count") > MANY).select("key")
+    hot = many.limit(1).count() > 0
+    routed = segs.withColumn("route", F.col("key"))
+    if hot:
+        many = written(many)
+        verdicts = written(_judged(routed.join(many, "key", "left_anti")).unionByName(_judged_by_windows(segs.join(many, "key", "left_semi"))))
+    else:
+        verdicts = written(_judged(routed))
+    release(segs)
+    hits = members.select("doc_id", "th", "pos", "n", "key", "seg").join(verdicts.hint("shuffle_hash"), ["key", "seg"])
     hits = hits.where((F.col("doc_id") > F.col("first")) | F.col("flags").isNotNull())
     span = F.struct("pos", "n", F.when(F.col("doc_id") > F.col("first"), None).otherwise(F.col("flags")).alias("flags"))
-    out = written(hits.groupBy("doc_id", "th").agg(F.collect_set(span).alias("spans")))
+    out = written(hits.groupBy("doc_id", "th").agg(F.collect_list(span).alias("spans")))
     release(members, verdicts)
     return out
 
 
-def covered(n_bytes: int, spans: list[dict]) -> list[tuple[int, int]]:
-    """The maximal runs of bytes that the windows cover."""
-    out: list[tuple[int, int]] = []
-    marks = []
-    for s in spans:
-        if s["flags"] is None:
-            marks.append((s["pos"], s["pos"] + s["n"] - 1 + LENGTH))
-        else:
-            marks += [(s["pos"] + k, s["pos"] + k + LENGTH) for k, f in enumerate(s["flags"][: s["n"]]) if f]
-    for a, b in sorted(marks):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
+def covered(pos: np.ndarray, n: np.ndarray, flags: list[bytes | None]) -> list[tuple[int, int]]:
+    """The maximal runs of bytes that the windows cover: all windows of a range, or the flagged ones."""
+    whole = np.array([f is None for f in flags], bool)
+    a, b = [pos[whole]], [pos[whole] + n[whole] - 1 + LENGTH]
+    for k in np.flatnonzero(~whole).tolist():
+        on = pos[k] + np.flatnonzero(np.frombuffer(flags[k], np.uint8)[: n[k]])
+        a.append(on)
+        b.append(on + LENGTH)
+    a, b = np.concatenate(a), np.concatenate(b)
+    order = np.argsort(a)
+    a, b = a[order], np.maximum.accumulate(b[order])
+    starts = np.flatnonzero(np.concatenate([[True], a[1:] > b[:-1]]))
+    return list(zip(a[starts].tolist(), b[np.append(starts[1:], len(a)) - 1].tolist(), strict=True))
 
 
 def deduplicate(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -330,11 +335,16 @@ def deduplicate(docs: DataFrame, keep: list[str]) -> DataFrame:
     found = removals(docs.select("doc_id", "text"))
     keep, ddl = columns(docs, keep, "n_bytes long, removed array<struct<start:long,end:long>>, kept binary")
     rows = docs.select(*dict.fromkeys([*keep, "doc_id", "text"])).withColumn("__th", F.xxhash64("text"))
-    joined = rows.join(found.select(F.col("doc_id").alias("__id"), F.col("th").alias("__t"), "spans"), (F.col("doc_id") == F.col("__id")) & (F.col("__th") == F.col("__t")), "left")
+    joined = rows.join(found.select(F.col("doc_id").alias("__id"), F.col("th").alias("__t"), "spans").hint("shuffle_hash"), (F.col("doc_id") == F.col("__id")) & (F.col("__th") == F.col("__t")), "left")
 
     def run(cols: dict) -> dict:
         texts = [t or b"" for t in raw_bytes(cols["text"])]
-        runs = [covered(len(t), s) if s else [] for t, s in zip(texts, cols["spans"].to_pylist(), strict=True)]
+        spans = cols["spans"]
+        flat = spans.flatten()
+        pos, n, flags = (flat.field(k) for k in range(3))
+        pos, n, flags = pos.to_numpy().astype(np.int64), n.to_numpy().astype(np.int64), flags.to_pylist()
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(spans), 0).to_numpy())
+        runs = [covered(pos[a:b], n[a:b], flags[a:b]) if a < b else [] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
         rest = []
         for t, r in zip(texts, runs, strict=True):
             end, parts = 0, []
