@@ -4,7 +4,458 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lumenaudit.functions import text as tx
+from lumenaudit.functions import urls
+from lumenaudit.operators import competitors, frontier, history, robots, tasks
+from lumenaudit.operators.findings import exploded, with_findings
+from lumenaudit.operators.pages import PAGE_TYPES, page_type
+from lumenaudit.operators.scoring import Check, score_sites
+from lumenaudit.operators.sites import TEXT_FLAGS, WORD_END, freshness, in_order
+from lumenaudit.plans import audit as whole
+from lumenaudit.plans import render
+from lumenaudit.sources.html import page_links, parse_pages
+from lumenaudit.sources.tables import table
+from lumenaudit.streaming import progress as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+YEAR = 2024
+c = F.col
+
+HOST = r"lower(regexp_extract(url, '^(?i:https?)://(?:[^/?#@]*@)?([^/?#:]*)', 1))"
+DOMAIN = rf"regexp_replace({HOST}, '^www\.', '')"
+PATH = r"coalesce(nullif(regexp_extract(url, '^(?i:https?)://[^/?#]*([^?#]*)', 1), ''), '/')"
+WHITE = r"[ \t\n\r\f\v\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+"
+TITLE = rf"trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '{WHITE}', ' ', 'g'))"
+STRIPPED = rf"trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '{WHITE}', ' ', 'g'))"
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name."""
+
+    def add(fn):
+        QUERIES[fn.__name__] = fn
+        if sql:
+            ORACLES[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+def fast_title() -> Column:
+    """The title without a parse, entities left as they are."""
+    return tx.normalize_text(F.regexp_extract("html", "(?is)<title[^>]*>(.*?)</title>", 1))
+
+
+def stripped() -> Column:
+    return tx.normalize_text(F.regexp_replace("html", "<[^>]*>", " "))
+
+
+def titled(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "pages").select("page_id", "url", urls.domain(c("url")).alias("site_id"), fast_title().alias("title"))
+
+
+@query(f"""WITH p AS (SELECT {DOMAIN} AS site_id, {TITLE} AS title FROM pages),
+d AS (SELECT site_id, count(*) AS n FROM (SELECT site_id, lower(title) FROM p WHERE title <> '' GROUP BY ALL HAVING count(*) > 1) GROUP BY 1)
+SELECT site_id, count(*) AS page_count, count(*) FILTER (WHERE title = '') AS missing_titles, round(count(*) FILTER (WHERE title <> '') / count(*)::DOUBLE, 6) AS title_coverage,
+coalesce(max(n), 0)::BIGINT AS duplicate_titles FROM p LEFT JOIN d USING (site_id) GROUP BY 1""")
+def site_seo_summary(spark: SparkSession, sf: str) -> DataFrame:
+    # one shuffle by (site, title), then one by site on partial sums
+    by_title = titled(spark, sf).groupBy("site_id", F.lower("title").alias("t")).agg(F.count("*").alias("n"))
+    out = by_title.groupBy("site_id").agg(F.sum("n").alias("page_count"), F.sum(F.when(c("t") == "", c("n")).otherwise(0)).alias("missing_titles"), F.count_if((c("t") != "") & (c("n") > 1)).alias("duplicate_titles"))
+    return out.select("site_id", "page_count", "missing_titles", F.round((c("page_count") - c("missing_titles")) / c("page_count"), 6).alias("title_coverage"), "duplicate_titles")
+
+
+@query(f"SELECT page_id, {TITLE} AS title, length({TITLE})::INT AS title_length, strlen(html)::BIGINT AS html_bytes, strlen(html) > 900000 AS truncated FROM pages")
+def page_title_signals(spark: SparkSession, sf: str) -> DataFrame:
+    p = table(spark, sf, "pages").select("page_id", fast_title().alias("title"), F.octet_length("html").cast("long").alias("html_bytes"))
+    return p.select("page_id", "title", F.length("title").alias("title_length"), "html_bytes", (c("html_bytes") > 900_000).alias("truncated"))
+
+
+@query(f"""WITH q AS (SELECT *, {PATH} AS p, lower(regexp_extract(url, '^(?i:https?://[^/?#]*)', 0)) AS o,
+array_to_string(list_filter(string_split(regexp_extract(url, '^[^?#]*\\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT list_contains({list(urls.TRACKING)}, regexp_extract(x, '^[^=]*', 0))), '&') AS k FROM pages)
+SELECT page_id, {DOMAIN} AS domain, regexp_replace(o || p || CASE WHEN k = '' THEN '' ELSE '?' || k END, '/$', '') AS canonical,
+NOT regexp_matches(lower(p), '\\.({urls.ASSETS})$') AS html_like, regexp_matches(url, '(?i){urls.UTILITY}') AS utility FROM q""")
+def url_domain_canonical(spark: SparkSession, sf: str) -> DataFrame:
+    u = c("url")
+    return table(spark, sf, "pages").select("page_id", urls.domain(u).alias("domain"), urls.canonical(u).alias("canonical"), urls.looks_like_page(u).alias("html_like"), urls.is_utility(u).alias("utility"))
+
+
+@query(f"""WITH q AS (SELECT page_id, {PATH} AS p FROM pages) SELECT page_id, ({' + '.join(f"CASE WHEN regexp_matches(p, '(?i){x}') THEN {100 - k} ELSE 0 END" for k, x in enumerate(urls.PRIORITY))}
+- 3 * len(list_filter(string_split(p, '/'), lambda x: x <> '')) - CASE WHEN length(p) > 90 THEN 8 ELSE 0 END)::BIGINT AS priority FROM q ORDER BY priority DESC, page_id LIMIT 50""")
+def url_priority_topk(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "pages").select("page_id", urls.priority(c("url")).alias("priority")).orderBy(c("priority").desc(), "page_id").limit(50)
+
+
+@query(r"""WITH q AS (SELECT page_id, lower(regexp_extract(url, '^(?i:https?://[^/?#]*)', 0)) AS o, unnest(regexp_extract_all(html, '<a href="(/[^"]*)"', 1)) AS h FROM pages)
+SELECT DISTINCT page_id, regexp_replace(o || h, '/$', '') AS target FROM q WHERE h NOT LIKE '//%' AND NOT regexp_matches(lower(h), '\.(""" + urls.ASSETS + r""")$')""")
+def page_links_same_site(spark: SparkSession, sf: str) -> DataFrame:
+    q = table(spark, sf, "pages").select("page_id", urls.origin(c("url")).alias("o"), F.explode(F.regexp_extract_all("html", F.lit('<a href="(/[^"]*)"'), F.lit(1))).alias("h"))
+    target = urls.canonical(F.concat("o", "h"))
+    return q.where(~c("h").startswith("//")).select("page_id", target.alias("target")).where(urls.looks_like_page(c("target"))).distinct()
+
+
+TYPE_CASE = "CASE " + " ".join(f"WHEN regexp_matches(h, '(?i){p}') THEN '{n}'" for n, p in PAGE_TYPES) + " ELSE 'general' END"
+SAMPLES = ("Get-in-touch today", "our story", "Pricing", "API-reference", "areas-we-serve", "add to cart", "What we do", "how-to", "nothing here")
+
+
+@query(f"""SELECT page_id, {TYPE_CASE} AS content_type FROM (SELECT page_id, concat_ws(' ', url, {TITLE}, substr({STRIPPED}, 1, 5000)) AS h FROM pages
+UNION ALL SELECT * FROM (VALUES {', '.join(f"({-k - 1}, '{s}')" for k, s in enumerate(SAMPLES))}))""")
+def page_content_type(spark: SparkSession, sf: str) -> DataFrame:
+    p = table(spark, sf, "pages").select("page_id", F.concat_ws(" ", "url", fast_title(), F.substring(stripped(), 1, 5000)).alias("h"))
+    literal = spark.createDataFrame([(-k - 1, s) for k, s in enumerate(SAMPLES)], "page_id long, h string")
+    return p.union(literal).select("page_id", page_type(c("h")).alias("content_type"))
+
+
+@query(f"""WITH d AS (SELECT doc_id, substr(trim(regexp_replace(coalesce(text, ''), '{WHITE}', ' ', 'g')), 1, 250000) AS t FROM documents)
+SELECT doc_id, length(t)::INT AS chars, len(list_filter(string_split(t, ' '), lambda x: x <> ''))::BIGINT AS words FROM d""")
+def page_word_count(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents").select("doc_id", F.substring(tx.normalize_text(F.coalesce("text", F.lit(""))), 1, tx.PAGE_TEXT_CHARS).alias("t"))
+    return d.select("doc_id", F.length("t").alias("chars"), tx.word_count(c("t")).alias("words"))
+
+
+PHONE_SQL, EMAIL_SQL = tx.PHONE.replace(r"\x0B", r"\v"), tx.EMAIL
+
+
+@query(f"""WITH d AS (SELECT doc_id, regexp_extract_all(text, '{PHONE_SQL}') AS ph, regexp_extract_all(text, '{EMAIL_SQL}') AS em FROM documents)
+SELECT doc_id, array_to_string(list_sort(list_distinct(ph)), '|') AS phones, array_to_string(list_sort(list_distinct(em)), '|') AS emails FROM d WHERE len(ph) + len(em) > 0""")
+def text_contacts(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents").select("doc_id", tx.distinct_matches(c("text"), tx.PHONE).alias("ph"), tx.distinct_matches(c("text"), tx.EMAIL).alias("em"))
+    join = lambda x: F.array_join(F.array_sort(x), "|")
+    return d.where(F.size("ph") + F.size("em") > 0).select("doc_id", join("ph").alias("phones"), join("em").alias("emails"))
+
+
+def re2(p: str) -> str:
+    return p.replace(WORD_END, r"\b").replace("(?<![A-Za-z0-9_])", r"\b").replace("'", "''")
+
+
+FLAGS = TEXT_FLAGS | {"has_freshness": freshness(YEAR)}
+
+
+@query("WITH s AS (SELECT source AS site_id, substr(string_agg(text, chr(10) ORDER BY doc_id), 1, 1500000) AS t FROM documents GROUP BY 1) SELECT site_id, length(t)::INT AS chars, "
+       + ", ".join(f"regexp_matches(t, '(?i){re2(p)}') AS {k}" for k, p in FLAGS.items()) + " FROM s")
+def text_site_flags(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents").select(c("source").alias("site_id"), c("doc_id").alias("ord"), "text")
+    s = d.groupBy("site_id").agg(F.substring(F.array_join(in_order(c("text")), "\n"), 1, tx.SITE_TEXT_CHARS).alias("t"))
+    return s.select("site_id", F.length("t").alias("chars"), *(tx.matches(c("t"), p).alias(k) for k, p in FLAGS.items()))
+
+
+@query(f"""SELECT site_id, count(*) AS duplicate_titles FROM (SELECT {DOMAIN} AS site_id, lower({TITLE}) AS t, count(*) FROM pages WHERE {TITLE} <> '' GROUP BY ALL HAVING count(*) > 1) GROUP BY 1""")
+def site_duplicate_titles(spark: SparkSession, sf: str) -> DataFrame:
+    return titled(spark, sf).where("title <> ''").groupBy("site_id", F.lower("title")).count().where("count > 1").groupBy("site_id").agg(F.count("*").alias("duplicate_titles"))
+
+
+@query(f"""WITH q AS (SELECT page_id, {DOMAIN} AS site_id, {PATH} AS p, url FROM pages), r AS (SELECT *, CASE WHEN p = '/en/25' THEN 0 WHEN p = '/' THEN 1 ELSE 2 END AS k FROM q)
+SELECT site_id, page_id FROM r QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY k, page_id) = 1""")
+def site_home_page(spark: SparkSession, sf: str) -> DataFrame:
+    from lumenaudit.operators.sites import home_page
+
+    p = table(spark, sf, "pages").select("page_id", c("page_id").alias("ord"), urls.canonical(c("url")).alias("url"), c("url").alias("requested_url"), urls.domain(c("url")).alias("site_id"), F.create_map().cast("map<string,string>").alias("headers"), urls.origin(c("url")).alias("o"), urls.path(c("url")).alias("p"))
+    p = p.withColumn("start_url", F.concat("o", F.lit("/en/25"))).withColumn("url", F.when(c("p") == "/en/25", c("start_url")).otherwise(c("url")))
+    return home_page(p).select("site_id", c("home.page_id").alias("page_id"))
+
+
+ROBOTS = "# audit\nUser-agent: Googlebot\nUser-Agent: GPTBot # two\nDisallow: /private\nSitemap: https://e.com/s.xml\nAllow: /private/ok\nCrawl-delay: 5\nUser-agent: *\nDisallow:\nDisallow: /*.pdf$\nDisallow: /search*results\n"
+
+
+@query(f"""WITH l AS (SELECT generate_subscripts(a, 1) AS line, unnest(a) AS raw FROM (SELECT string_split('{ROBOTS}', chr(10)) AS a)),
+k AS (SELECT line - 1 AS line, lower(trim(split_part(t, ':', 1))) AS key, trim(substr(t, instr(t, ':') + 1)) AS value FROM (SELECT line, trim(regexp_replace(raw, '#.*$', '')) AS t FROM l) WHERE instr(t, ':') > 0),
+g AS (SELECT *, CASE WHEN key = 'user-agent' AND coalesce(lag(key) OVER (ORDER BY line), '') <> 'user-agent' THEN 1 ELSE 0 END AS s FROM k WHERE key <> 'sitemap'),
+n AS (SELECT *, sum(s) OVER (ORDER BY line) AS grp FROM g), a AS (SELECT grp, string_agg(lower(value), ',' ORDER BY lower(value)) AS agents FROM n WHERE key = 'user-agent' GROUP BY grp)
+SELECT grp::INT AS grp, agents, line::INT AS line, key AS type, value AS path FROM n JOIN a USING (grp) WHERE key IN ('allow', 'disallow') AND value <> ''""")
+def robots_parse(spark: SparkSession, sf: str) -> DataFrame:
+    files = spark.createDataFrame([("e.com", ROBOTS)], "site_id string, body string")
+    return robots.rules(files).where("path IS NOT NULL").select("grp", F.array_join("agents", ",").alias("agents"), "line", "type", "path")
+
+
+RULES = (("*", "disallow", "/fr/", "^/fr/"), ("*", "allow", "/fr/*5", "^/fr/.*5"), ("googlebot", "disallow", "/*2$", "^/.*2$"), ("googlebot", "allow", "/en", "^/en"))
+
+
+@query(f"""WITH q AS (SELECT DISTINCT {PATH} AS path FROM pages), r(agent, type, pattern, re) AS (VALUES {', '.join(map(str, RULES))}), b(bot, agent) AS (VALUES ('Googlebot', 'googlebot'), ('ClaudeBot', '*')),
+m AS (SELECT bot, path, type, length(rtrim(pattern, '$')) AS s FROM q, b JOIN r USING (agent) WHERE regexp_matches(path, re)),
+w AS (SELECT bot, path, type FROM m QUALIFY row_number() OVER (PARTITION BY bot, path ORDER BY s DESC, type) = 1)
+SELECT bot, path, coalesce(type, 'allow') = 'allow' AS allowed FROM (SELECT bot, path FROM q, b) LEFT JOIN w USING (bot, path)""")
+def robots_access_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    body = "\n".join([f"User-agent: *\n{RULES[0][1]}: {RULES[0][2]}\n{RULES[1][1]}: {RULES[1][2]}", f"User-agent: Googlebot\n{RULES[2][1]}: {RULES[2][2]}\n{RULES[3][1]}: {RULES[3][2]}"])
+    files = spark.createDataFrame([("s", body)], "site_id string, body string")
+    bots = spark.createDataFrame([("Googlebot",), ("ClaudeBot",)], "bot string")
+    asked = table(spark, sf, "pages").select(urls.path(c("url")).alias("path")).distinct().withColumns({"site_id": F.lit("s"), "origin": F.lit(""), "bot": F.explode(F.array(*(F.lit(r.bot) for r in bots.collect())))})
+    return robots.access(files, asked).select("bot", "path", "allowed")
+
+
+@query("SELECT * FROM (VALUES ('ChatGPT-User', true, 'ChatGPT-User: allowed at /'), ('Claude-SearchBot', false, 'Claude-SearchBot: blocked at /'), ('ClaudeBot', false, 'ClaudeBot: blocked at /'), ('GPTBot', true, 'GPTBot: allowed at /'), "
+       "('Google-Extended', true, 'Google-Extended: allowed at /'), ('Googlebot', true, 'Googlebot: allowed at /'), ('OAI-SearchBot', false, 'OAI-SearchBot: blocked at /'), ('PerplexityBot', true, 'PerplexityBot: allowed at /')) t(bot, allowed, evidence)")
+def robots_bot_access(spark: SparkSession, sf: str) -> DataFrame:
+    body = "User-agent: Claude\nDisallow: /\n\nUser-agent: OAI-SearchBot\nDisallow: https://e.com/\n\nUser-agent: Google\nAllow: /\nDisallow: /\n"
+    files = spark.createDataFrame([("e.com", "https://e.com", body)], "site_id string, origin string, body string")
+    return robots.bot_access(files).select(F.explode("bots").alias("bot", "v")).select("bot", "v.allowed", "v.evidence")
+
+
+@query(f"SELECT DISTINCT {DOMAIN} AS site_id, false AS is_index, url AS loc FROM pages")
+def sitemap_locs(spark: SparkSession, sf: str) -> DataFrame:
+    body = F.concat(F.lit("<urlset>"), F.array_join(F.collect_list(F.concat(F.lit("<url><LOC>\n "), "url", F.lit(" </loc></url>"))), ""), F.lit("</urlset>"))
+    return frontier.sitemap_locs(table(spark, sf, "pages").groupBy(urls.domain(c("url")).alias("site_id")).agg(body.alias("body")))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Article' WHEN doc_id % 3 = 1 THEN 'FAQPage,WebPage' ELSE 'Unknown' END AS types, 'doc-' || doc_id AS id, lang AS name FROM documents "
+       "UNION ALL SELECT doc_id, 'Organization', NULL, 'n' || doc_id FROM documents WHERE doc_id % 3 = 1")
+def jsonld_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    node = lambda kind, rest: F.concat(F.lit("{" + kind), F.lit('"@id":"doc-'), c("doc_id").cast("string"), F.lit('","headline":"'), "lang", F.lit('"}' + rest))
+    graph = F.concat(F.lit('{"@type":"Lost","@graph":['), node('"@type":["FAQPage","WebPage"],', ","), F.lit('[{"@type":"Organization","legalName":"n'), c("doc_id").cast("string"), F.lit('"}]]}'))
+    block = F.when(c("doc_id") % 3 == 0, node('"@type":"Article",', "")).when(c("doc_id") % 3 == 1, graph).otherwise(node("", ""))
+    html = F.concat(F.lit("<body><script type='application/LD+json'>"), block, F.lit("</script><script type='application/ld+json'>{ broken</script>"))
+    p = parse_pages(table(spark, sf, "documents").select("doc_id", html.alias("html")), ["doc_id"])
+    return p.select("doc_id", F.explode("nodes").alias("n")).select("doc_id", F.array_join("n.types", ",").alias("types"), "n.id", "n.name")
+
+
+@query("""WITH r AS (SELECT l_orderkey AS id, count(*) FILTER (WHERE l_returnflag = 'R') / count(*)::DOUBLE AS ratio, CASE WHEN l_orderkey % 5 > 0 THEN (l_orderkey % 120)::INT END AS num FROM lineitem GROUP BY 1)
+SELECT id, floor(least(1.0, ratio) * 16 + 0.5)::INT AS ratio_score, CASE WHEN ratio >= 0.85 THEN 'passed' WHEN ratio >= 0.55 THEN 'partial' ELSE 'failed' END AS ratio_status,
+CASE WHEN num IS NULL THEN 19 ELSE floor(least(100.0, num::DOUBLE) / 100.0 * 35 + 0.5)::INT END AS number_score, CASE WHEN num IS NULL THEN 'unknown' WHEN num >= 80 THEN 'passed' WHEN num >= 50 THEN 'partial' ELSE 'failed' END AS number_status FROM r""")
+def check_ratio_numeric(spark: SparkSession, sf: str) -> DataFrame:
+    r = table(spark, sf, "lineitem").groupBy(c("l_orderkey").alias("id")).agg((F.count_if(c("l_returnflag") == "R") / F.count("*")).alias("ratio")).withColumn("num", F.when(c("id") % 5 > 0, (c("id") % 120).cast("int")))
+    k = r.select("id", Check("ratio", 16, "r", "ratio", "x").column().alias("r"), Check("number", 35, "n", "num", "x").column().alias("n"))
+    return k.select("id", c("r.score").alias("ratio_score"), c("r.status").alias("ratio_status"), c("n.score").alias("number_score"), c("n.status").alias("number_status"))
+
+
+def example_sites(spark: SparkSession, sf: str) -> DataFrame:
+    """The example site with page counts, title coverage and duplicate titles of the snapshot's sites."""
+    one = whole.example_site(spark).drop("site_id", "domain", "page_count", "title_coverage", "duplicate_titles")
+    seo = site_seo_summary(spark, sf).select("site_id", c("site_id").alias("domain"), c("page_count").cast("int").alias("page_count"), "title_coverage", c("duplicate_titles").cast("int").alias("duplicate_titles"))
+    return seo.crossJoin(F.broadcast(one))  # one row
+
+
+SCORES_SQL = f"""WITH s AS ({ORACLES['site_seo_summary']}),
+k AS (SELECT *, 100 - CASE WHEN page_count < 10 THEN 12 ELSE 0 END AS crawl, floor(title_coverage * 16 + 0.5) + 13 + 11 + CASE WHEN duplicate_titles = 0 THEN 10 ELSE 0 END + 8 + 10 + 12 + 10 + 8 AS tech FROM s)"""
+
+
+@query(SCORES_SQL + """ SELECT site_id, crawl::INT AS crawlability, tech::INT AS technical_seo, floor(crawl * 0.15::DOUBLE + 90 * 0.15::DOUBLE + 100 * 0.2::DOUBLE + 100 * 0.15::DOUBLE + tech * 0.15::DOUBLE + 72 * 0.1::DOUBLE + 100 * 0.1::DOUBLE + 0.5)::INT AS overall,
+floor(crawl * 0.18::DOUBLE + 90 * 0.22::DOUBLE + 100 * 0.25::DOUBLE + 100 * 0.2::DOUBLE + 100 * 0.15::DOUBLE + 0.5)::INT AS aeo_geo, floor(tech * 0.55::DOUBLE + crawl * 0.2::DOUBLE + 90 * 0.15::DOUBLE + 72 * 0.1::DOUBLE + 0.5)::INT AS seo,
+floor(floor(crawl * 0.18::DOUBLE + 90 * 0.22::DOUBLE + 100 * 0.25::DOUBLE + 100 * 0.2::DOUBLE + 100 * 0.15::DOUBLE + 0.5) * 0.75::DOUBLE + 100 * 0.15::DOUBLE + crawl * 0.1::DOUBLE + 0.5)::INT AS ai_readiness, 70 AS security, 78 AS accessibility, 'general' AS vertical FROM k""")
+def site_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return score_sites(example_sites(spark, sf)).select("site_id", "crawlability", "technical_seo", "overall", "aeo_geo", "seo", "ai_readiness", "security", "accessibility", "vertical")
+
+
+@query(SCORES_SQL + """ , f AS (SELECT site_id, 'seo-metadata-coverage-is-incomplete' AS id, 'medium' AS severity, 14 AS score_impact, concat(floor(title_coverage * 100 + 0.5)::INT, '% title coverage, 90% description coverage') AS evidence, 0 AS o FROM k WHERE title_coverage < 0.85
+UNION ALL SELECT site_id, 'performance-pagespeed-data-unavailable', 'low', 0, 'PageSpeed API returned no Lighthouse result', 1 FROM k)
+SELECT site_id, (row_number() OVER (PARTITION BY site_id ORDER BY o) - 1)::INT AS ord, id, severity, score_impact, evidence FROM f""")
+def site_findings(spark: SparkSession, sf: str) -> DataFrame:
+    return exploded(with_findings(score_sites(example_sites(spark, sf)))).select("site_id", "ord", "id", "severity", "score_impact", "evidence")
+
+
+@query(f"""WITH s AS ({ORACLES['site_seo_summary']}), p AS (SELECT site_id, lead(site_id) OVER (ORDER BY site_id) AS other FROM s),
+j AS (SELECT p.site_id, p.other, a.page_count AS x, b.page_count AS y FROM p JOIN s a ON a.site_id = p.site_id LEFT JOIN s b ON b.site_id = p.other)
+SELECT site_id, coalesce(other, 'none') AS domain, CASE WHEN other IS NULL THEN 'The crawl returned no usable pages' END AS error, CASE WHEN other IS NOT NULL THEN 0 END AS score_diff,
+CASE WHEN y > x THEN 'FAQ pages: competitor has ' || y || ', audited site has ' || x ELSE '' END AS gaps, CASE WHEN x > y THEN 'FAQ pages: audited site has ' || x || ', competitor has ' || y ELSE '' END AS advantages FROM j""")
+def competitor_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    s = example_sites(spark, sf).withColumns({"faq_pages": c("page_count"), "aeo_geo": F.lit(90), "overall": F.lit(80)})
+    ids = s.select("site_id").withColumn("competitor_id", F.lead("site_id").over(Window.partitionBy(F.lit(0)).orderBy("site_id")))  # one row per site name of a small list
+    pairs = ids.select("site_id", "competitor_id", F.lit("").alias("name"), F.coalesce("competitor_id", F.lit("none")).alias("url"), F.lit(None).cast("string").alias("error"), F.lit(0).alias("ord"))
+    return competitors.compare(pairs, s).select("site_id", "domain", "error", "score_diff", F.array_join("gaps", "|").alias("gaps"), F.array_join("advantages", "|").alias("advantages"))
+
+
+@query("""SELECT c_custkey, list_slice(list_filter(list_transform(string_split_regex(t, '\\r?\\n|,'), lambda x: trim(x)), lambda x: x <> ''), 1, 5) AS sites
+FROM (SELECT c_custkey, concat(' a.example, ', c_name, chr(10), c_mktsegment, ',,', chr(13), chr(10), ' d , e , f') AS t FROM customer)""")
+def competitor_input(spark: SparkSession, sf: str) -> DataFrame:
+    t = F.concat(F.lit(" a.example, "), "c_name", F.lit("\n"), "c_mktsegment", F.lit(",,\r\n d , e , f"))
+    return table(spark, sf, "customer").select("c_custkey", competitors.competitor_list(t).alias("sites"))
+
+
+def plan_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Page facts of the snapshot without a parse; sites are hosts, pages keep their order."""
+    p = table(spark, sf, "pages").select("page_id", "url", urls.domain(c("url")).alias("site_id"), fast_title().alias("title"), tx.word_count(stripped()).alias("word_count"), F.regexp_count("html", F.lit("(?i)<h1[ >]")).alias("h1_count"))
+    none = F.array().cast("array<string>")
+    return p.withColumns({"ord": c("page_id"), "status": F.lit(200), "indexable": F.lit(True), "robots_meta": F.lit(""), "meta_description": F.lit(""), "content_type": F.lit("general"), "has_visible_faq": F.lit(False),
+                          "schema_count": F.lit(0), "image_count": F.lit(0), "images_with_alt": F.lit(0), "phones": none, "emails": none})
+
+
+@query(f"""WITH p AS (SELECT page_id, url, {DOMAIN} AS site_id, {TITLE} AS t, len(list_filter(string_split({STRIPPED}, ' '), lambda x: x <> '')) AS w, len(regexp_extract_all(html, '(?i)<h1[ >]')) AS h, regexp_matches(url, '(?i){urls.UTILITY}') AS u FROM pages),
+k AS (SELECT *, length(t) = 0 AS missing, NOT u AND length(t) > 0 AND (length(t) < 28 OR length(t) > 70) AS long, NOT u AND h <> 1 AS heads, NOT u AND w > 0 AND w < 300 AS thin FROM p),
+n AS (SELECT *, missing::INT + long::INT + heads::INT + thin::INT + CASE WHEN u THEN 0 ELSE 3 END AS n, 100 - 10 * (missing::INT + long::INT + heads::INT) - 18 * thin::INT - CASE WHEN u THEN 0 ELSE 38 END AS r FROM k)
+SELECT site_id, page_id, n::INT AS n_tasks, greatest(0, r)::INT AS readiness, CASE WHEN thin OR NOT u THEN 'High' ELSE 'Medium' END AS priority, (row_number() OVER (PARTITION BY site_id ORDER BY CASE WHEN thin OR NOT u THEN 0 ELSE 1 END, greatest(0, r), n DESC, page_id) - 1)::INT AS rank
+FROM n WHERE n > 0 QUALIFY rank < 60""")
+def page_plan(spark: SparkSession, sf: str) -> DataFrame:
+    p = plan_pages(spark, sf)
+    return tasks.page_plans(p.withColumn("url", F.concat("url", F.lit("#"), "page_id"))).select("site_id", F.regexp_extract("url", "#([0-9]+)$", 1).cast("long").alias("page_id"), F.size("tasks").alias("n_tasks"), "readiness", "priority", "rank")
+
+
+@query()
+def category_tasks_topk(spark: SparkSession, sf: str) -> DataFrame:
+    return tasks.category_tasks(score_sites(example_sites(spark, sf))).select("site_id", "ord", "id", "impact", "effort", "detail")
+
+
+@query()
+def general_tasks_dedupe(spark: SparkSession, sf: str) -> DataFrame:
+    return tasks.general_tasks(with_findings(score_sites(example_sites(spark, sf)))).select("site_id", "ord", "id", "title", "impact", "effort")
+
+
+def stores(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Audits, clients and sends, as orders, customers and line items."""
+    audits = table(spark, sf, "orders").select(c("o_orderkey").alias("id"), c("o_custkey").alias("client_id"), c("o_orderdate").alias("created_at"))
+    clients = table(spark, sf, "customer").select(c("c_custkey").alias("id"), c("c_name").alias("company_name"))
+    sends = table(spark, sf, "lineitem").select(c("l_orderkey").alias("audit_id"), c("l_shipdate").alias("sent_at"), c("l_linenumber").alias("id"), (c("l_quantity") > 25).cast("int").alias("open_count"))
+    return audits, clients, sends
+
+
+HISTORY_SQL = """WITH a AS (SELECT * FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 50),
+h AS (SELECT a.o_orderkey AS id, c_name AS company_name, o_orderdate AS created_at, count(l_orderkey) AS n_sends, count(*) FILTER (WHERE l_quantity > 25) AS n_opened FROM a LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL)"""
+
+
+@query(HISTORY_SQL + " SELECT id, company_name, created_at, n_sends::INT AS n_sends, n_opened::INT AS n_opened FROM h")
+def history_latest(spark: SparkSession, sf: str) -> DataFrame:
+    h = history.latest_history(*stores(spark, sf))
+    return h.select("id", "company_name", "created_at", F.size("sends").alias("n_sends"), F.size(F.filter("sends", lambda s: s["open_count"] > 0)).alias("n_opened"))
+
+
+@query(HISTORY_SQL + " SELECT count(*) AS audits, sum(n_sends)::BIGINT AS sends, sum(n_opened)::BIGINT AS opened FROM h")
+def history_kpis(spark: SparkSession, sf: str) -> DataFrame:
+    return history.history_kpis(history.latest_history(*stores(spark, sf)))
+
+
+@query("""SELECT c_name AS domain, c_custkey AS id, CASE WHEN c_custkey % 7 = 0 THEN 'new ' || c_mktsegment ELSE c_mktsegment END AS industry, 0 AS created_at FROM customer
+UNION ALL SELECT 'new ' || c_name, -c_custkey, 'new ' || c_mktsegment, 1 FROM customer WHERE c_custkey % 11 = 0""")
+def client_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    cust = table(spark, sf, "customer")
+    old = cust.select(c("c_name").alias("domain"), c("c_custkey").alias("id"), c("c_mktsegment").alias("industry"), F.lit(0).alias("created_at"))
+    changed = cust.where("c_custkey % 7 = 0").select("c_name", (-c("c_custkey")).alias("id"), F.concat(F.lit("new "), "c_mktsegment"), F.lit(1))
+    added = cust.where("c_custkey % 11 = 0").select(F.concat(F.lit("new "), "c_name"), -c("c_custkey"), F.concat(F.lit("new "), "c_mktsegment"), F.lit(1))
+    return history.upsert_clients(old, changed.union(added).toDF("domain", "id", "industry", "created_at"))
+
+
+@query("SELECT user_id AS send_id, count(*) AS open_count, min(ts) AS first_opened_at, max(ts) AS last_opened_at FROM events WHERE event_type = 'view' GROUP BY 1")
+def send_open_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return history.open_counts(table(spark, sf, "events").where("event_type = 'view'").select(c("user_id").alias("send_id"), "ts"))
+
+
+@query("SELECT o_orderkey AS id, o_orderdate AS sent_at FROM orders WHERE o_orderpriority = (SELECT min(o_orderpriority) FROM orders) ORDER BY o_orderdate DESC, o_orderkey LIMIT 25")
+def sends_by_domain(spark: SparkSession, sf: str) -> DataFrame:
+    o = table(spark, sf, "orders").select(c("o_orderkey").alias("id"), c("o_orderdate").alias("sent_at"), c("o_orderpriority").alias("domain"))
+    return history.sends_of_domain(o, o.agg(F.min("domain")).first()[0]).select("id", "sent_at")
+
+
+@query("""WITH k AS (SELECT DISTINCT c_custkey FROM customer WHERE c_nationkey > 3) SELECT 'audits' AS store, count(*) AS n FROM orders WHERE o_custkey IN (FROM k) UNION ALL SELECT 'clients', count(*) FROM k
+UNION ALL SELECT 'sends', count(*) FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_custkey IN (FROM k))""")
+def client_delete_cascade(spark: SparkSession, sf: str) -> DataFrame:
+    audits, _, sends = stores(spark, sf)
+    clients = table(spark, sf, "customer").select(c("c_custkey").alias("id"), "c_nationkey")
+    left = history.delete_client(clients, audits, sends.withColumn("client_id", F.lit(None).cast("long")), c("c_nationkey") <= 3)
+    parts = [d.agg(F.count("*").alias("n")).select(F.lit(name).alias("store"), "n") for name, d in zip(("clients", "audits", "sends"), left, strict=True)]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+@query("""WITH e AS (SELECT user_id AS run_id, event_id AS seq, event_type AS t, CAST(json_extract(props, '$.k') AS INT) AS k FROM events),
+p AS (SELECT *, CASE WHEN t = 'view' THEN 5 + floor(least(1.0, CASE WHEN k + 7 > 0 THEN k / least(greatest(k + 7, 1), 60)::DOUBLE ELSE 0 END) * 55 + 0.5) WHEN t = 'click' THEN 62 + floor(k / 100.0::DOUBLE * 10 + 0.5) ELSE 5 END::INT AS percent FROM e)
+SELECT run_id, seq, percent, max(percent) OVER (PARTITION BY run_id ORDER BY seq) AS shown FROM p""")
+def progress_running_max(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.get_json_object("props", "$.k").cast("int")
+    stage = F.when(c("event_type") == "view", "crawl").when(c("event_type") == "click", "competitor").otherwise("other")
+    line = F.to_json(F.struct(F.lit("progress").alias("type"), stage.alias("stage"), k.alias("crawled"), F.lit(7).alias("queued"), k.alias("index"), F.lit(100).alias("total")))
+    e = stream.parse_events(table(spark, sf, "events").select(c("user_id").alias("run_id"), c("event_id").alias("seq"), line.alias("value")))
+    order = Window.partitionBy("run_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    percent = stream.percent_of(c("stage"), c("crawled"), c("queued"), c("index"), c("total"), F.lit(60))
+    return e.select("run_id", "seq", percent.alias("percent")).withColumn("shown", F.max("percent").over(order))
+
+
+@query()
+def rate_limit(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events").select("event_id", "user_id", F.unix_millis(c("ts").cast("timestamp")).alias("at_ms"))
+    return stream.rate_limit(e, client="user_id", at_ms="at_ms", tie="event_id", window_ms=12 * 3_600_000, most=3).select("event_id", "user_id", "accepted")
+
+
+@query("SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS text, count(*) AS turns FROM conversations GROUP BY 1")
+def ordered_concat(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "conversations").select("conv_id", c("turn").alias("ord"), "text")
+    return d.groupBy("conv_id").agg(F.array_join(in_order(c("text")), "\n").alias("text"), F.count("*").alias("turns"))
+
+
+@query("SELECT p_partkey, left(regexp_replace(regexp_replace(lower(p_name || ' & ' || p_type), '[^a-z0-9]+', '-', 'g'), '(^-|-$)', '', 'g'), 80) AS slug FROM part")
+def slugs(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "part").select("p_partkey", tx.slugify(F.concat("p_name", F.lit(" & "), "p_type"), 80).alias("slug"))
+
+
+@query("""SELECT event_id, floor(value / 100 * 100 + 0.5)::INT AS score, coalesce(nullif(props, ''), 'Unknown') AS metric FROM (SELECT event_id, CASE WHEN value <= 100 THEN value END AS value, CASE WHEN event_type = 'view' THEN '' ELSE event_type END AS props FROM events)""")
+def pagespeed_projection(spark: SparkSession, sf: str) -> DataFrame:
+    body = F.to_json(F.struct(F.when(c("value") <= 100, c("value") / 100).alias("score"), F.when(c("event_type") == "view", "").otherwise(c("event_type")).alias("displayValue")))
+    p = table(spark, sf, "events").select("event_id", F.from_json(body, "score double, displayValue string").alias("j"))
+    return p.select("event_id", tx.rounded(c("j.score") * 100).alias("score"), F.coalesce(F.nullif("j.displayValue", F.lit("")), F.lit("Unknown")).alias("metric"))
+
+
+@query("SELECT c_custkey, sha256('audit-access:' || c_name) AS digest FROM customer")
+def access_digests(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "customer").select("c_custkey", tx.access_digest(c("c_name")).alias("digest"))
+
+
+@query("SELECT doc_id, (length(text) + len(regexp_extract_all(text, '[\\x{10000}-\\x{10FFFF}]')))::INT AS units, strlen(text) > 2000 AS truncated FROM documents")
+def text_units(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", tx.js_length(c("text")).alias("units"), (F.octet_length("text") > 2000).alias("truncated"))
+
+
+GUARDED = (("http://localhost/", True), ("https://127.0.0.1:8080/x", True), ("http://10.0.0.5", True), ("http://192.168.1.1/", True), ("http://172.15.0.1/", False), ("http://172.31.9.9/", True), ("http://internal.local", True), ("http://[::1]/", True), ("https://example.com/", False), ("http://230.1.1.1/", True))
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{u}', {str(p).lower()})" for u, p in GUARDED) + ") t(url, private)")
+def url_private_guard(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.createDataFrame([(u,) for u, _ in GUARDED], "url string").select("url", F.coalesce(urls.is_private_host(c("url")), F.lit(False)).alias("private"))
+
+
+NORMAL = (("example.com", "https://example.com/"), ("http://Example.com/page#section", "http://example.com/page"), (" https://a.b/c?d=e#f ", "https://a.b/c?d=e"), ("ftp://a.b", None), ("", None))
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', {f'{b!r}' if b else 'NULL'})" for a, b in NORMAL) + ") t(typed, url)")
+def url_normalize(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.createDataFrame([(a,) for a, _ in NORMAL], "typed string").select("typed", urls.normalized(c("typed")).alias("url"))
+
+
+@query("""SELECT c_custkey, lower(trim(e)) AS prospect_email, nullif(trim(n), '') AS prospect_name, CASE WHEN a IS NULL THEN 'A valid audit is required' WHEN NOT regexp_matches(lower(trim(e)), '^[^\\s@]+@[^\\s@]+\\.[^\\s@]+$') THEN 'A valid email is required' END AS error
+FROM (SELECT c_custkey, CASE WHEN c_custkey % 5 > 0 THEN 'x' END AS a, ' ' || c_mktsegment || CASE WHEN c_custkey % 3 = 0 THEN ' At x' ELSE '@Mail.Example ' END AS e, CASE WHEN c_custkey % 2 = 0 THEN '  ' ELSE c_name || ' ' END AS n FROM customer)""")
+def send_requests(spark: SparkSession, sf: str) -> DataFrame:
+    k = c("c_custkey")
+    r = table(spark, sf, "customer").select("c_custkey", F.when(k % 5 > 0, F.lit("0" * 36)).alias("audit_id"), F.concat(F.lit(" "), "c_mktsegment", F.when(k % 3 == 0, F.lit(" At x")).otherwise(F.lit("@Mail.Example "))).alias("prospect_email"), F.when(k % 2 == 0, F.lit("  ")).otherwise(F.concat("c_name", F.lit(" "))).alias("prospect_name"))
+    return history.new_send(r).select("c_custkey", "prospect_email", "prospect_name", "error")
+
+
+@query()
+def html_parse_full(spark: SparkSession, sf: str) -> DataFrame:
+    p = parse_pages(table(spark, sf, "pages"), ["page_id"])
+    return p.select("page_id", "title", F.size("h1").alias("h1_count"), F.size("links").alias("links"), F.length("text").alias("chars"), "has_landmarks", "has_form")
+
+
+@query()
+def html_links(spark: SparkSession, sf: str) -> DataFrame:
+    return page_links(parse_pages(table(spark, sf, "pages"), ["page_id", "url"]))
+
+
+@query()
+def audit_sites(spark: SparkSession, sf: str) -> DataFrame:
+    signals = whole.signals_of(whole.snapshot(table(spark, sf, "pages")))
+    return whole.audit(signals, as_of_year=YEAR).select("site_id", "page_count", "vertical", "overall", "aeo_geo", "seo", "ai_readiness", F.size("findings").alias("findings"))
+
+
+@query()
+def frontier_replay(spark: SparkSession, sf: str) -> DataFrame:
+    p = parse_pages(table(spark, sf, "pages").select("url", urls.domain(c("url")).alias("site_id"), "html"), ["url", "site_id"])
+    p = p.withColumn("url", urls.canonical(c("url"))).dropDuplicates(["site_id", "url"])
+    links = page_links(p).groupBy("url").agg(F.array_sort(F.collect_list(F.struct(c("target").alias("url"), urls.priority(c("target")).alias("priority")))).alias("targets"))
+    edges = p.select("site_id", c("url").alias("page")).join(links.withColumnRenamed("url", "page"), "page", "left").select("site_id", c("page").alias("url"), F.lit(True).alias("found"), F.lit(False).alias("blocked"), "targets")
+    start = p.select("site_id", "url", urls.priority(c("url")).alias("priority")).withColumn("rank", F.row_number().over(Window.partitionBy("site_id").orderBy(c("priority").desc(), "url")))
+    return frontier.replay(edges, start)
+
+
+@query()
+def report_markdown(spark: SparkSession, sf: str) -> DataFrame:
+    sites = with_findings(score_sites(example_sites(spark, sf))).select("site_id", "domain", "start_url", "page_count", *(k for _, k in render.REPORT_SCORES), "findings", "categories")
+    return render.rendered(sites)
+
+
+@query()
+def comparison_svg(spark: SparkSession, sf: str) -> DataFrame:
+    s = score_sites(example_sites(spark, sf)).select("site_id", *(k for _, k in render.DIMENSIONS))
+
+    def run(batches):
+        for df in batches:
+            rows = df.to_dict("records")
+            yield df[["site_id"]].assign(svg=[render.chart(r["site_id"], r, [{"name": "other", "scores": rows[0]}]) for r in rows])
+
+    return s.mapInPandas(run, "site_id string, svg string")

@@ -1,0 +1,198 @@
+"""Pages of HTML as rows of signals, in Arrow batches.
+
+The fat ``html`` column is read here and dropped: what follows works on the signals alone. Signals are those of a page as parsed,
+with script and style text of the body counted as text.
+"""
+
+from __future__ import annotations
+
+import json
+import re
+from html.parser import HTMLParser
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from lumenaudit.functions import text as tx
+from lumenaudit.functions.urls import page_like, resolve, site_of
+
+VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+HEAD = {"html", "head", "title", "meta", "link", "script", "style", "base", "noscript", "template"}
+LANDMARK_TAG = re.compile(r"<(main|nav|header|footer|aside)\b", re.I)
+LANDMARK_ROLES = {"main", "navigation", "banner", "contentinfo", "search"}
+SPACE = re.compile(tx.SPACE.encode().decode("unicode_escape"))
+CAPTURED = {"title", "h1", "h2", "h3", "h4", "dt"}
+MOST_JSON = 8000
+
+PARSED = (
+    "title string, meta_description string, canonical string, robots_meta string, h1 array<string>, h2 array<string>, h3 array<string>, text string, links array<string>, "
+    "image_count int, images_with_alt int, inputs int, labels int, aria_labels int, has_landmarks boolean, faq_markup boolean, question_headings int, has_form boolean, "
+    "has_tel_link boolean, has_mail_link boolean, nodes array<struct<types:array<string>,id:string,name:string,raw:string>>, invalid array<struct<message:string,sample:string>>"
+)
+
+
+def normal(text: str | None) -> str:
+    return SPACE.sub(" ", text or "").strip(" ")
+
+
+class Page(HTMLParser):
+    """Collects what the signals need in one pass."""
+
+    def __init__(self, html: str):
+        super().__init__(convert_charrefs=True)
+        self.texts: dict[str, list[str]] = {k: [] for k in CAPTURED}
+        self.open: list[tuple[str, list[str]]] = []
+        self.body: list[str] = []
+        self.in_body, self.head_depth, self.json_ld = False, 0, None
+        self.metas: dict[str, str] = {}
+        self.canonical, self.links, self.blocks = None, [], []
+        self.n = dict.fromkeys(("img", "alt", "input", "label", "aria"), 0)
+        self.faq = self.form = self.role = False
+        self.feed(html)
+        self.close()
+        while self.open:
+            self._shut()
+
+    def handle_starttag(self, tag, attrs):
+        a = {}
+        for k, v in attrs:
+            a.setdefault(k, v if v is not None else "")
+        if tag == "body" or tag not in HEAD:
+            self.in_body = True
+        if tag == "meta" and (name := a.get("name", "").lower()) in ("description", "robots"):
+            self.metas.setdefault(name, a.get("content", ""))
+        elif tag == "link" and a.get("rel", "").lower() == "canonical" and self.canonical is None:
+            self.canonical = a.get("href") or None
+        elif tag == "a" and "href" in a:
+            self.links.append(a["href"])
+        elif tag == "img":
+            self.n["img"] += 1
+            self.n["alt"] += bool(normal(a.get("alt")))
+        elif tag in ("input", "textarea", "select"):
+            self.n["input"] += 1
+        elif tag == "label":
+            self.n["label"] += 1
+        elif tag == "form":
+            self.form = True
+        elif tag == "script" and a.get("type", "").lower() == "application/ld+json":
+            self.json_ld = []
+        self.n["aria"] += "aria-label" in a
+        self.role |= a.get("role") in LANDMARK_ROLES
+        self.faq |= "faq" in a.get("class", "").lower() or "faq" in a.get("id", "").lower()
+        if tag in CAPTURED:
+            self.open.append((tag, []))
+        if tag in ("title", "script", "style") and not self.in_body:
+            self.head_depth += 1
+
+    def handle_endtag(self, tag):
+        if tag in ("title", "script", "style") and self.head_depth:
+            self.head_depth -= 1
+        if tag == "head":
+            self.in_body, self.head_depth = True, 0
+        if tag == "script" and self.json_ld is not None:
+            self.blocks.append("".join(self.json_ld).strip())
+            self.json_ld = None
+        if any(t == tag for t, _ in self.open):
+            while self._shut() != tag:
+                pass
+
+    def _shut(self) -> str:
+        tag, parts = self.open.pop()
+        self.texts[tag].append(normal("".join(parts)))
+        return tag
+
+    def handle_data(self, data):
+        if self.json_ld is not None:
+            self.json_ld.append(data)
+        for _, parts in self.open:
+            parts.append(data)
+        if not self.in_body and not self.head_depth and data.strip():
+            self.in_body = True
+        if self.in_body and not self.head_depth:
+            self.body.append(data)
+
+
+def flat_nodes(value: object) -> list:
+    """JSON-LD values without lists and graphs around them."""
+    todo, out = [value], []
+    while todo:
+        v = todo.pop(0)
+        if isinstance(v, list):
+            todo[:0] = v
+        elif isinstance(v, dict) and v.get("@graph"):
+            todo.insert(0, v["@graph"])
+        elif v:
+            out.append(v)
+    return out
+
+
+def types_of(node: object) -> list[str]:
+    kind = node.get("@type") if isinstance(node, dict) else None
+    return [str(t) for t in kind] if isinstance(kind, list) and kind else [str(kind)] if kind and not isinstance(kind, list) else ["Unknown"]
+
+
+def json_ld(blocks: list[str]) -> tuple[list[dict], list[dict]]:
+    nodes, invalid = [], []
+    for raw in filter(None, blocks):
+        try:
+            found = flat_nodes(json.loads(raw))
+        except ValueError as e:
+            invalid.append({"message": str(e), "sample": raw[:180]})
+            continue
+        for x in found:
+            d = x if isinstance(x, dict) else {}
+            text = json.dumps(x, ensure_ascii=False, separators=(",", ":"))
+            name = d.get("name") or d.get("legalName") or d.get("headline")
+            nodes.append({"types": types_of(x), "id": str(d["@id"]) if d.get("@id") else None, "name": str(name) if name else None, "raw": text if len(text) <= MOST_JSON else "{}"})
+    return nodes, invalid
+
+
+def parse(html: str | None) -> dict:
+    """The parsed columns of a page."""
+    p = Page(html or "")
+    nodes, invalid = json_ld(p.blocks)
+    filled = lambda k: [t for t in p.texts[k] if t]
+    return {
+        "title": (p.texts["title"] or [""])[0], "meta_description": normal(p.metas.get("description")), "canonical": p.canonical, "robots_meta": p.metas.get("robots", ""),
+        "h1": filled("h1"), "h2": filled("h2"), "h3": filled("h3"), "text": normal("".join(p.body))[: tx.PAGE_TEXT_CHARS], "links": p.links,
+        "image_count": p.n["img"], "images_with_alt": p.n["alt"], "inputs": p.n["input"], "labels": p.n["label"], "aria_labels": p.n["aria"],
+        "has_landmarks": bool(LANDMARK_TAG.search(html or "")) or p.role, "faq_markup": p.faq,
+        "question_headings": sum(t.endswith("?") for k in ("h2", "h3", "h4", "dt") for t in p.texts[k]), "has_form": p.form,
+        "has_tel_link": any(x.startswith("tel:") for x in p.links), "has_mail_link": any(x.startswith("mailto:") for x in p.links), "nodes": nodes, "invalid": invalid,
+    }
+
+
+def parse_pages(pages: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep`` columns and the parsed columns of each page's ``html``."""
+    ddl = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keep) + ", " + PARSED
+    schema = to_arrow_schema(T.StructType.fromDDL(ddl))
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
+                rows = [parse(h) for h in part.column(part.schema.get_field_index("html")).to_pylist()]
+                cols = [part.column(part.schema.get_field_index(f.name)) if f.name in keep else pa.array([r[f.name] for r in rows], f.type) for f in schema]
+                yield pa.RecordBatch.from_arrays(cols, schema=schema)
+
+    return pages.select(*dict.fromkeys([*keep, "html"])).mapInArrow(run, ddl)
+
+
+def page_links(parsed: DataFrame, root: str = "url") -> DataFrame:
+    """``(url, target)``: the distinct pages of the same site that a page links to."""
+
+    def run(batches):
+        for batch in batches:
+            src, dst = [], []
+            for url, start, links in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                found = dict.fromkeys(t for x in links or () if (t := resolve(x, url)))
+                for t in found:
+                    if site_of(t) == site_of(start) and page_like(t):
+                        src.append(url)
+                        dst.append(t)
+            yield pa.RecordBatch.from_arrays([pa.array(src, pa.string()), pa.array(dst, pa.string())], names=["url", "target"])
+
+    return parsed.select("url", F.col(root).alias("__root"), "links").mapInArrow(run, "url string, target string")
