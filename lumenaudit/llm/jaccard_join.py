@@ -29,7 +29,8 @@ from lumenaudit.llm.hashing import A, B, WordCodes, mixed, signed
 from lumenaudit.llm.stars import ENTRY, shared_lists, stars
 
 WIDTH = 5
-BUCKETS = 128
+#: Buckets of a set's counts, by its size: more for larger sets, so that the bound stays sharp. Each divides the next, so that counts can be folded.
+BUCKETS = ((0, 128), (1_500, 1_024), (12_000, 8_192))
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 NUMERATOR, DENOMINATOR = 4, 5  # similarity of 0.8 or more
 
@@ -53,7 +54,24 @@ def set_hash(s: np.ndarray) -> int:
 
 def sketch(s: np.ndarray) -> bytes:
     """Counts of the elements by bucket, modulo 256."""
-    return np.bincount((s >> np.uint64(20)).astype(np.int64) % BUCKETS, minlength=BUCKETS).astype(np.uint8).tobytes()
+    buckets = next(b for least, b in reversed(BUCKETS) if len(s) >= least)
+    return np.bincount((s >> np.uint64(20)).astype(np.int64) % buckets, minlength=buckets).astype(np.uint8).tobytes()
+
+
+def gaps(mine: bytes, others: list[bytes]) -> np.ndarray:
+    """Lower bounds of the symmetric differences of a set with others, from their counts: those of the finer one are folded."""
+    out = np.zeros(len(others), np.int64)
+    widths = np.fromiter(map(len, others), np.int64, len(others))
+    own = np.frombuffer(mine, np.uint8)
+    for width in np.unique(widths).tolist():
+        at = np.flatnonzero(widths == width)
+        rows = np.frombuffer(b"".join([others[k] for k in at.tolist()]), np.uint8).reshape(len(at), width)
+        w = min(width, len(own))
+        a = own.reshape(-1, w).sum(axis=0, dtype=np.uint8)
+        b = rows.reshape(len(at), -1, w).sum(axis=1, dtype=np.uint8)
+        d = b - a  # modulo 256: the way round is never more than the true difference
+        out[at] = np.minimum(d, np.uint8(0) - d).sum(axis=1, dtype=np.int64)
+    return out
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -193,13 +211,12 @@ def _open_pairs(lists: DataFrame, classes: DataFrame, labels: DataFrame, block:
 
     def compare(where, held):
         own, cls, comp, n = (np.array([r[k] for r in held], np.int64) for k in range(4))
-        counts = np.frombuffer(b"".join(r[4] for r in held), np.uint8).reshape(len(held), BUCKETS)
+        counts = [r[4] for r in held]
         a, b = [], []
         for k in range(len(held) - 1):
             fits = np.flatnonzero((comp[k + 1 :] != comp[k]) & (n[k + 1 :] * DENOMINATOR >= NUMERATOR * n[k]) & (n[k] * DENOMINATOR >= NUMERATOR * n[k + 1 :]) & ((own[k + 1 :] != own[k]) | (where[1] == where[2])))
             if len(fits):
-                d = counts[k + 1 + fits] - counts[k]  # modulo 256: the way round is never more than the true difference
-                gap = np.minimum(d, np.uint8(0) - d).astype(np.int64).sum(axis=1)
+                gap = gaps(counts[k], [counts[k + 1 + j] for j in fits.tolist()])
                 fits = fits[gap * (NUMERATOR + DENOMINATOR) <= (n[k + 1 + fits] + n[k]) * (DENOMINATOR - NUMERATOR)]
                 a += [max(cls[k], x) for x in cls[k + 1 + fits].tolist()]
                 b += [min(cls[k], x) for x in cls[k + 1 + fits].tolist()]
