@@ -113,7 +113,7 @@ def test_competitors(spark):
     other = score_sites(whole.example_site(spark, site_id="o.com", domain="o.com", schema_count=12, trust_pages=0))
     pairs = spark.createDataFrame([("example.com", "o.com", "", "https://o.com", None, 0), ("example.com", "gone.com", "Gone", "https://gone.com", "Request timed out", 1), ("example.com", "x", "", "https://x", None, 5)], "site_id string, competitor_id string, name string, url string, error string, ord int")
     a, b = competitors.compare(pairs, own.unionByName(other)).orderBy("ord").collect()
-    assert a.gaps == ["Schema coverage: competitor has 12, audited site has 4"] and a.advantages == ["Trust pages: audited site has 3, competitor has 0"] and a.score_diff == 0
+    assert a.gaps == ["Schema coverage: competitor has 12, audited site has 4"] and a.advantages == ["Trust pages: audited site has 3, competitor has 0"] and a.score_diff == -3  # no trust pages: 20 of the vertical, weighed 0.15
     assert (b.name, b.error, b.score_diff, b.gaps) == ("Gone", "Request timed out", None, [])
 
 
