@@ -96,7 +96,8 @@ def rate_limit(requests: DataFrame, *, client: str, at_ms: str, tie: str, window
 
 
 def rate_limit_stream(requests: DataFrame, *, client: str, at_ms: str, window_ms: int = WINDOW_MS, most: int = MOST_REQUESTS) -> DataFrame:
-    """The same on a stream: ``client, at_ms, accepted``. State is the log of accepted times; it is dropped when a client is idle for a window."""
+    """The same on a stream: ``client, at_ms, accepted``. State is the log of accepted times; it goes when event time has passed a client by more than a window.
+    Requests that come later than a window are left out, as their client's log may be gone."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -107,11 +108,12 @@ def rate_limit_stream(requests: DataFrame, *, client: str, at_ms: str, window_ms
         times = sorted(t for df in batches for t in df[at_ms].tolist())
         flags, log = accepted(times, log, window_ms, most)
         state.update((log,))
-        state.setTimeoutDuration(window_ms)
+        state.setTimeoutTimestamp(max(log[-1] + 2 * window_ms if log else 0, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({client: [key[0]] * len(times), at_ms: times, "accepted": flags})
 
     kind = requests.schema[client].dataType.simpleString()
-    return requests.groupBy(client).applyInPandasWithState(run, f"{client} {kind}, {at_ms} long, accepted boolean", "log array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = requests.select(client, at_ms, F.timestamp_millis(at_ms).alias("at")).withWatermark("at", f"{window_ms} milliseconds")
+    return timed.groupBy(client).applyInPandasWithState(run, f"{client} {kind}, {at_ms} long, accepted boolean", "log array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def open_counts_stream(opens: DataFrame) -> DataFrame:

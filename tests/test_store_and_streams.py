@@ -49,7 +49,7 @@ def limited(times, window, most):
 
 def test_rate_limit_batch_and_stream(spark, tmp_path):
     r = np.random.default_rng(0)
-    rows = [(int(c), int(t), k) for k, (c, t) in enumerate(zip(r.integers(0, 5, 300), np.sort(r.integers(0, 4000, 300)), strict=True))]
+    rows = [(int(c), int(t), k) for k, (c, t) in enumerate(zip(r.integers(0, 5, 300), np.sort(r.integers(10_000, 14_000, 300)), strict=True))]
     want = {}
     for c in range(5):
         mine = [x for x in rows if x[0] == c]
@@ -62,7 +62,7 @@ def test_rate_limit_batch_and_stream(spark, tmp_path):
     q = stream.rate_limit_stream(source, client="client", at_ms="at_ms", window_ms=300, most=3).writeStream.format("memory").queryName("limited").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
     got = spark.sql("SELECT count(*) n, count_if(accepted) a FROM limited").first()
-    assert got.n == 300 and abs(got.a - sum(want.values())) <= 40
+    assert got.n == 300 and got.a == sum(want.values())
 
 
 def test_open_counts_stream(spark, tmp_path):
