@@ -1,6 +1,6 @@
 """Removal of byte strings that an earlier document has too, by threshold-bounded interval expansion on Burrows-Wheeler transforms.
 
-A window is a string of ``LENGTH`` bytes inside a document. Each has a key from its own bytes, the least hash of the 24-byte grams in it, so that
+A window is a string of ``LENGTH`` bytes inside a document. Each has a key from its own bytes, the least hash of the 20-byte grams in it, so that
 equal windows have equal keys, and windows that follow each other mostly share one. Consecutive windows of one key form a segment.
 
 1. Keys of several documents are found with one shuffle of keys (``stars``); others can't repeat across documents.
@@ -29,7 +29,7 @@ from lumenaudit.llm.hashing import A, B, C, mixed, signed
 from lumenaudit.llm.stars import ENTRY, shared_lists, stars
 
 LENGTH = 50
-GRAM = 24
+GRAM = 20  # shorter grams make fewer keys, but more keys that documents share by chance
 SPAN = LENGTH - GRAM + 1  # grams in a window
 #: Windows in a segment at most; a gram lies in no more windows anyway unless a text repeats itself.
 SEGMENT = SPAN
@@ -50,7 +50,7 @@ def segments(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndar
     data = whole + bytes(32)
     x = np.ndarray((n,), "<u8", data, strides=(1,))
     y = np.ndarray((n,), "<u8", data, 8, strides=(1,))
-    z = np.ndarray((n,), "<u8", data, 16, strides=(1,))
+    z = np.ndarray((n,), "<u8", data, GRAM - 8, strides=(1,))
     m = mixed(mixed(x * A + mixed(y * B)) + z * C)[: n - GRAM + 1]
     done = 1
     while done * 2 <= SPAN:  # the least of 2, 4, 8, 16 grams, then of SPAN
