@@ -9,7 +9,7 @@ entries scanned, with the mean list length measured on all texts.
 Within a list nothing is paired with everything. Each task pre-aggregates its entries of a list into a star around its least class and only forwards
 that one; the lists of forwarded classes are stars again. Stars are verified on the texts, the components of the links labelled. Lists
 that still hold several components are completed: their pairs across components, of fitting sizes and fitting bucket counts (a bound of the symmetric difference), are
-verified too. Long lists are cut into blocks for that, pair of blocks by pair of blocks. Pairs of one component need no test, as results tell components.
+verified too. Before that, lists get a few more stars around other members, which join most of what belongs together. Long lists are cut into blocks for that, pair of blocks by pair of blocks. Pairs of one component need no test, as results tell components.
 
 Null and empty texts have empty sets and link with nothing; repeated rows (also of one doc_id) are equal sets. A null doc_id is not supported as a component's name:
 such rows are in a class like others but never name it. Any length of text works; a task holds the texts of one slice.
@@ -188,6 +188,21 @@ def _verified(pairs: DataFrame, texts: DataFrame, classes_per_task: int = 256) -
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def _fitting(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Those of the pairs ``(a, b)`` whose sizes allow a link."""
+    n = classes.select("cls", "n")
+    sized = pairs.join(n.select(F.col("cls").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("cls").alias("b"), F.col("n").alias("nb")), "b")
+    return sized.where((F.col("na") * DENOMINATOR >= F.col("nb") * NUMERATOR) & (F.col("nb") * DENOMINATOR >= F.col("na") * NUMERATOR)).select("a", "b")
+
+
+def _stars_across(lists: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
+    """Pairs of each list's members with one of them, another for each turn, where they lie in different components: as many as members, not as pairs of members."""
+    named = lists.select("sig", "cls").join(labels.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    hub = named.groupBy("sig").agg(F.min(F.struct(F.xxhash64("cls", F.lit(turn)).alias("h"), F.col("cls").alias("b"), F.col("component").alias("other"))).alias("hub"), F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
+    pairs = named.join(hub.select("sig", "hub.b", "hub.other"), "sig").where("component <> other")
+    return pairs.select(F.greatest("cls", "b").alias("a"), F.least("cls", "b").alias("b")).distinct()
+
+
 def _open_pairs(lists: DataFrame, classes: DataFrame, labels: DataFrame, block: int = 1024) -> DataFrame:
     """Pairs across components within lists, whose sizes and bucket counts allow a link."""
     named = lists.select("sig", "cls").join(labels.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
@@ -226,7 +241,7 @@ def _open_pairs(lists: DataFrame, classes: DataFrame, labels: DataFrame, block:
     return rows.repartition("sig", "p", "q").sortWithinPartitions("sig", "p", "q").mapInArrow(run, "a long, b long").distinct()
 
 
-def join(docs: DataFrame, *, heavy_share: float = 0.001, most_heavy: int = 1_000_000) -> DataFrame:
+def join(docs: DataFrame, *, heavy_share: float = 0.001, most_heavy: int = 1_000_000, star_turns: int = 2) -> DataFrame:
     """``doc_id, n_shingles, class_id, component_id`` of every row; class_id is the least doc_id with the same set."""
     docs = docs.select("doc_id", "text")
     survey = written(_survey(docs, heavy_share))
@@ -243,12 +258,15 @@ def join(docs: DataFrame, *, heavy_share: float = 0.001, most_heavy: int = 1_000
     lists = written(shared_lists(_entries(docs, heavy, boundary)).withColumnRenamed("member", "cls"))
     candidates = lists.select("cls").distinct().join(classes.select("cls", "rep"), "cls")
     texts = written(docs.join(candidates, docs["doc_id"] == candidates["rep"]).select("cls", "text").dropDuplicates(["cls"]))
-    size_of = classes.select("cls", "n")
     pairs = lists.where("cls <> pivot").select(F.col("cls").alias("a"), F.col("pivot").alias("b")).distinct()
-    sized = pairs.join(size_of.select(F.col("cls").alias("a"), F.col("n").alias("na")), "a").join(size_of.select(F.col("cls").alias("b"), F.col("n").alias("nb")), "b")
-    fitting = sized.where((F.col("na") * DENOMINATOR >= F.col("nb") * NUMERATOR) & (F.col("nb") * DENOMINATOR >= F.col("na") * NUMERATOR)).select("a", "b")
-    links = written(_verified(fitting, texts))
+    links = written(_verified(_fitting(pairs, classes), texts))
     labels = components(links)
+    for turn in range(star_turns):  # most of what is still apart meets in further stars; the completion below is exact whatever they leave
+        across = written(_fitting(_stars_across(lists, labels, turn), classes))
+        if across.limit(1).count() == 0:
+            break
+        links = written(links.union(_verified(across, texts)))
+        labels = components(links)
     pairs = written(_open_pairs(lists, classes, labels))
     more = written(_verified(pairs, texts))
     release(pairs, lists, texts)
