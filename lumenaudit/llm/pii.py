@@ -1,25 +1,27 @@
 """Personal data: base patterns, and identifiers that bootstrapped contexts reveal.
 
 The base patterns' matches are the seeds. The one to three words before a seed, on its line, are candidate patterns; one counts if at least
-``least_seeds`` different seeds of a kind and ``least_share`` of a third of the kind's rows (distinct seeds by context) stand behind it. So no
-more than ``3 / least_share`` patterns a kind can do so, whatever the corpus, and they can be broadcast. A second pass
-over all texts counts what follows each pattern: seeds, other identifier-like tokens, or ordinary words. On this graph of patterns and
-instances Spark scores in turn patterns by their instances and instances by their patterns. The last pass adds, as kind ``id``, the
-identifier-like tokens that follow a pattern of at least ``least_score``. Base spans always stay.
+``least_seeds`` different seeds of a kind stand behind it, however large the corpus. Their number grows with the corpus, so they stay a table, and texts meet
+them in blocks of about ``MOST_PATTERNS``, a pass over all texts for each block: all that is broadcast is one block. These passes
+count what follows each pattern: seeds, other identifier-like tokens, or ordinary words. On this graph of patterns and
+instances Spark scores in turn patterns by their instances and instances by their patterns. The last passes (one for each block of learnt patterns) add, as
+kind ``id``, the identifier-like tokens that follow a pattern of at least ``least_score``. Base spans always stay.
 
 Positions are code points, ends exclusive. Null and empty texts have no spans. Repeated rows are searched each by itself; other columns pass through.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenaudit.llm.common import columns, map_slices, shared_value, written
+from lumenaudit.llm.common import columns, map_slices, release, shared_value, written
 
 KINDS = ("email", "ip", "card", "phone", "id")
 ORDER = {k: n for n, k in enumerate(KINDS)}
@@ -34,6 +36,31 @@ TOKEN = re.compile(r"\S+")
 #: What may be an identifier: six or more characters, two digits among them, between marks that may enclose it.
 IDENTIFIER = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9_/.@-]{4,62})[A-Za-z0-9]")
 Span = tuple[str, int, int]
+#: Patterns that the driver and a worker hold at a time.
+MOST_PATTERNS = 500_000
+#: Column of the ``id`` spans that earlier blocks of patterns found.
+KNOWN = "__known"
+
+
+class Patterns:
+    """A table of distinct patterns, of any number; iteration fetches them in blocks."""
+
+    def __init__(self, table: DataFrame, most: int = MOST_PATTERNS):
+        self.table, self.most = table, most
+
+    def blocks(self) -> Iterator[list[str]]:
+        """The patterns in blocks of about ``most``, cut by hash."""
+        n = math.ceil(self.table.count() / self.most)
+        for k in range(n):
+            yield sorted(r.pattern for r in self.table.where(F.pmod(F.xxhash64("pattern"), F.lit(n)) == k).select("pattern").collect())
+
+    def __iter__(self) -> Iterator[str]:
+        return (p for block in self.blocks() for p in block)
+
+
+def sent(docs: DataFrame, block: list[str]):
+    """A block of patterns and their last words, for the workers."""
+    return shared_value(docs.sparkSession, (set(block), {p.split(" ")[-1] for p in block}))
 
 
 def luhn(digits: str) -> bool:
@@ -114,12 +141,10 @@ def _seeds(docs: DataFrame) -> DataFrame:
     return map_slices(docs.select("text"), run, "kind string, pattern string, instance string").distinct()
 
 
-def candidate_patterns(docs: DataFrame, least_seeds: int, least_share: float) -> list[str]:
-    """Contexts of enough different seeds; at most ``3 / least_share`` a kind."""
-    seeds = written(_seeds(docs))
-    kinds = seeds.groupBy("kind").agg(F.count("*").alias("all"))
-    found = seeds.groupBy("kind", "pattern").agg(F.count("*").alias("n")).join(F.broadcast(kinds), "kind")
-    return sorted({r.pattern for r in found.where((F.col("n") >= least_seeds) & (F.col("n") >= F.col("all") * least_share / 3)).select("pattern").collect()})
+def candidate_patterns(docs: DataFrame, least_seeds: int) -> DataFrame:
+    """``pattern``: all contexts of at least ``least_seeds`` different seeds of a kind."""
+    counts = _seeds(docs).groupBy("kind", "pattern").agg(F.count("*").alias("n"))
+    return written(counts.where(F.col("n") >= least_seeds).select("pattern").distinct())
 
 
 def followers(text: str, patterns: set[str], last: set[str], spans: list[Span]):
@@ -141,9 +166,8 @@ def followers(text: str, patterns: set[str], last: set[str], spans: list[Span]):
         window = [*window[-2:], plain(m[0])]
 
 
-def _edges(docs: DataFrame, patterns: list[str]) -> DataFrame:
-    """What follows the patterns in all texts: ``(pattern, instance, seed, n)``, with null instances for ordinary words."""
-    sent = shared_value(docs.sparkSession, (set(patterns), {p.split(" ")[-1] for p in patterns}))
+def _edges(docs: DataFrame, block: list[str]) -> DataFrame:
+    """What follows the patterns of a block in all texts: ``(pattern, instance, seed, n)``, with null instances for ordinary words."""
 
     def run(cols: dict, state: tuple) -> dict:
         got: Counter = Counter()
@@ -155,52 +179,90 @@ def _edges(docs: DataFrame, patterns: list[str]) -> DataFrame:
         keys = list(got)
         return {"pattern": [k[0] for k in keys], "instance": [k[1] for k in keys], "seed": [k[2] for k in keys], "n": [got[k] for k in keys]}
 
-    rows = map_slices(docs.select("text"), run, "pattern string, instance string, seed boolean, n long", setup=sent)
+    rows = map_slices(docs.select("text"), run, "pattern string, instance string, seed boolean, n long", setup=sent(docs, block))
     return rows.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.sum("n").alias("n"))
 
 
 def score_patterns(edges: DataFrame, rounds: int) -> DataFrame:
     """``(pattern, score)``: the share of what follows a pattern that are identifiers, each weighed by its own score; an instance that is no seed has the
-    mean score of its patterns by how often it follows them."""
-    score = F.when(F.col("seed"), F.lit(1.0)).otherwise(F.lit(0.0))
-    patterns = edges.groupBy("pattern").agg((F.sum(F.col("n") * score) / F.sum("n")).alias("score"))
+    mean score of its patterns by how often it follows them. Patterns and instances are both joined by key."""
+    settled = edges.where("instance IS NULL OR seed").select("pattern", "n", F.col("seed").cast("double").alias("value"))
+    unsettled = edges.where("instance IS NOT NULL AND NOT seed")
+    weighed = settled.unionByName(unsettled.select("pattern", "n", F.lit(0.0).alias("value")))
+    patterns = weighed.groupBy("pattern").agg((F.sum(F.col("n") * F.col("value")) / F.sum("n")).alias("score"))
     for _ in range(rounds - 1):
-        known = edges.join(F.broadcast(patterns), "pattern")
-        instances = known.where("instance IS NOT NULL AND NOT seed").groupBy("instance").agg((F.sum(F.col("n") * F.col("score")) / F.sum("n")).alias("value"))
-        weighed = edges.join(instances, "instance", "left")
-        value = F.when(F.col("seed"), F.lit(1.0)).otherwise(F.coalesce(F.col("value"), F.lit(0.0)))
-        patterns = weighed.groupBy("pattern").agg((F.sum(F.col("n") * value) / F.sum("n")).alias("score"))
+        known = unsettled.join(patterns, "pattern")
+        instances = known.groupBy("instance").agg((F.sum(F.col("n") * F.col("score")) / F.sum("n")).alias("value"))
+        weighed = settled.unionByName(unsettled.join(instances, "instance").select("pattern", "n", "value"))
+        patterns = weighed.groupBy("pattern").agg((F.sum(F.col("n") * F.col("value")) / F.sum("n")).alias("score"))
     return patterns
 
 
-def learn_patterns(docs: DataFrame, *, least_seeds: int = 5, least_share: float = 0.003, least_score: float = 0.6, rounds: int = 3) -> list[str]:
+def learn_patterns(docs: DataFrame, *, least_seeds: int = 5, least_score: float = 0.6, rounds: int = 3, most: int = MOST_PATTERNS) -> Patterns:
     """The contexts that announce identifiers, learnt from all texts."""
-    found = candidate_patterns(docs, least_seeds, least_share)
-    if not found:
-        return []
-    return sorted(r.pattern for r in score_patterns(written(_edges(docs, found)), rounds).where(F.col("score") >= least_score).collect())
-
-
-def all_spans(text: str | None, patterns: set[str], last: set[str]) -> tuple[list[Span], list[Span]]:
+    found = candidate_patterns(docs, least_seeds)
+    parts = [written(_edges(docs, block)) for block in Patterns(found, most).blocks()]
+    if not parts:
+        return Patterns(found, most)
+    edges = parts[0]
+    for part in parts[1:]:
+        edges = edges.unionByName(part)
+    learnt = written(score_patterns(edges, rounds).where(F.col("score") >= least_score).select("pattern"))
+    release(found, *parts)
+    return Patterns(learnt, most)
+
+
+def all_spans(text: str | None, patterns: set[str], last: set[str], known: list[Span] = ()) -> tuple[list[Span], list[Span]]:
+    """Base spans, and these with the ``known`` spans and those that the patterns announce."""
     base = base_spans(text)
-    if not text or not patterns:
+    if not text or not (patterns or known):
         return base, base
     extra = {("id", *hit) for _, seed, hit in followers(text, patterns, last, base) if hit and not any(a < hit[1] and hit[0] < b for _, a, b in base)}
-    return base, ordered([*base, *extra])
+    return base, ordered([*base, *extra.union(known)])
+
+
+def searched(cols: dict, state: tuple) -> list[tuple[list[Span], list[Span]]]:
+    """``all_spans`` of each row of a slice."""
+    known = cols[KNOWN].to_pylist() if KNOWN in cols else [None] * len(cols["text"])
+    return [all_spans(t, *state, [("id", *map(int, k.split(":"))) for k in ks.split(",")] if ks else []) for t, ks in zip(cols["text"].to_pylist(), known, strict=True)]
+
+
+def _to_last_block(docs: DataFrame, patterns: Patterns | Iterable[str]) -> tuple[DataFrame, list[str]]:
+    """The rows with what all blocks of patterns but the last announce (in ``KNOWN``, if there is more than one), and the last block."""
+    if not isinstance(patterns, Patterns):
+        return docs, list(patterns)
+    last: list[str] = []
+    stored: list[DataFrame] = []
+    for k, block in enumerate(patterns.blocks()):
+        if k:
+            docs = written(_noted(docs, last))
+            release(*stored)
+            stored = [docs]
+        last = block
+    return docs, last
+
+
+def _noted(docs: DataFrame, block: list[str]) -> DataFrame:
+    names = [c for c in docs.columns if c != KNOWN]
+
+    def run(cols: dict, state: tuple) -> dict:
+        return {c: cols[c] for c in names} | {KNOWN: [",".join(f"{a}:{b}" for k, a, b in spans if k == "id") for _, spans in searched(cols, state)]}
+
+    return map_slices(docs, run, columns(docs, names, f"{KNOWN} string")[1], setup=sent(docs, block))
 
 
-def find(docs: DataFrame, keep: list[str], patterns: list[str]) -> DataFrame:
+def find(docs: DataFrame, keep: list[str], patterns: Patterns | Iterable[str]) -> DataFrame:
     """``keep`` columns, ``base`` and ``spans`` (as ``kind:start:end``, comma-joined) of every row."""
-    sent = shared_value(docs.sparkSession, (set(patterns), {p.split(" ")[-1] for p in patterns}))
     keep, ddl = columns(docs, keep, "base string, spans string, " + ", ".join(f"n_{k} long" for k in KINDS[:4]))
+    docs, block = _to_last_block(docs.select(*dict.fromkeys([*keep, "text"])), patterns)
 
     def run(cols: dict, state: tuple) -> dict:
-        got = [all_spans(t, *state) for t in cols["text"].to_pylist()]
+        got = searched(cols, state)
         return {c: cols[c] for c in keep} | {"base": [spelled(b) for b, _ in got], "spans": [spelled(s) for _, s in got]} | {
             f"n_{k}": pa.array([sum(s[0] == k for s in b) for b, _ in got], pa.int64()) for k in KINDS[:4]
         }
 
-    return map_slices(docs.select(*dict.fromkeys([*keep, "text"])), run, ddl, setup=sent)
+    return map_slices(docs, run, ddl, setup=sent(docs, block))
 
 
 def masked(text: str, spans: list[Span]) -> str:
@@ -217,17 +279,17 @@ def masked(text: str, spans: list[Span]) -> str:
     return "".join([*out, text[end:]])
 
 
-def mask(docs: DataFrame, patterns: list[str]) -> DataFrame:
+def mask(docs: DataFrame, patterns: Patterns | Iterable[str]) -> DataFrame:
     """All columns of ``docs``, with personal data in ``text`` replaced; a column ``n_chars`` is set to the new length."""
-    sent = shared_value(docs.sparkSession, (set(patterns), {p.split(" ")[-1] for p in patterns}))
-    names = docs.columns
+    names, schema = docs.columns, docs.schema
+    docs, block = _to_last_block(docs, patterns)
 
     def run(cols: dict, state: tuple) -> dict:
-        texts = [t and masked(t, all_spans(t, *state)[1]) for t in cols["text"].to_pylist()]
+        texts = [t and masked(t, spans) for t, (_, spans) in zip(cols["text"].to_pylist(), searched(cols, state), strict=True)]
         return {c: texts if c == "text" else cols[c] for c in names}
 
-    out = map_slices(docs, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), setup=sent)
-    return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
+    out = map_slices(docs, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), setup=sent(docs, block))
+    return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(schema["n_chars"].dataType)) if "n_chars" in names else out
 
 
 def query(spark, sf_dir: str) -> DataFrame:

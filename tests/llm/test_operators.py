@@ -308,6 +308,23 @@ def test_pii_query_and_bootstrapped_contexts(spark, data, rows, tmp_path):
     assert texts[100] == "so write to: ([ID]) today" and texts[102] is None and "[EMAIL]" in texts[0]
 
 
+def test_pii_contexts_of_few_seeds_among_many(spark):
+    docs = [(n, f"w{chr(97 + n % 26)}{chr(97 + n // 26 % 26)} v{chr(97 + n // 676)} by user{n}@host{n}.example.org") for n in range(3000)]
+    docs += [(10_000 + n, f"badge ref: rare{n}@host.example.org\nquite other code: odd{n}@host.example.org") for n in range(6)]
+    docs += [(20_000, "badge ref: AB-4711-99x and code: ZZ-81-33 here"), (20_001, "code: ZZ-82-34"), (20_002, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    learnt = pii.learn_patterns(df)
+    assert {"badge ref:", "ref:", "code:", "other code:"} <= set(learnt)
+    want = {20_000: "id:11:22,id:33:41", 20_001: "id:6:14", 20_002: ""}
+    few = pii.learn_patterns(df, most=3)
+    assert sorted(few) == sorted(learnt) and sum(1 for _ in few.blocks()) > 2
+    for patterns in (learnt, few):
+        spans = {r.doc_id: r.spans for r in pii.find(df, ["doc_id"], patterns).collect()}
+        assert len(spans) == len(docs) and {d: spans[d] for d in want} == want
+        texts = {r.doc_id: r.text for r in pii.mask(df, patterns).collect()}
+        assert texts[20_000] == "badge ref: [ID] and code: [ID] here" and len(texts) == len(docs)
+
+
 @pytest.mark.parametrize("law", ["bytes", "rows", "key"])
 def test_sharding_laws(spark, data, rows, law):
     docs = table(spark, data, "documents")
