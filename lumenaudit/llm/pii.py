@@ -33,8 +33,8 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 TOKEN = re.compile(r"\S+")
-#: What may be an identifier: six or more characters, two digits among them, between marks that may enclose it.
-IDENTIFIER = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9_/.@-]{4,62})[A-Za-z0-9]")
+#: What may be an identifier: six or more characters, two digits among them, between marks that may enclose it. Only the token bounds its length.
+IDENTIFIER = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9_/.@-]{4,})[A-Za-z0-9]")
 Span = tuple[str, int, int]
 #: Patterns that the driver and a worker hold at a time.
 MOST_PATTERNS = 500_000
@@ -125,8 +125,8 @@ def contexts(text: str, at: int) -> list[str]:
 
 
 def identifier(token: str) -> re.Match | None:
-    m = IDENTIFIER.search(token)
-    return m if m and len(DIGIT.findall(m[0])) >= 2 else None
+    """The first run of the token that may be an identifier."""
+    return next((m for m in IDENTIFIER.finditer(token) if len(DIGIT.findall(m[0])) >= 2), None)
 
 
 def _seeds(docs: DataFrame) -> DataFrame:

@@ -325,6 +325,16 @@ def test_pii_contexts_of_few_seeds_among_many(spark):
         assert texts[20_000] == "badge ref: [ID] and code: [ID] here" and len(texts) == len(docs)
 
 
+def test_long_identifiers_are_masked_whole():
+    for key in ("k" * 70 + "0123456789", "A1" * 40, "ab-12/" * 20 + "z"):
+        text = f"api key: ({key}), and https://host.example/path?token={key} stays"
+        for t in (text, text.replace("and https", "api key: https")):
+            out = pii.masked(t, pii.all_spans(t, {"api key:"}, {"key:"})[1])
+            assert out.startswith("api key: ([ID]), ") and out.count(key) == (t is text)
+    assert pii.identifier("a-" * 50_000 + "---") is None
+    assert pii.identifier("-" * 50_000 + "12-34567" + "-" * 50_000)[0] == "12-34567"
+
+
 @pytest.mark.parametrize("law", ["bytes", "rows", "key"])
 def test_sharding_laws(spark, data, rows, law):
     docs = table(spark, data, "documents")
