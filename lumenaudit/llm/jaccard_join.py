@@ -287,9 +287,15 @@ def boundary_by_cost(mean_list: float) -> int:
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """All columns of the rows to keep: of each component the document with the least doc_id, and every row without words."""
-    got = join(docs, **options).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(got, "doc_id", "left_semi").select(*docs.columns)
+    """All columns of the rows to keep: one of each component, and every row without words.
+
+    Rows count by a number of their own, so ids may be null or repeat: of a component the row with the least doc_id stays, one with a null id only where
+    all its rows have null ids (so also where it is alone), and of rows with the same least id one, which isn't defined."""
+    rows = written(docs.withColumn("__number", F.monotonically_increasing_id()))
+    got = join(rows.select(F.col("__number").alias("doc_id"), "text"), **options).select(F.col("doc_id").alias("__number"), "component_id")
+    ranked = got.join(rows.select("__number", "doc_id"), "__number")
+    kept = ranked.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "__number")).alias("first")).select("first.__number")
+    return rows.join(kept, "__number", "left_semi").select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

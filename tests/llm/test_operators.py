@@ -253,6 +253,23 @@ def test_jaccard_join(spark, data, rows):
     assert {r.doc_id for r in kept.collect()} == {v[1] for v in want.values()}
 
 
+def test_keep_one_with_null_and_repeated_ids(spark, rows):
+    say = lambda word, n=30: " ".join(f"{word}{k}" for k in range(n))
+    docs = [(d, t) for d, t, *_ in rows]
+    docs += [(None, say("alone")), (None, ""), (None, None), (None, say("copied")), (2001, say("copied")), (2000, say("copied") + " end")]
+    docs += [(None, say("pair", 40)), (None, say("pair", 40) + " end"), (None, say("pair", 40)), (3000, say("again")), (3000, say("again")), (3000, say("other")), (3000, say("other") + " end"), (3001, say("other") + " end")]
+    numbered = brute_components([(n, t) for n, (_, t) in enumerate(docs)])
+    groups = defaultdict(list)
+    for n, (_, component) in numbered.items():
+        groups[component].append(docs[n][0])
+    want = Counter(min(ids, key=lambda d: (d is None, d or 0)) for ids in groups.values())
+    kept = jaccard_join.keep_one(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
+    assert Counter(r.doc_id for r in kept) == want
+    texts = [r.text for r in kept]
+    assert want[3000] == 2 and want[None] == 4 and want[2000] == 1 and texts.count(say("alone")) == texts.count(say("again")) == 1
+    assert {numbered[docs.index((r.doc_id, r.text))][1] for r in kept} == set(groups)
+
+
 @pytest.mark.parametrize("boundary", [10, 60])
 def test_jaccard_join_on_both_sides_of_the_boundary(spark, boundary, monkeypatch):
     r = np.random.default_rng(boundary)
