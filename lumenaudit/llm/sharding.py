@@ -1,8 +1,8 @@
 """Sharding by vector bin packing: bytes, tokens and rows of the shards are balanced jointly.
 
 Documents with equal texts form a group. Groups are the units to place, but for two bounds: light groups travel in a fixed number
-of bundles (by a hash of the text, so that equal texts stay together), and a group of more bytes than a bundle's share is cut
-into pieces by a hash of the document's id, since one group may hold a third of all rows. The number of units is thus bounded by
+of bundles (by a hash of the text, so that equal texts stay together), and a heavy group that no shard has room for, as one may hold a
+third of all rows, is cut into pieces by a hash of the document's id. The number of units is thus bounded by
 parameters, not by the data; their sums go to the driver, which places each, largest first, in the shard whose residual capacity
 has the largest dot product with the unit's vector. Law ``bytes``: sizes of the shards are near equal. Law ``rows``: counts differ by one at most, whatever
 the groups; law ``key``: rendezvous hashing of the document's id, so that a further shard only takes rows into itself.
@@ -34,22 +34,36 @@ def measured(docs: DataFrame) -> DataFrame:
     )
 
 
-def pack(vectors: np.ndarray, shards: int, slack: float = 1.0) -> np.ndarray:
+def pack(vectors: np.ndarray, shards: int, slack: float = 1.0, group: np.ndarray | None = None) -> np.ndarray:
     """The shard of each unit. vectors: units by dimensions (bytes first). Largest first; each goes where the dot product of its vector
-    with the residual capacity is highest, among the shards with room for its bytes, or where most room is left if none has."""
+    with the residual capacity is highest, among the shards with room for its bytes, or where most room is left if none has.
+    Units of equal ``group`` are placed as one where a shard has room for all of them in each dimension, else one by one."""
     total = vectors.sum(axis=0).astype(float)
     share = np.where(total > 0, total, 1.0)
     unit = vectors / share * shards  # 1: a shard's fair part
-    order = np.lexsort((np.arange(len(unit)), -unit.max(axis=1))) if len(unit) else []
+    names, item = np.unique(np.arange(len(unit)) if group is None else group, return_inverse=True)
+    whole = np.zeros((len(names), vectors.shape[1]))
+    np.add.at(whole, item, unit)
+    members: list[list[int]] = [[] for _ in names]
+    for k, i in enumerate(item.tolist()):
+        members[i].append(k)
+    order = np.lexsort((np.arange(len(whole)), -whole.max(axis=1))) if len(whole) else []
     left = np.full((shards, vectors.shape[1]), slack)
     out = np.zeros(len(vectors), np.int64)
-    for k in order:
-        v = unit[k]
-        score = left @ v
-        room = left[:, 0] >= v[0]
-        at = int(np.argmax(np.where(room, score, -np.inf))) if room.any() else int(np.argmax(left[:, 0]))
-        out[k] = at
-        left[at] -= v
+    for i in order:
+        room = (left >= whole[i]).all(axis=1)
+        if len(members[i]) > 1 and room.any():
+            at = int(np.argmax(np.where(room, left @ whole[i], -np.inf)))
+            out[members[i]] = at
+            left[at] -= whole[i]
+            continue
+        for k in members[i]:
+            v = unit[k]
+            score = left @ v
+            room = left[:, 0] >= v[0]
+            at = int(np.argmax(np.where(room, score, -np.inf))) if room.any() else int(np.argmax(left[:, 0]))
+            out[k] = at
+            left[at] -= v
     return out
 
 
@@ -77,14 +91,18 @@ def _by_vectors(rows: DataFrame, shards: int, per_shard: int, light_part: float)
     groups = rows.groupBy("h1", "h2").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
     total = rows.agg(F.sum("size")).first()[0] or 0
     bound = max(1, int(total / shards * light_part))
-    # fewer than shards / light_part groups have more bytes than the bound: what is broadcast is bounded
-    heavy = groups.where((F.col("bytes") > bound) & (F.col("n") > 1)).select("h1", "h2", F.ceil(F.col("bytes") / bound).cast("long").alias("pieces"))
-    tagged = rows.join(F.broadcast(heavy), ["h1", "h2"], "left")
-    piece = F.when(F.col("pieces").isNotNull(), F.pmod(F.xxhash64("doc_id", F.lit(3)), "pieces")).otherwise(F.lit(-1))
-    unit = F.when(F.col("pieces").isNotNull(), F.pmod(F.xxhash64("h1", "h2", piece), F.lit(bundles)) + bundles).otherwise(F.pmod(F.col("h1"), F.lit(bundles)))
-    tagged = tagged.withColumn("unit", unit.cast("int")).drop("pieces")
-    sums = tagged.groupBy("unit").agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows")).orderBy("unit").collect()  # at most 2 * bundles
-    at = pack(np.array([[r.bytes, r.tokens, r.rows] for r in sums], float).reshape(-1, 3), shards)
+    # fewer than shards / light_part groups have more bytes than the bound, of less than twice as many pieces: what is collected and broadcast is bounded
+    heavy = groups.where((F.col("bytes") > bound) & (F.col("n") > 1)).select("h1", "h2", F.ceil(F.col("bytes") / bound).cast("int").alias("pieces")).orderBy("h1", "h2").collect()
+    starts = bundles + np.cumsum([0, *(r.pieces for r in heavy)])
+    named = spark.createDataFrame([(r.h1, r.h2, r.pieces, int(start)) for r, start in zip(heavy, starts[:-1], strict=True)], "h1 long, h2 long, pieces int, start int")
+    tagged = rows.join(F.broadcast(named), ["h1", "h2"], "left")
+    piece = F.col("start") + F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("pieces"))
+    unit = F.when(F.col("pieces").isNotNull(), piece).otherwise(F.pmod(F.col("h1"), F.lit(bundles)))
+    tagged = tagged.withColumn("unit", unit.cast("int")).drop("pieces", "start")
+    sums = tagged.groupBy("unit").agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows")).orderBy("unit").collect()
+    units = np.array([r.unit for r in sums], np.int64)
+    group = np.where(units < bundles, units, bundles + np.searchsorted(starts, units, side="right"))
+    at = pack(np.array([[r.bytes, r.tokens, r.rows] for r in sums], float).reshape(-1, 3), shards, group=group)
     plan = spark.createDataFrame([(r.unit, int(s)) for r, s in zip(sums, at, strict=True)], "unit int, shard int")
     return tagged.join(F.broadcast(plan), "unit")
 

@@ -385,6 +385,19 @@ def test_sharding_keeps_groups_and_splits_hot_ones(spark):
     assert all(len(s) == 1 for s in groups.values())
 
 
+def test_sharding_keeps_groups_that_a_shard_can_hold(spark):
+    docs = [(3 * n + k, f"group {n} " + "y" * 500) for n in range(80) for k in range(3)] + [(1000 + n, f"single {n} " + "z" * 100) for n in range(240)]
+    got = sharding.assign(spark.createDataFrame(docs, "doc_id long, text string"), 8).collect()
+    groups, sizes = defaultdict(set), Counter()
+    for r in got:
+        groups[r.text_crc32].add(r.shard)
+        sizes[r.shard] += r.size
+    assert len(got) == len(docs) and all(len(s) == 1 for s in groups.values())
+    assert max(sizes.values()) <= 1.05 * min(sizes.values())
+    rows = np.array([[1.0, 0.0, 400.0]] * 4 + [[9.0, 9.0, 1.0]] * 40)  # few bytes, but most rows: no shard has room for all of them
+    assert len(set(sharding.pack(rows, 4, group=np.array([0] * 4 + list(range(1, 41))))[:4].tolist())) > 1
+
+
 def test_importance_resampling(spark, tmp_path):
     r = np.random.default_rng(2)
     docs = [(n, " ".join(f"{'good' if n % 3 else 'junk'}{k}" for k in r.integers(0, 80, 60))) for n in range(300)] + [(900, None), (901, "")]
