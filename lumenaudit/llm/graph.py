@@ -1,4 +1,4 @@
-"""Connected components of an edge list, by min-label hooking and pointer jumping."""
+"""Connected components of an edge list, by alternating large and small stars."""
 
 from __future__ import annotations
 
@@ -8,31 +8,29 @@ from pyspark.sql import functions as F
 from lumenaudit.llm.common import release, written
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     """``(node, component)`` for each node of ``edges (a, b)``: the least node that it reaches. Edges stay distributed.
 
-    Each round hangs every node under the least label beside it and replaces an edge by one between labels; edges within a label go. Each round's
-    rows are written to shared storage. The labels form stars before the next round, so a component's rounds are logarithmic in its size."""
-    both = edges.select("a", "b").where("a <> b")
-    left = written(both.union(both.select("b", "a")).distinct())
-    labels = written(left.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node")))
+    A round hangs each node's larger neighbours under the least node around it, then each node and its smaller neighbours under the least of these; the least is found by a
+    partial aggregate, so a node with very many neighbours costs its task one row from each other task. The rounds end when the edges stay as they are: each node then
+    hangs under its component's least one. Rows are written to shared storage after each round."""
+    rows = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    state = _state(rows)
     for _ in range(most_rounds):
-        # the least neighbour of each label that is less than itself: a forest, as parents are less
-        parent = left.groupBy("a").agg(F.min("b").alias("p")).select("a", F.least("a", "p").alias("p"))
-        parent = written(parent)
-        while True:
-            up = parent.join(parent.select(F.col("a").alias("p"), F.col("p").alias("pp")), "p").select("a", F.col("pp").alias("p"), (F.col("pp") < F.col("p")).alias("moved"))
-            parent_next = written(up)
-            moved = parent_next.where("moved").limit(1).count()
-            release(parent)
-            parent = parent_next
-            if not moved:
-                break
-        old = labels, left, parent
-        labels = written(labels.join(parent, F.col("component") == F.col("a"), "left").select("node", F.coalesce("p", "component").alias("component")))
-        hop = left.join(parent, "a").select(F.col("p").alias("x"), "b").join(parent.select(F.col("a").alias("b"), F.col("p").alias("y")), "b")
-        left = written(hop.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
-        release(*old)
-        if left.limit(1).count() == 0:
+        both = rows.union(rows.select("b", "a"))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least).distinct()
+        after = written(small)
+        release(rows)
+        rows, before, state = after, state, _state(after)
+        if state == before:
+            labels = written(rows.union(rows.select("b", "b").distinct()).toDF("node", "component"))
+            release(rows)
             return labels
     raise RuntimeError(f"components didn't settle in {most_rounds} rounds")
+
+
+def _state(rows: DataFrame) -> tuple:
+    return tuple(rows.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())

@@ -1,18 +1,20 @@
-"""Exact self-join of shingle sets by Jaccard similarity: a size-aware heavy-light join that yields classes, links and components.
+"""Exact self-join of shingle sets by Jaccard similarity: a size-aware heavy-light join that yields classes and components.
 
 A set is the distinct 5-word shingles of a text (64-bit hashes of them); equal sets form a class, and only classes are joined. All sets share one order: frequent shingles
 (``df`` of at least ``heavy_share`` of the documents, found in a pass over all texts) last, else by hash. Two sets of similarity t share ``s`` elements among the first
 ``n - ceil(t n) + s`` of each. Small sets enumerate all subsets of size 2 of that prefix, which few others have; large sets, and small ones that a
 large one may link with, enter inverted lists of their prefix's elements. The boundary minimises the cost of rows written against list
-entries scanned, with the mean list length measured on all texts.
+entries scanned, over the sizes of all classes and the mean list length of all texts.
 
-Within a list nothing is paired with everything. Each task pre-aggregates its entries of a list into a star around its least class and only forwards
-that one; the lists of forwarded classes are stars again. Stars are verified on the texts, the components of the links labelled. Lists
-that still hold several components are completed: their pairs across components, of fitting sizes and fitting bucket counts (a bound of the symmetric difference), are
-verified too. Before that, lists get a few more stars around other members, which join most of what belongs together. Long lists are cut into blocks for that, pair of blocks by pair of blocks. Pairs of one component need no test, as results tell components.
+The lists of near copies mostly agree: all lists with one least class, the hub, fold into a group of distinct classes, so that two classes that share hundreds of
+elements meet once and not once for each. Long groups are cut into blocks, which meet pair by pair. Within a block each class carries a sketch, the parities of its elements by bucket;
+where two sketches differ in more bits than a link allows elements to differ, the pair can't link and is never a row. In the first turns each
+class of a block gives the one pair with the nearest class of another component, so a turn makes no more rows than it reads. These pairs are verified on the texts and the links'
+components labelled; last, all pairs across components that sketches don't rule out are verified. Pairs of one component need no test, as results tell components.
 
-Null and empty texts have empty sets and link with nothing; repeated rows (also of one doc_id) are equal sets. A null doc_id is not supported as a component's name:
-such rows are in a class like others but never name it. Any length of text works; a task holds the texts of one slice.
+Null and empty texts have empty sets and link with nothing; a row of them is a component of its own. Repeated rows are equal sets, also those of one doc_id; rows of one doc_id
+with different texts are sets of their own, each with its own class and component. A row with a null doc_id links like any other and so may
+join two components, but never names a class or component: these have a null id only where all their rows have. Any length of text works; a task holds the texts of one slice.
 """
 
 from __future__ import annotations
@@ -25,27 +27,38 @@ from pyspark.sql import functions as F
 
 from lumenaudit.llm.common import raw_bytes, release, shared_value, written
 from lumenaudit.llm.graph import components
-from lumenaudit.llm.hashing import A, B, WordCodes, mixed, signed
+from lumenaudit.llm.hashing import A, B, mixed, signed, word_hashes
 from lumenaudit.llm.stars import ENTRY, shared_lists, stars
 
 WIDTH = 5
-#: Buckets of a set's counts, by its size: more for larger sets, so that the bound stays sharp. Each divides the next, so that counts can be folded.
-BUCKETS = ((0, 128), (1_500, 1_024), (12_000, 8_192))
-LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+#: Buckets of a sketch at least; a power of two, as are all numbers of buckets.
+LEAST_BUCKETS = 256
+#: Upper-case ASCII letters to lower case; all that parts words to blanks.
+TABLE = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
 NUMERATOR, DENOMINATOR = 4, 5  # similarity of 0.8 or more
+#: Sets of that many elements are large whatever they cost.
+MOST_SMALL = 400
+#: Classes of a group that meet in one task.
+BLOCK = 1024
 
 
-def shingles(text: bytes | None, codes: WordCodes) -> np.ndarray:
-    """The hashes of the distinct shingles of a text, ascending."""
-    words = (text or b"").translate(LOWER).split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    c = np.fromiter(map(codes.__getitem__, words), np.uint64, len(words))
-    n = min(WIDTH, len(c))
-    h = np.full(len(c) - n + 1, n, np.uint64)
+def _rolled(codes: np.ndarray, n: int) -> np.ndarray:
+    h = np.full(max(0, len(codes) - n + 1), n, np.uint64)
     for k in range(n):
-        h = mixed(h * A + c[k : len(c) - n + 1 + k])
-    return np.unique(h)
+        h = mixed(h * A + codes[k : len(codes) - n + 1 + k])
+    return h
+
+
+def shingle_sets(texts: list[bytes | None]) -> list[np.ndarray]:
+    """For each text the hashes of its distinct shingles, ascending."""
+    codes, counts = word_hashes(texts, TABLE)
+    whole, out, at = _rolled(codes, WIDTH), [], 0
+    for n in counts.tolist():
+        h = whole[at : at + n - WIDTH + 1] if n >= WIDTH else _rolled(codes[at : at + n], n) if n else whole[:0]
+        h = np.sort(h)
+        out.append(h[np.concatenate([[True], h[1:] != h[:-1]])] if len(h) else h)
+        at += n
+    return out
 
 
 def set_hash(s: np.ndarray) -> int:
@@ -53,25 +66,16 @@ def set_hash(s: np.ndarray) -> int:
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """Counts of the elements by bucket, modulo 256."""
-    buckets = next(b for least, b in reversed(BUCKETS) if len(s) >= least)
-    return np.bincount((s >> np.uint64(20)).astype(np.int64) % buckets, minlength=buckets).astype(np.uint8).tobytes()
-
-
-def gaps(mine: bytes, others: list[bytes]) -> np.ndarray:
-    """Lower bounds of the symmetric differences of a set with others, from their counts: those of the finer one are folded."""
-    out = np.zeros(len(others), np.int64)
-    widths = np.fromiter(map(len, others), np.int64, len(others))
-    own = np.frombuffer(mine, np.uint8)
-    for width in np.unique(widths).tolist():
-        at = np.flatnonzero(widths == width)
-        rows = np.frombuffer(b"".join([others[k] for k in at.tolist()]), np.uint8).reshape(len(at), width)
-        w = min(width, len(own))
-        a = own.reshape(-1, w).sum(axis=0, dtype=np.uint8)
-        b = rows.reshape(len(at), -1, w).sum(axis=1, dtype=np.uint8)
-        d = b - a  # modulo 256: the way round is never more than the true difference
-        out[at] = np.minimum(d, np.uint8(0) - d).sum(axis=1, dtype=np.int64)
-    return out
+    """Parities of the numbers of elements by bucket, twice as many buckets as elements or more."""
+    buckets = max(LEAST_BUCKETS, 1 << (2 * len(s) - 1).bit_length())
+    counts = np.bincount(((s >> np.uint64(20)) & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets)
+    return np.packbits((counts & 1).astype(np.uint8)).tobytes()
+
+
+def folded(sketches: np.ndarray) -> np.ndarray:
+    """Sketches of half as many buckets."""
+    half = sketches.shape[-1] // 2
+    return sketches[..., :half] ^ sketches[..., half:]
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -81,19 +85,22 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return common * DENOMINATOR >= NUMERATOR * (len(a) + len(b) - common)
 
 
+SURVEY = "doc_id long, th long, n int, cls long, sketch binary, token long, count long"
+
+
 def _survey(docs: DataFrame, heavy_share: float) -> DataFrame:
     """One pass over all texts: class rows, and counts of shingles that are frequent in a task or lie in a fixed 1/256 of the hash range."""
 
     def run(batches):
-        codes, seen, n_docs = WordCodes(), [], 0
+        seen, n_docs = [], 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                sets = [shingles(t, codes) for t in raw_bytes(part.column(1))]
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                sets = shingle_sets(raw_bytes(part.column(2)))
                 n_docs += len(sets)
-                seen.append(np.concatenate(sets) if sets else np.zeros(0, np.uint64))
+                seen.append(np.concatenate(sets))
                 m, none = len(sets), [None] * len(sets)
-                yield _rows(part.column(0).to_pylist(), [len(s) for s in sets], [set_hash(s) for s in sets], [sketch(s) for s in sets], none, none)
+                yield _rows(part.column(0), part.column(1), [len(s) for s in sets], [set_hash(s) for s in sets], [sketch(s) for s in sets], none, none)
                 if sum(map(len, seen)) > 8_000_000:
                     yield counts(seen, n_docs)
                     seen, n_docs = [], 0
@@ -104,17 +111,14 @@ def _survey(docs: DataFrame, heavy_share: float) -> DataFrame:
         tokens, n = np.unique(np.concatenate(seen), return_counts=True)
         on = (n >= max(3, heavy_share * n_docs)) | (tokens >> np.uint64(56) == 7)
         none = [None] * int(on.sum())
-        return _rows(none, none, none, none, signed(tokens[on]), n[on])
-
-    return docs.select("doc_id", "text").mapInArrow(run, SURVEY)
+        return _rows(none, none, none, none, none, signed(tokens[on]), n[on])
 
+    return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(run, SURVEY)
 
-SURVEY = "doc_id long, n int, cls long, sketch binary, token long, count long"
 
-
-def _rows(doc, n, cls, sk, token, count):
-    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((doc, n, cls, sk, token, count), kinds, strict=True)], names=["doc_id", "n", "cls", "sketch", "token", "count"])
+def _rows(*cols):
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
+    return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(cols, kinds, strict=True)], names=[f.split()[0] for f in SURVEY.split(", ")])
 
 
 def prefix(s: np.ndarray, heavy: np.ndarray, extra: int) -> np.ndarray:
@@ -144,11 +148,10 @@ def _entries(docs: DataFrame, heavy: np.ndarray, boundary: int) -> DataFrame:
     sent = shared_value(docs.sparkSession, heavy)
 
     def run(batches):
-        codes, frequent, sigs, classes, held = WordCodes(), sent(), [], [], 0
+        frequent, sigs, classes, held = sent(), [], [], 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                for t in raw_bytes(batch.slice(at, 512).column(0)):
-                    s = shingles(t, codes)
+            for at in range(0, batch.num_rows, 256):
+                for s in shingle_sets(raw_bytes(batch.slice(at, 256).column(0))):
                     g = signatures(s, frequent, boundary)
                     if len(g):
                         sigs.append(g)
@@ -163,89 +166,131 @@ def _entries(docs: DataFrame, heavy: np.ndarray, boundary: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, ENTRY)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, classes_per_task: int = 256) -> DataFrame:
-    """Those of the pairs of classes ``(a, b)`` that link. b's text meets the texts of its partners; many partners are cut into shares, each with a copy of it."""
-    counts = pairs.groupBy("b").agg(F.ceil(F.count("*") / classes_per_task).cast("int").alias("shares"))
-    dealt = pairs.join(counts, "b").withColumn("share", F.pmod(F.xxhash64("a"), "shares").cast("int"))
+def _groups(lists: DataFrame) -> DataFrame:
+    """``(hub, cls)``: the distinct classes of all lists whose least class is the hub."""
+    hubs = lists.groupBy("sig").agg(F.min("pivot").alias("hub"))
+    return lists.join(hubs, "sig").select("hub", F.col("member").alias("cls")).distinct()
+
+
+def _pairs(groups: DataFrame, classes: DataFrame, labels: DataFrame | None, nearest: bool, block: int = BLOCK) -> DataFrame:
+    """Distinct pairs ``(a, b)`` of classes of one group and different components whose sizes and sketches allow a link: all of them, or for each class of a block the nearest one."""
+    named = groups.join(labels.select(F.col("node").alias("cls"), "component"), "cls", "left") if labels is not None else groups.withColumn("component", F.lit(None).cast("long"))
+    named = named.withColumn("component", F.coalesce("component", "cls"))
+    open_ = named.groupBy("hub").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("m")).where("x < y").select("hub", F.ceil(F.col("m") / block).cast("int").alias("cuts"))
+    rows = named.join(open_, "hub").withColumn("own", F.pmod(F.xxhash64("cls"), "cuts").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).join(classes.select("cls", "n", "sketch"), "cls")
+    rows = rows.select("hub", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "cls", "component", "n", "sketch")
+
+    def run(batches):
+        rest = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            if rest is not None:
+                table = pa.concat_tables([rest, table])
+            if not table.num_rows:
+                continue
+            key = [table.column(k).to_numpy() for k in range(3)]
+            fresh = np.flatnonzero((key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1]) | (key[2][1:] != key[2][:-1])) + 1
+            cuts = [0, *fresh.tolist()]
+            rest = table.slice(cuts[-1])
+            yield from settle(table, cuts)
+        if rest is not None:
+            yield from settle(rest, [0, rest.num_rows])
+
+    def settle(table, cuts):
+        found = []
+        own, cls, comp, n = (table.column(k).to_numpy() for k in range(3, 7))
+        sketches = table.column(7).combine_chunks()
+        within = table.column(1).to_numpy() == table.column(2).to_numpy()
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if b - a > 1:
+                i, j = near(comp[a:b], n[a:b].astype(np.int64), sketches[a:b].to_pylist(), None if within[a] else own[a:b], nearest)
+                found.append((cls[a:b][i], cls[a:b][j]))
+        if found:
+            a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
+
+    return rows.repartition("hub", "p", "q").sortWithinPartitions("hub", "p", "q").mapInArrow(run, "a long, b long").distinct()
+
+
+def near(comp: np.ndarray, n: np.ndarray, sketches: list[bytes], own: np.ndarray | None, nearest: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Places of pairs of different components, and different ``own`` where given, that sizes and sketches don't rule out. ``nearest``: for each place one with the fewest
+    different bits, if any."""
+    order = np.argsort(n, kind="stable")
+    comp, n, own = comp[order], n[order], None if own is None else own[order]
+    widths = np.fromiter((len(sketches[k]) for k in order.tolist()), np.int64, len(order))
+    tables, first = {}, {}
+    for w in np.unique(widths).tolist():
+        at = np.flatnonzero(widths == w)  # together, as sizes ascend
+        tables[w], first[w] = np.frombuffer(b"".join([sketches[k] for k in order[at].tolist()]), np.uint8).reshape(-1, w), int(at[0])
+    double = {w: folded(tables[2 * w]) for w in tables if 2 * w in tables}
+    most = np.searchsorted(n, n * DENOMINATOR // NUMERATOR, side="right")
+    left, right = [], []
+    best, partner = np.full(len(n), np.iinfo(np.int64).max), np.full(len(n), -1)
+    for k in range(len(n) - 1):
+        w = int(widths[k])
+        mine = tables[w][k - first[w]]
+        for width, table in ((w, tables[w]), (2 * w, double.get(w))):
+            if table is None:
+                continue
+            a, b = max(k + 1, first[width]), min(int(most[k]), first[width] + len(table))
+            if a >= b:
+                continue
+            at = a + np.flatnonzero(comp[a:b] != comp[k] if own is None else (comp[a:b] != comp[k]) & (own[a:b] != own[k]))
+            if not len(at):
+                continue
+            rows = table[at - first[width]] if len(at) < b - a else table[a - first[width] : b - first[width]]
+            gap = np.bitwise_count(rows ^ mine).sum(axis=1, dtype=np.int64)
+            on = gap * (NUMERATOR + DENOMINATOR) <= (n[at] + n[k]) * (DENOMINATOR - NUMERATOR)
+            at, gap = at[on], gap[on]
+            if nearest and len(at):
+                closer = gap < best[at]
+                best[at[closer]], partner[at[closer]] = gap[closer], k
+                j = int(np.argmin(gap))
+                if gap[j] < best[k]:
+                    best[k], partner[k] = gap[j], at[j]
+            elif len(at):
+                left.append(np.full(len(at), k))
+                right.append(at)
+    if nearest:
+        k = np.flatnonzero(partner >= 0)
+        return order[k], order[partner[k]]
+    none = np.zeros(0, np.int64)
+    return (order[np.concatenate(left)], order[np.concatenate(right)]) if left else (none, none)
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, least_shares: int = 8, classes_per_share: int = 4096) -> DataFrame:
+    """Those of the written pairs of classes ``(a, b)`` that link. b's text meets the texts of its partners, which are dealt out in shares, each with a copy of it."""
+    most = pairs.groupBy("b").count().agg(F.max("count")).first()[0] or 0
+    shares = max(least_shares, -(-most // classes_per_share))
+    dealt = pairs.withColumn("share", F.pmod(F.xxhash64("a"), F.lit(shares)).cast("int"))
     partners = dealt.select(F.col("a").alias("cls"), F.col("b").alias("hub"), "share", F.lit(1).alias("role"))
     hubs = dealt.select(F.col("b").alias("cls"), F.col("b").alias("hub"), "share", F.lit(0).alias("role")).distinct()
     rows = partners.union(hubs).join(texts, "cls")
 
     def run(batches):
-        codes, hub, mine = WordCodes(), None, None
+        hub, mine = None, None
         for batch in batches:
             a, b = [], []
-            for cls, h, share, role, t in zip(*(batch.column(k).to_pylist() for k in range(4)), raw_bytes(batch.column(4)), strict=True):
-                s = shingles(t, codes)
-                if role == 0:
-                    hub, mine = (h, share), s
-                elif hub == (h, share) and linked(s, mine):
-                    a.append(cls)
-                    b.append(h)
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
+                for cls, h, share, role, s in zip(*(part.column(k).to_pylist() for k in range(4)), shingle_sets(raw_bytes(part.column(4))), strict=True):
+                    if role == 0:
+                        hub, mine = (h, share), s
+                    elif hub == (h, share) and linked(s, mine):
+                        a.append(cls)
+                        b.append(h)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     dealt = rows.select("cls", "hub", "share", "role", "text").repartition("hub", "share").sortWithinPartitions("hub", "share", "role")
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def _fitting(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Those of the pairs ``(a, b)`` whose sizes allow a link."""
-    n = classes.select("cls", "n")
-    sized = pairs.join(n.select(F.col("cls").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("cls").alias("b"), F.col("n").alias("nb")), "b")
-    return sized.where((F.col("na") * DENOMINATOR >= F.col("nb") * NUMERATOR) & (F.col("nb") * DENOMINATOR >= F.col("na") * NUMERATOR)).select("a", "b")
-
-
-def _stars_across(lists: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
-    """Pairs of each list's members with one of them, another for each turn, where they lie in different components: as many as members, not as pairs of members."""
-    named = lists.select("sig", "cls").join(labels.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    hub = named.groupBy("sig").agg(F.min(F.struct(F.xxhash64("cls", F.lit(turn)).alias("h"), F.col("cls").alias("b"), F.col("component").alias("other"))).alias("hub"), F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
-    pairs = named.join(hub.select("sig", "hub.b", "hub.other"), "sig").where("component <> other")
-    return pairs.select(F.greatest("cls", "b").alias("a"), F.least("cls", "b").alias("b")).distinct()
-
-
-def _open_pairs(lists: DataFrame, classes: DataFrame, labels: DataFrame, block: int = 1024) -> DataFrame:
-    """Pairs across components within lists, whose sizes and bucket counts allow a link."""
-    named = lists.select("sig", "cls").join(labels.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    mixed_lists = named.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("m")).where("x < y")
-    cuts = mixed_lists.select("sig", F.ceil(F.col("m") / block).cast("int").alias("cuts"))
-    rows = named.join(cuts, "sig").withColumn("own", F.pmod(F.xxhash64("cls"), "cuts").cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).join(classes.select("cls", "n", "sketch"), "cls")
-    rows = rows.select("sig", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "cls", "component", "n", "sketch")
-
-    def run(batches):
-        held, now = [], None
-        for batch in batches:
-            for r in zip(*(batch.column(k).to_pylist() for k in range(8)), strict=True):
-                if r[:3] != now:
-                    if len(held) > 1:
-                        yield from compare(now, held)
-                    held, now = [], r[:3]
-                held.append(r[3:])
-        if len(held) > 1:
-            yield from compare(now, held)
-
-    def compare(where, held):
-        own, cls, comp, n = (np.array([r[k] for r in held], np.int64) for k in range(4))
-        counts = [r[4] for r in held]
-        a, b = [], []
-        for k in range(len(held) - 1):
-            fits = np.flatnonzero((comp[k + 1 :] != comp[k]) & (n[k + 1 :] * DENOMINATOR >= NUMERATOR * n[k]) & (n[k] * DENOMINATOR >= NUMERATOR * n[k + 1 :]) & ((own[k + 1 :] != own[k]) | (where[1] == where[2])))
-            if len(fits):
-                gap = gaps(counts[k], [counts[k + 1 + j] for j in fits.tolist()])
-                fits = fits[gap * (NUMERATOR + DENOMINATOR) <= (n[k + 1 + fits] + n[k]) * (DENOMINATOR - NUMERATOR)]
-                a += [max(cls[k], x) for x in cls[k + 1 + fits].tolist()]
-                b += [min(cls[k], x) for x in cls[k + 1 + fits].tolist()]
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    return rows.repartition("sig", "p", "q").sortWithinPartitions("sig", "p", "q").mapInArrow(run, "a long, b long").distinct()
-
-
-def join(docs: DataFrame, *, heavy_share: float = 0.001, most_heavy: int = 1_000_000, star_turns: int = 2) -> DataFrame:
+def join(docs: DataFrame, *, heavy_share: float = 0.001, most_heavy: int = 1_000_000, turns: int = 2) -> DataFrame:
     """``doc_id, n_shingles, class_id, component_id`` of every row; class_id is the least doc_id with the same set."""
     docs = docs.select("doc_id", "text")
     survey = written(_survey(docs, heavy_share))
-    members = survey.where("n IS NOT NULL").select("doc_id", "n", "cls", "sketch")
+    members = survey.where("n IS NOT NULL")
     total = members.agg(F.count("*").alias("docs"), F.sum("n").alias("size")).first()
     # at most size / least shingles are as frequent as that: what is broadcast is bounded
     least = max(32, heavy_share * total.docs, (total["size"] or 0) / most_heavy)
@@ -253,37 +298,54 @@ def join(docs: DataFrame, *, heavy_share: float = 0.001, most_heavy: int = 1_000
     heavy = np.sort(np.array([r.token for r in tokens.where(F.col("df") >= least).select("token").collect()], np.int64).view(np.uint64))
     in_range = F.shiftrightunsigned("token", 56) == 7
     mean = tokens.where(in_range).agg(F.avg("df")).first()[0] or 1.0
-    boundary = boundary_by_cost(mean)
-    classes = written(members.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
-    lists = written(shared_lists(_entries(docs, heavy, boundary)).withColumnRenamed("member", "cls"))
-    candidates = lists.select("cls").distinct().join(classes.select("cls", "rep"), "cls")
-    texts = written(docs.join(candidates, docs["doc_id"] == candidates["rep"]).select("cls", "text").dropDuplicates(["cls"]))
-    pairs = lists.where("cls <> pivot").select(F.col("cls").alias("a"), F.col("pivot").alias("b")).distinct()
-    links = written(_verified(_fitting(pairs, classes), texts))
-    labels = components(links)
-    for turn in range(star_turns):  # most of what is still apart meets in further stars; the completion below is exact whatever they leave
-        across = written(_fitting(_stars_across(lists, labels, turn), classes))
-        if across.limit(1).count() == 0:
-            break
-        links = written(links.union(_verified(across, texts)))
-        labels = components(links)
-    pairs = written(_open_pairs(lists, classes, labels))
-    more = written(_verified(pairs, texts))
-    release(pairs, lists, texts)
-    labels = components(links.union(more))
-    named = classes.join(labels.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    least_doc = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    final = written(named.join(least_doc, "component").select("cls", F.col("rep").alias("class_id"), "component_id"))
+    named = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "th")).alias("rep")
+    classes = written(members.where("n > 0").groupBy("cls").agg(named, F.first("n").alias("n"), F.first("sketch").alias("sketch")).select("cls", "rep.doc_id", "rep.th", "n", "sketch"))
+    sizes = classes.groupBy(F.least("n", F.lit(MOST_SMALL + 1)).alias("n")).count().collect()
+    boundary = boundary_by_cost(mean, {r.n: r["count"] for r in sizes})
+    lists = written(shared_lists(_entries(docs, heavy, boundary)))
+    groups = written(_groups(lists))
+    release(lists)
+    labels = links = texts = None
+    for turn in range(turns + 1):
+        pairs = written(_pairs(groups, classes, labels, nearest=turn < turns))
+        if turn == 0:  # who has no near class in its first turn has none later
+            needed = classes.join(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "cls").select("cls", F.col("doc_id").alias("__id"), F.col("th").alias("__th"))
+            texts = written(docs.join(needed, docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__th"))).select("cls", "text").dropDuplicates(["cls"]))
+        if pairs.limit(1).count() == 0:
+            release(pairs)
+            if turn < turns:  # nothing is near across components, so the last turn would find nothing either
+                break
+            continue
+        more = written(_verified(pairs, texts))
+        known = more if links is None else written(links.union(more))
+        release(pairs, *([] if links is None else [links, more, labels]))
+        links, labels = known, components(known)
+    release(groups, texts)
+    if labels is None:
+        final = classes.select("cls", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
+    else:
+        release(links)
+        named = classes.join(labels.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+        least_doc = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+        final = named.join(least_doc, "component").select("cls", F.col("doc_id").alias("class_id"), "component_id")
+    final = written(final)
+    release(classes, *([] if labels is None else [labels]))
     rows = members.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("cls")).alias("cls"))
     empty = rows.where("cls IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
     full = rows.where("cls IS NOT NULL").join(final, "cls").select("doc_id", "n_shingles", "class_id", "component_id")
     return full.unionByName(empty)
 
 
-def boundary_by_cost(mean_list: float) -> int:
-    """The largest set that is small: for it, writing its ``p (p - 1) / 2`` subsets costs no more than writing ``p - 1`` elements and scanning a list of mean
-    length for each. A scanned entry costs about as much as four written rows, as it may have to be verified."""
-    return int(min(200, max(20, DENOMINATOR * (2 * (1 + 4 * (mean_list - 1)) - 2))))
+def boundary_by_cost(mean_list: float, sizes: dict[int, int]) -> int:
+    """The largest set that is small, at the least cost over classes by size: a small set of prefix ``p`` writes ``p (p - 1) / 2`` subsets; a large one, and a small one that a
+    large one may link with, writes ``p - 1`` elements and scans a list of mean length for each. A scanned entry costs about as much as four written rows, as it may have to be verified."""
+    n = np.array(sorted(sizes), np.int64)
+    if not len(n):
+        return NUMERATOR
+    count, p = np.array([sizes[k] for k in n.tolist()], float), n // DENOMINATOR + 2
+    small, large = count * p * (p - 1) / 2, count * (p - 1) * (1 + 4 * (mean_list - 1))
+    costs = [small[n <= b].sum() + large[n * DENOMINATOR >= NUMERATOR * (b + 1)].sum() for b in range(NUMERATOR, MOST_SMALL)]
+    return NUMERATOR + int(np.argmin(costs))
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:

@@ -270,6 +270,56 @@ def test_keep_one_with_null_and_repeated_ids(spark, rows):
     assert {numbered[docs.index((r.doc_id, r.text))][1] for r in kept} == set(groups)
 
 
+def test_jaccard_join_with_null_and_repeated_ids(spark):
+    """Every row against brute force over row numbers: a class is named by its least doc_id, a component by that of its classes, null only where all are null."""
+    say = lambda word, n=30: [f"{word}{k}" for k in range(n)]
+    docs = [(5, " ".join(say("c", 54))), (None, " ".join(say("c", 58))), (9, " ".join(say("c", 62)))]  # 5 and 9 only meet over the row without id
+    docs += [(2, " ".join(say("x"))), (2, " ".join(say("y"))), (1, " ".join([*say("y"), "end"])), (3, " ".join([*say("x"), "end"])), (3, " ".join(say("z")))]
+    docs += [(None, " ".join(say("n"))), (None, " ".join([*say("n"), "end"])), (None, None), (None, ""), (7, "one"), (7, "One"), (8, " ")]
+    sets = [(n, t) for n, (_, t) in enumerate(docs)]
+    numbered, same = brute_components(sets), defaultdict(set)
+    for n, t in sets:
+        same[frozenset(lower(t).split()) or n].add(n)
+    least = lambda numbers: min((docs[n][0] for n in numbers if docs[n][0] is not None), default=None)
+    whole = defaultdict(set)
+    for n, (_, c) in numbered.items():
+        whole[c].add(n)
+    want = sorted(str((docs[n][0], size, least(whole[c]), least(next(g for g in same.values() if n in g)))) for n, (size, c) in numbered.items())
+    assert least(whole[numbered[2][1]]) == 5 and want.count("(2, 26, 1, 2)") == 1 and want.count("(2, 26, 2, 2)") == 1
+    for seed in range(3):
+        rows = [docs[k] for k in np.random.default_rng(seed).permutation(len(docs))]
+        got = jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(1 + 2 * seed)).collect()
+        assert sorted(str((r.doc_id, r.n_shingles, r.component_id, r.class_id)) for r in got) == want
+
+
+def test_near_pairs_are_all_that_sketches_allow():
+    r = np.random.default_rng(4)
+    base = r.integers(0, 1 << 63, 700, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[: int(r.integers(80, 700))], r.integers(0, 1 << 63, int(r.integers(0, 60)), dtype=np.uint64)])) for _ in range(60)]
+    n, comp, own = np.array([len(s) for s in sets]), r.integers(0, 20, 60), r.integers(0, 2, 60)
+    sketches = [jaccard_join.sketch(s) for s in sets]
+    links = {(i, j) for i in range(60) for j in range(60) if jaccard_join.linked(sets[i], sets[j])}
+    for which in (None, own):
+        i, j = jaccard_join.near(comp, n, sketches, which, False)
+        got = {(a, b) for a, b in zip([*i, *j], [*j, *i], strict=True)}
+        across = {(a, b) for a, b in links if comp[a] != comp[b] and (which is None or which[a] != which[b])}
+        assert across <= got and len(across) > 20 and all(comp[a] != comp[b] for a, b in got)
+        i, j = jaccard_join.near(comp, n, sketches, which, True)
+        assert set(i) == {a for a, _ in got} and set(zip(i, j, strict=True)) <= got
+
+
+@pytest.mark.parametrize("chunk", [7, 1 << 20])
+def test_word_hashes_do_not_depend_on_chunks(chunk, monkeypatch):
+    from lumenaudit.llm import hashing
+
+    texts = [b"Some words, some\x0bmore", None, b"", b"  \n", b"w" * 300 + b" " + b"w" * 301 + b" W" + b"w" * 299, "\u00e9t\u00e9 some".encode(), b"x" * 40]
+    monkeypatch.setattr(hashing, "CHUNK", chunk)
+    h, counts = hashing.word_hashes(texts, jaccard_join.TABLE)
+    words = [w for t in texts for w in (t or b"").lower().split()]
+    assert counts.tolist() == [len((t or b"").split()) for t in texts] and len(h) == len(words)
+    assert len(set(h.tolist())) == len(set(words)) and all((a == b) == (x == y) for a, x in zip(h, words, strict=True) for b, y in zip(h, words, strict=True))
+
+
 @pytest.mark.parametrize("boundary", [10, 60])
 def test_jaccard_join_on_both_sides_of_the_boundary(spark, boundary, monkeypatch):
     r = np.random.default_rng(boundary)
@@ -281,7 +331,7 @@ def test_jaccard_join_on_both_sides_of_the_boundary(spark, boundary, monkeypatch
             for _ in range(int(r.integers(0, 3))):
                 w[int(r.integers(len(w)))] = f"e{int(r.integers(9999))}"
             docs.append((len(docs), " ".join(w[: len(w) - int(r.integers(0, 4))])))
-    monkeypatch.setattr(jaccard_join, "boundary_by_cost", lambda mean: boundary)
+    monkeypatch.setattr(jaccard_join, "boundary_by_cost", lambda *_: boundary)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join(spark.createDataFrame(docs, "doc_id long, text string").repartition(5), heavy_share=0.02).collect()}
     assert got == brute_components(docs)
 
