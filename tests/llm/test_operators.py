@@ -214,7 +214,6 @@ def test_bpe_odd_texts():
         codec = bpe.Codec(f.read())
     texts = ["a" * 3000, " \n\n x<|endoftext|>  y <|endoftext|>", "\x1c\x85\xa0 z​﻿", "I'LL don't 's 123 ４５ ²", "😀😀 é́", "\0\0\0"]
     assert codec.encode(texts) == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
-    codec.known.clear()
     bpe.KEPT_WORDS, kept = 3, bpe.KEPT_WORDS
     try:
         assert [codec.encode([x])[0] for x in texts] == [t.encode(x, add_special_tokens=False).ids for x in texts]
@@ -222,6 +221,35 @@ def test_bpe_odd_texts():
         bpe.KEPT_WORDS = kept
 
 
+def test_bpe_merges_that_make_lesser_ranks_and_overlap():
+    """Random merge tables: the same token from several merges, so that a merge may make a pair of lesser rank; runs of equal symbols."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    r, early = np.random.default_rng(8), 0
+    with open(bpe.default_path(), encoding="utf-8") as f:
+        spec = json.load(f)
+    for _ in range(25):
+        tokens, merges = list(bpe.byte_letters()), []
+        known = ["a", "b"]
+        for _ in range(14):
+            left, right = (str(x) for x in r.choice(known, 2))
+            if len(left + right) < 7 and [left, right] not in merges:
+                merges.insert(int(r.integers(len(merges) + 1)), [left, right])
+                known = list(dict.fromkeys([*known, left + right]))
+        spec["model"]["vocab"] = {t: k for k, t in enumerate([*tokens, *(k for k in known if len(k) > 1)])}
+        spec["model"]["merges"] = [m if isinstance(spec["model"]["merges"][0], list) else " ".join(m) for m in merges]
+        spec["added_tokens"] = []
+        for k in ("post_processor", "normalizer"):
+            spec[k] = None
+        t, codec = Tokenizer.from_str(json.dumps(spec)), bpe.Codec(json.dumps(spec))
+        early += len(codec.early)
+        texts = ["".join(r.choice(["a", "b"], int(r.integers(1, 40)))) + " " + "ab" * int(r.integers(9)) + "a" * int(r.integers(9)) for _ in range(60)]
+        assert codec.encode(texts) == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert early > 20
+
+
 def brute_components(rows):
     sets = []
     for doc_id, text, *_ in rows:
