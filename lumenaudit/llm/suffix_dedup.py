@@ -33,6 +33,8 @@ GRAM = 20  # shorter grams make fewer keys, but more keys that documents share b
 SPAN = LENGTH - GRAM + 1  # grams in a window
 #: Windows in a segment at most; a gram lies in no more windows anyway unless a text repeats itself.
 SEGMENT = SPAN
+#: Texts that are cut into segments at a time: few enough for the arrays to stay in the processor's cache.
+ROWS = 64
 #: Symbols in one transform.
 PIECE = 1_200_000
 #: Different segments of a key beyond which it is dealt by windows.
@@ -78,8 +80,8 @@ def _keys(docs: DataFrame) -> DataFrame:
     def run(batches):
         keys, ids, held = [], [], 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
                 own, _, _, key = segments(raw_bytes(part.column(1)))
                 keys.append(key.view(np.uint64))
                 ids.append(part.column(0).to_numpy(zero_copy_only=False)[own])
@@ -126,43 +128,51 @@ def _members(docs: DataFrame, shared: DataFrame) -> DataFrame:
             "seg": pa.array(hashes, pa.int64()), "bytes": pa.array(cut, pa.binary()),
         }
 
-    return map_slices(rows, run, MEMBER, rows=256, setup=set)
+    return map_slices(rows, run, MEMBER, rows=ROWS, setup=set)
 
 
 class Transform:
-    """The Burrows-Wheeler transform of texts with a unique end mark each; end marks precede all bytes, in the texts' order."""
+    """The Burrows-Wheeler transform of texts with a unique end mark each, its suffixes ordered by their first ``depth`` bytes or more. End marks precede all bytes.
 
-    def __init__(self, texts: list[bytes]):
+    Backward extension only counts symbols before an interval's ends, so for common prefixes of up to ``depth`` bytes the order of suffixes that agree in more doesn't matter."""
+
+    def __init__(self, texts: list[bytes], depth: int):
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
         self.k, self.n = len(texts), int(lengths.sum()) + len(texts)
         flat = np.frombuffer(b"\0".join([*texts, b""]), np.uint8)
         self.marks = np.cumsum(lengths + 1) - 1
-        used, codes = np.unique(np.delete(flat, self.marks) if self.n > self.k else flat[:0], return_inverse=True)
+        is_mark = np.zeros(self.n, bool)
+        is_mark[self.marks] = True
+        used = np.flatnonzero(np.bincount(flat[~is_mark], minlength=256))
         self.sigma = len(used)
-        symbols = np.zeros(self.n, np.int64)
-        symbols[np.delete(np.arange(self.n), self.marks)] = codes + 1
+        code = np.zeros(256, np.int64)
+        code[used] = np.arange(1, self.sigma + 1)
+        symbols = code[flat]
+        symbols[self.marks] = 0
         self.symbols = symbols
-        left = np.repeat(self.marks, lengths + 1) - np.arange(self.n)  # bytes up to the end mark
-        self.left = left
+        self.left = left = np.repeat(self.marks, lengths + 1) - np.arange(self.n)  # bytes up to the end mark
         bits = max(1, int(self.sigma).bit_length())
         step = 62 // bits
         padded = np.concatenate([symbols, np.zeros(step, np.int64)])
-        key = np.zeros(self.n, np.int64)
+        key, here = np.zeros(self.n, np.int64), np.ones(self.n, bool)
         for d in range(step):
-            key = key << bits | np.where(d <= left, padded[d : d + self.n], 0)
+            key <<= bits
+            key |= padded[d : d + self.n] * here
+            here &= padded[d : d + self.n] > 0
         order = np.argsort(key)
-        longest = int(left.max(initial=0)) + 1
-        rank = self._ranks(order, key)
+        longest = min(depth, int(left.max(initial=0)) + 1)
+        parts = 3 if self.n < 1 << 20 else 2  # ranks that fit into one key
+        shift = 20 if parts == 3 else 31
         while step < longest:
-            nxt = np.zeros(self.n, np.int64)
-            far = step <= left
-            nxt[far] = rank[np.flatnonzero(far) + step] + 1
-            key = rank * (self.n + 1) + nxt
+            rank = self._ranks(order, key) + 1
+            key = rank.copy()
+            for part in range(1, parts):
+                far = np.flatnonzero(left >= part * step)
+                key <<= shift
+                key[far] |= rank[far + part * step]
             order = np.argsort(key)
-            rank = self._ranks(order, key)
-            step *= 2
-        # what is still equal ends alike: the end marks' order, which is that of positions, decides
-        self.sa = order if rank[order[-1]] == self.n - 1 else np.argsort(rank * self.n + np.arange(self.n))
+            step *= parts
+        self.sa = order
         last = symbols[np.where(self.sa > 0, self.sa - 1, self.n - 1)]
         start = np.zeros(self.n, bool)
         start[np.concatenate([[0], self.marks[:-1] + 1])] = True
@@ -212,14 +222,20 @@ class Transform:
 
 def earlier(texts: list[bytes], owners: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
     """For each text: by window, whether a text with a smaller owner has it."""
-    t = Transform(texts)
+    found, marks = _earlier(texts, owners, length)
+    return [found[a : max(a, b - length + 1)] for a, b in zip(np.concatenate([[0], marks[:-1] + 1]).tolist(), marks.tolist(), strict=True)]
+
+
+def _earlier(texts: list[bytes], owners: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same for all texts in a row, each with its end mark, and the places of these."""
+    t = Transform(texts, length)
     group = np.cumsum(t.boundaries(length)) - 1
     owner = np.repeat(owners, np.fromiter(map(len, texts), np.int64, len(texts)) + 1)[t.sa]
     starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     least = np.minimum.reduceat(owner, starts)[group]
     found = np.zeros(t.n, bool)
     found[t.sa] = (least < owner) & (t.left[t.sa] >= length)
-    return [found[a : max(a, b - length + 1)] for a, b in zip(np.concatenate([[0], t.marks[:-1] + 1]).tolist(), t.marks.tolist(), strict=True)]
+    return found, t.marks
 
 
 def _judged(parts: DataFrame) -> DataFrame:
@@ -227,29 +243,54 @@ def _judged(parts: DataFrame) -> DataFrame:
     have or that have a window of an earlier document; flags tell the latter. A route of a single segment has nothing to compare and skips the transform."""
 
     def run(batches):
-        held, size, group = [], 0, []
+        rest = None
         for batch in batches:
-            for r in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
-                if group and r[0] != group[0][0]:
-                    held.append(group)
-                    size += sum(len(x[5]) + 1 for x in group) if len(group) > 1 else 0
-                    group = []
-                    if size > PIECE // 2 or len(held) > 50_000:
-                        yield settle(held)
-                        held, size = [], 0
-                group.append(r)
-        if group:
-            held.append(group)
-        if held:
-            yield settle(held)
-
-    def settle(groups):
-        several = [r for g in groups if len(g) > 1 for r in g]
-        flags = earlier([r[5] for r in several], np.array([r[3] for r in several], np.int64)) if several else []
-        rows = [(r, f.tobytes() if f.any() else None) for r, f in zip(several, flags, strict=True)] + [(g[0], None) for g in groups if len(g) == 1]
-        rows = [(r, f) for r, f in rows if f is not None or r[3] < r[4]]
-        cols = [pa.array([r[k] for r, _ in rows], pa.int64()) for k in (1, 2, 3)] + [pa.array([f for _, f in rows], pa.binary())]
-        return pa.RecordBatch.from_arrays(cols, names=["key", "seg", "first", "flags"])
+            table = pa.Table.from_batches([batch])
+            if rest is not None:
+                table = pa.concat_tables([rest, table]).combine_chunks()
+            if not table.num_rows:
+                continue
+            route = table.column(0).to_numpy()
+            cut = int(np.searchsorted(route, route[-1]))  # the last route may go on in the next batch
+            if cut:
+                yield from settle(table.slice(0, cut))
+            rest = table.slice(cut)
+        if rest is not None:
+            yield from settle(rest)
+
+    def settle(table):
+        route, key, seg, first, final = (table.column(k).to_numpy() for k in range(5))
+        fresh = np.concatenate([[True], route[1:] != route[:-1]])
+        begin = np.flatnonzero(fresh)
+        alone = np.repeat(np.diff(np.append(begin, len(route))) == 1, np.diff(np.append(begin, len(route))))
+        once = np.flatnonzero(alone & (first < final))
+        if len(once):
+            yield emitted(key[once], seg[once], first[once], [None] * len(once))
+        several = np.flatnonzero(~alone)
+        if not len(several):
+            return
+        sizes = pc.binary_length(table.column(5).take(pa.array(several))).to_numpy() + 1
+        held = np.cumsum(sizes)
+        # whole routes go into a transform, up to half a piece or one route
+        ends = np.append(np.flatnonzero(fresh[several])[1:], len(several))
+        at = 0
+        while at < len(several):
+            done = held[at - 1] if at else 0
+            k = np.searchsorted(held[ends - 1], done + PIECE // 2, side="right") - 1
+            stop = int(ends[k]) if k >= 0 and ends[k] > at else int(ends[np.searchsorted(ends, at, side="right")])
+            rows = several[at:stop]
+            texts = table.column(5).take(pa.array(rows)).to_pylist()
+            found, marks = _earlier(texts, first[rows], LENGTH)
+            starts = np.concatenate([[0], marks[:-1] + 1])
+            hit = np.logical_or.reduceat(found, starts)
+            on = np.flatnonzero(hit | (first[rows] < final[rows]))
+            raw = found.tobytes()
+            flags = [raw[a : b - LENGTH + 1] if h else None for a, b, h in zip(starts[on].tolist(), marks[on].tolist(), hit[on].tolist(), strict=True)]
+            yield emitted(key[rows][on], seg[rows][on], first[rows][on], flags)
+            at = stop
+
+    def emitted(key, seg, first, flags):
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(seg), pa.array(first), pa.array(flags, pa.binary())], names=["key", "seg", "first", "flags"])
 
     return parts.repartition("route").sortWithinPartitions("route").select("route", "key", "seg", "first", "final", "bytes").mapInArrow(run, "key long, seg long, first long, flags binary")
 
@@ -272,8 +313,10 @@ def _windows(segs: DataFrame) -> DataFrame:
 def _judged_by_windows(segs: DataFrame) -> DataFrame:
     """The same for keys of very many segments. Equal windows fold into one with their least document before they meet."""
     rows = written(_windows(segs))
-    folded = rows.groupBy("route").agg(F.min("first").alias("least"), F.max("first").alias("most"), F.first("bytes").alias("bytes")).where("least < most")
-    ends = folded.select("route", "route", F.explode(F.array("least", "most")).alias("first"), "bytes").toDF("route", "key", "first", "bytes").withColumns({"seg": F.col("first"), "final": F.col("first")})
+    folded = written(rows.groupBy("route").agg(F.min("first").alias("least"), F.max("first").alias("most"), F.first("bytes").alias("bytes")).where("least < most"))
+    # windows meet in transforms of some thousand different ones, which find the equal ones among them
+    routes = max(1, folded.count() // 4_000)
+    ends = folded.select(F.pmod("route", F.lit(routes)), "route", F.explode(F.array("least", "most")).alias("first"), "bytes").toDF("route", "key", "first", "bytes").withColumns({"seg": F.col("first"), "final": F.col("first")})
     verdict = _judged(ends).where("flags IS NOT NULL").select(F.col("key").alias("route")).distinct()
     least = folded.select("route", "least").join(verdict, "route")
     flagged = rows.join(least, "route").where("least < first").groupBy("key", "seg", "first").agg(F.collect_set("at").alias("ats"))
