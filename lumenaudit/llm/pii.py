@@ -1,6 +1,7 @@
 """Personal data: base patterns, and identifiers that bootstrapped contexts reveal.
 
-The base patterns' matches are the seeds. The one to three words before a seed, on its line, are candidate patterns; one counts if at least
+The base patterns' matches are the seeds, and with them tokens whose shape alone tells a key (hexadecimal, base64 and the like: ``shaped``), which are no spans
+unless a learnt pattern stands before them. The one to three words before a seed, on its line, are candidate patterns; one counts if at least
 ``least_seeds`` different seeds of a kind stand behind it, however large the corpus. Their number grows with the corpus, so they stay a table, and texts meet
 them in blocks of about ``MOST_PATTERNS``, a pass over all texts for each block: all that is broadcast is one block. These passes
 count what follows each pattern: seeds, other identifier-like tokens, or ordinary words. On this graph of patterns and
@@ -35,7 +36,12 @@ DIGIT = re.compile(r"[0-9]")
 TOKEN = re.compile(r"\S+")
 #: What may be an identifier: six or more characters, two digits among them, between marks that may enclose it. Only the token bounds its length.
 IDENTIFIER = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9_/.@-]{4,})[A-Za-z0-9]")
+#: Tokens long enough for a key, and changes between letters and digits.
+LONG = re.compile(r"\S{20,}")
+CHANGE = re.compile(r"[A-Za-z](?=[0-9])|[0-9](?=[A-Za-z])")
 Span = tuple[str, int, int]
+#: Words whose plain form a worker keeps; beyond, it starts afresh.
+KEPT_WORDS = 500_000
 #: Patterns that the driver and a worker hold at a time.
 MOST_PATTERNS = 500_000
 #: Column of the ``id`` spans that earlier blocks of patterns found.
@@ -112,15 +118,24 @@ def spelled(spans: list[Span]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-def plain(word: str) -> str:
-    return re.sub(r"[0-9]+", "0", word.lower())[:40]
+class PlainWords(dict):
+    """Words as patterns have them: in lower case, runs of digits as 0, 40 characters at most."""
+
+    def __missing__(self, word: str) -> str:
+        if len(self) >= KEPT_WORDS:
+            self.clear()
+        self[word] = made = re.sub(r"[0-9]+", "0", word.lower())[:40]
+        return made
+
+
+PLAIN = PlainWords()
 
 
 def contexts(text: str, at: int) -> list[str]:
     """The one to three words before a position, on its line; quotes and brackets that open the token at ``at`` are passed over."""
     line = text.rfind("\n", 0, at) + 1
     before = text[max(line, at - 130) : at].rstrip("\"'([{<")
-    words = [plain(w) for w in before.split()[-3:]] if not before or before[-1:].isspace() else []
+    words = [PLAIN[w] for w in before.split()[-3:]] if not before or before[-1:].isspace() else []
     return [" ".join(words[-n:]) for n in range(1, len(words) + 1)]
 
 
@@ -129,11 +144,24 @@ def identifier(token: str) -> re.Match | None:
     return next((m for m in IDENTIFIER.finditer(token) if len(DIGIT.findall(m[0])) >= 2), None)
 
 
+def shaped(run: str) -> bool:
+    """Whether letters and digits are mixed as in a random key: 20 characters or more, four changes between letters and digits or more."""
+    return len(run) >= 20 and len(CHANGE.findall(run)) >= 4
+
+
+def keys(text: str) -> Iterator[tuple[int, int]]:
+    """Tokens that are keys by their shape, without what encloses them."""
+    for m in LONG.finditer(text):
+        if (hit := identifier(m[0])) and shaped(hit[0]):
+            yield m.start() + hit.start(), m.start() + hit.end()
+
+
 def _seeds(docs: DataFrame) -> DataFrame:
     def run(cols: dict) -> dict:
         got: Counter = Counter()
         for t in cols["text"].to_pylist():
-            for kind, a, b in base_spans(t):
+            base = base_spans(t)
+            for kind, a, b in [*base, *(("id", a, b) for a, b in keys(t or "") if not any(x < b and a < y for _, x, y in base))]:
                 for c in contexts(t, a):
                     got[kind, c, t[a:b]] += 1
         return {"kind": [k for k, _, _ in got], "pattern": [c for _, c, _ in got], "instance": [i for _, _, i in got]}
@@ -149,21 +177,22 @@ def candidate_patterns(docs: DataFrame, least_seeds: int) -> DataFrame:
 
 def followers(text: str, patterns: set[str], last: set[str], spans: list[Span]):
     """For each token after a pattern: the pattern, its start, and the seed, the identifier-like match or None there."""
+    words = text.split()
+    hits = [k for k, w in enumerate(words[:-1]) if PLAIN[w] in last]
+    if not hits:
+        return
     starts = {a: (a, b) for _, a, b in reversed(spans)}
-    window: list[str] = []
-    end_line = -1
-    for m in TOKEN.finditer(text):
-        if window and window[-1] in last:
-            if text.find("\n", end_line, m.start()) >= 0:
-                window = []
-            for n in range(1, len(window) + 1):
-                if (p := " ".join(window[-n:])) in patterns:
-                    at = m.start() + len(m[0]) - len(m[0].lstrip("\"'([{<"))
-                    seed = starts.get(at) or starts.get(m.start())
-                    hit = None if seed else identifier(m[0])
-                    yield p, seed, hit and (m.start() + hit.start(), m.start() + hit.end())
-        end_line = m.end()
-        window = [*window[-2:], plain(m[0])]
+    places = list(TOKEN.finditer(text))
+    for k in hits:
+        m = places[k + 1]
+        line = text.rfind("\n", 0, m.start()) + 1
+        window = [PLAIN[words[j]] for j in range(max(0, k - 2), k + 1) if places[j].start() >= line]
+        for n in range(1, len(window) + 1):
+            if (p := " ".join(window[-n:])) in patterns:
+                at = m.start() + len(m[0]) - len(m[0].lstrip("\"'([{<"))
+                seed = starts.get(at) or starts.get(m.start())
+                hit = None if seed else identifier(m[0])
+                yield p, seed, hit and (m.start() + hit.start(), m.start() + hit.end())
 
 
 def _edges(docs: DataFrame, block: list[str]) -> DataFrame:
@@ -175,7 +204,8 @@ def _edges(docs: DataFrame, block: list[str]) -> DataFrame:
             if t:
                 for p, seed, hit in followers(t, *state, base_spans(t)):
                     at = seed or hit
-                    got[p, t[at[0] : at[1]] if at else None, bool(seed)] += 1
+                    found = t[at[0] : at[1]] if at else None
+                    got[p, found, bool(seed) or found is not None and shaped(found)] += 1
         keys = list(got)
         return {"pattern": [k[0] for k in keys], "instance": [k[1] for k in keys], "seed": [k[2] for k in keys], "n": [got[k] for k in keys]}
 

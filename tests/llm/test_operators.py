@@ -420,6 +420,40 @@ def test_pii_contexts_of_few_seeds_among_many(spark):
         assert texts[20_000] == "badge ref: [ID] and code: [ID] here" and len(texts) == len(docs)
 
 
+def test_pii_keys_by_their_shape_announce_others(spark):
+    r = np.random.default_rng(6)
+    key = lambda: "".join(r.choice(list("0123456789abcdef"), 40))
+    docs = [(n, f"w{chr(97 + n)} x{chr(98 + n)} said\napi token = \"{key()}\" and more, level = high\n") for n in range(8)]
+    docs += [(50, 'then token = "AB-4711-99x" and 2024-2025'), (51, "no-such-0123456789-token here"), (52, "level = high"), (53, f"alone {key()}"), (54, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    learnt = set(pii.learn_patterns(df))
+    assert "token =" in learnt and not learnt & {"=", "level =", "alone"}
+    found = {x.doc_id: x.spans for x in pii.find(df, ["doc_id"], learnt).collect()}
+    assert found[50] == "id:14:25" and found[0].startswith("id:") and not any(found[k] for k in (51, 52, 53, 54))
+    assert pii.shaped(key()) and not pii.shaped("internationalization-2024-2025") and not pii.shaped("12345678901234567890")
+
+
+def test_pattern_scores_are_the_plain_iteration(spark):
+    r = np.random.default_rng(7)
+    edges = []
+    for p in range(12):
+        for i in sorted(set(r.integers(0, 20, 6).tolist())):
+            edges.append((f"p{p}", f"i{i}", i < 6, int(r.integers(1, 9))))
+        if p % 3:
+            edges.append((f"p{p}", None, False, int(r.integers(1, 30))))
+    value = {i: 0.0 for _, i, seed, _ in edges if i and not seed}
+    for _ in range(4):
+        scores = {}
+        for p in {e[0] for e in edges}:
+            mine = [(n, 1.0 if seed else value.get(i, 0.0)) for q, i, seed, n in edges if q == p]
+            scores[p] = sum(n * v for n, v in mine) / sum(n for n, _ in mine)
+        for i in value:
+            mine = [(n, scores[p]) for p, j, _, n in edges if j == i]
+            value[i] = sum(n * v for n, v in mine) / sum(n for n, _ in mine)
+    got = {x.pattern: x.score for x in pii.score_patterns(spark.createDataFrame(edges, "pattern string, instance string, seed boolean, n long"), 4).collect()}
+    assert got == pytest.approx(scores) and len(set(map(lambda v: round(v, 6), scores.values()))) > 6
+
+
 def test_long_identifiers_are_masked_whole():
     for key in ("k" * 70 + "0123456789", "A1" * 40, "ab-12/" * 20 + "z"):
         text = f"api key: ({key}), and https://host.example/path?token={key} stays"
