@@ -2,8 +2,8 @@
 
 The benchmark's normalised n-grams (``WIDTH`` words; a shorter item is one window) become a hash set that is broadcast. Documents
 are scanned once: rolling 64-bit hashes over word numbers find candidates, each is verified word by word, and the words inside
-occurrences are the hits. The broadcast is bounded: a benchmark of more than ``most_bytes`` of text is cut into blocks of items,
-documents are scanned for each block, and the hit words of the blocks are united.
+occurrences are the hits. The broadcast is bounded: a benchmark of more than ``most_bytes`` of text is cut into blocks of items, whose index
+is some twenty times their text; documents are scanned for each block, one after another, each block's hits are written, and the hit words of the blocks are united.
 
 Null and empty texts have no words and no hits; an item without words has no window. Hits of a benchmark row without item_id count, but
 name no item. Repeated benchmark rows count once, repeated documents each by itself. Other columns of documents pass through.
@@ -34,40 +34,58 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 class Windows:
-    """The windows of benchmark items: by length, the numbers of their words, and the items they come from."""
+    """The windows of benchmark items, as arrays: the items' words by number in a row, and for each length the sorted hashes and places of the distinct windows of each item.
+
+    A word takes some 150 bytes once, its occurrences 24 bytes each and a filter of ``2 ** FILTER_BITS`` bytes for each length; an item's words are at least as many as its windows."""
 
     def __init__(self, items: list[tuple[int | None, bytes]], width: int = WIDTH):
         self.vocabulary: dict[bytes, int] = {}
-        self.items: dict[tuple[int, ...], set[int]] = {}
-        for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
-            n = min(width, len(ids))
-            for at in range(len(ids) - n + 1 if ids else 0):
-                found = self.items.setdefault(tuple(ids[at : at + n]), set())
-                if item is not None:
-                    found.add(item)
+        number = self.vocabulary.setdefault
+        words = [np.array([number(w, len(self.vocabulary) + 1) for w in words_of(text)], np.int32) for _, text in items]
+        self.flat = np.concatenate([*words, np.zeros(0, np.int32)])
         self.codes = np.random.default_rng(5).integers(1, 1 << 63, len(self.vocabulary) + 1, dtype=np.uint64)
-        self.lengths = {len(w) for w in self.items}
-        self.filters = {n: np.zeros(1 << FILTER_BITS, bool) for n in self.lengths}
-        for w in self.items:
-            h = np.zeros(1, np.uint64)
-            for x in w:
-                h = h * FACTOR + self.codes[x]
-            self.filters[len(w)][h >> np.uint64(64 - FILTER_BITS)] = True
+        self.names = [name for name, _ in items]
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        begins = np.cumsum(sizes) - sizes
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.filters: dict[int, np.ndarray] = {}
+        for n in sorted(set(np.minimum(sizes, width).tolist()) - {0}):
+            mine = np.flatnonzero(np.minimum(sizes, width) == n)
+            counts = sizes[mine] - n + 1
+            item = np.repeat(mine, counts)
+            at = np.repeat(begins[mine] - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
+            h = np.zeros(len(at), np.uint64)
+            for k in range(n):
+                h = h * FACTOR + self.codes[self.flat[at + k]]
+            order = np.lexsort((at, item, h))
+            h, item, at = h[order], item[order], at[order]
+            same = np.zeros(len(h), bool)  # a window that repeats within its item
+            same[1:] = (h[1:] == h[:-1]) & (item[1:] == item[:-1])
+            for k in range(n):
+                same[1:] &= self.flat[at[1:] + k] == self.flat[at[:-1] + k]
+            self.tables[n] = h[~same], at[~same].astype(np.int64), item[~same].astype(np.int32)
+            self.filters[n] = np.zeros(1 << FILTER_BITS, bool)
+            self.filters[n][h >> np.uint64(64 - FILTER_BITS)] = True
 
     def hits(self, ids: np.ndarray) -> tuple[np.ndarray, list[tuple[int, set[int]]]]:
         """Which positions lie inside an occurrence, and each occurrence's start and items. Number 0 is a word of no item."""
         hit, found = np.zeros(len(ids), bool), []
         codes = self.codes[ids] if len(ids) else np.zeros(0, np.uint64)
         h = np.zeros(len(ids), np.uint64)
-        for n in range(1, min(max(self.lengths, default=0), len(ids)) + 1):
+        for n in range(1, min(max(self.tables, default=0), len(ids)) + 1):
             h = h[: len(ids) - n + 1] * FACTOR + codes[n - 1 :]
-            if n in self.lengths:
-                for at in np.flatnonzero(self.filters[n][h >> np.uint64(64 - FILTER_BITS)]).tolist():
-                    items = self.items.get(tuple(ids[at : at + n].tolist()))
-                    if items is not None:
-                        hit[at : at + n] = True
-                        found.append((at, items))
+            if n not in self.tables:
+                continue
+            hashes, places, items = self.tables[n]
+            maybe = np.flatnonzero(self.filters[n][h >> np.uint64(64 - FILTER_BITS)])
+            first, end = np.searchsorted(hashes, h[maybe], "left"), np.searchsorted(hashes, h[maybe], "right")
+            maybe, first, end = maybe[end > first], first[end > first], end[end > first]
+            for at, a, b in zip(maybe.tolist(), first.tolist(), end.tolist(), strict=True):
+                window = ids[at : at + n]
+                really = [k for k in range(a, b) if np.array_equal(self.flat[places[k] : places[k] + n], window)]
+                if really:
+                    hit[at : at + n] = True
+                    found.append((at, {self.names[items[k]] for k in really} - {None}))
         return hit, found
 
 
@@ -113,7 +131,7 @@ def blocks(benchmark: DataFrame, most_bytes: int) -> list[DataFrame]:
     return [items] if n == 1 else [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) for k in range(n)]
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, keep: list[str], *, width: int = WIDTH, most_bytes: int = 16 << 20) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, keep: list[str], *, width: int = WIDTH, most_bytes: int = 8 << 20) -> DataFrame:
     """``keep`` columns, ``n_words``, ``hits`` (positions of hit words) and ``items`` of every row."""
     spark = docs.sparkSession
     keep = columns(docs, keep, MADE)[0]
@@ -133,12 +151,14 @@ def scan(docs: DataFrame, benchmark: DataFrame, keep: list[str], *, width: int =
     # each row carries a number of its own through the blocks, as doc_id may repeat
     rows = docs.select(*dict.fromkeys([*keep, "text"])).withColumn("__number", F.monotonically_increasing_id())
     rows = written(rows)
-    parts = [block(rows, b, ["__number"]) for b in cut]
-    union = parts[0]
-    for p in parts[1:]:
-        union = union.unionByName(p)
-    joined = union.groupBy("__number").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return rows.select("__number", *keep).join(joined, "__number").select(*keep, "n_words", "hits", "items")
+    union = None
+    for b in cut:  # one index at a time on the driver and the workers; only documents with hits are stored
+        part = written(block(rows, b, ["__number"]).where(F.size("hits") > 0).drop("n_words"))
+        union = part if union is None else union.unionByName(part)
+    joined = union.groupBy("__number").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    counted = map_slices(rows, lambda cols: {c: cols[c] for c in ["__number", *keep]} | {"n_words": [len(words_of(t)) for t in raw_bytes(cols["text"])]}, columns(rows, ["__number", *keep], "n_words long")[1])
+    none = [F.coalesce(c, F.array().cast(t)).alias(c) for c, t in (("hits", "array<int>"), ("items", "array<long>"))]
+    return counted.join(joined, "__number", "left").select(*keep, "n_words", *none)
 
 
 def contaminated(n_hit, n_words):
