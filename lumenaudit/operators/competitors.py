@@ -18,8 +18,8 @@ def _said(label: str, name: str, ahead: bool) -> Column:
 
 
 def failure(fetch_error: Column, blocked: Column) -> Column:
-    """Why a competitor has no pages: the first error, else robots.txt, else nothing was found."""
-    return F.coalesce(fetch_error, F.when(blocked, F.lit("Blocked by robots.txt")), F.lit("No pages could be crawled"))
+    """Why a competitor has no pages: the first error, else robots.txt, else nothing was found. The texts are fixed values."""
+    return F.coalesce(F.concat(F.lit("Crawl failed: "), fetch_error), F.when(blocked, F.lit("The site's robots.txt disallows crawling")), F.lit("No pages could be crawled"))
 
 
 def compare(pairs: DataFrame, sites: DataFrame) -> DataFrame:

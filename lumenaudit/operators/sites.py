@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenaudit.functions import text as tx
@@ -50,10 +50,15 @@ def in_order(value: Column, most: int | None = None) -> Column:
     return F.slice(out, 1, most) if most else out
 
 
-def duplicate_values(values: Column) -> Column:
-    """How many different values, but for case, occur more than once; blanks don't count."""
-    low = F.transform(F.filter(values, lambda v: v != ""), lambda v: F.lower(v))
-    return F.size(F.filter(F.array_distinct(low), lambda v: F.size(F.filter(low, lambda w: w == v)) > 1))
+def site_text(pages: DataFrame, most: int = tx.SITE_TEXT_CHARS) -> DataFrame:
+    """``(site_id, all_text)``: the texts of a site's pages by ``ord``, joined by line ends and cut at ``most`` characters (a fixed value). Null texts are left out.
+
+    The window runs over lengths alone; only texts that begin before the limit travel, so a site brings its task little more than the limit, however large it is."""
+    before = Window.partitionBy("site_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    lengths = pages.select("site_id", "ord", F.coalesce(F.length("text") + 1, F.lit(0)).cast("long").alias("n"))
+    begins = lengths.select("site_id", "ord", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("begin")).where(F.col("begin") < most)
+    kept = pages.select("site_id", "ord", "text").join(begins, ["site_id", "ord"])
+    return kept.groupBy("site_id").agg(F.substring(F.array_join(in_order(F.col("text")), "\n"), 1, most).alias("all_text"))
 
 
 def home_page(pages: DataFrame) -> DataFrame:
@@ -64,7 +69,7 @@ def home_page(pages: DataFrame) -> DataFrame:
 
 
 def duplicates_by_site(pages: DataFrame, column: str, name: str) -> DataFrame:
-    """The same as ``duplicate_values`` for sites of any size: one shuffle by site and value."""
+    """How many different values of a site, but for case, occur more than once; blanks don't count. One shuffle by site and value."""
     low = pages.where(F.col(column) != "").groupBy("site_id", F.lower(column).alias("v")).count()
     return low.where("count > 1").groupBy("site_id").agg(F.count("*").cast("int").alias(name))
 
@@ -80,7 +85,6 @@ def site_signals(pages: DataFrame, sites: DataFrame, *, as_of_year: int) -> Data
     ratio = lambda n: F.when(c("page_count") > 0, c(n) / c("page_count")).otherwise(F.lit(0.0))
     agg = pages.groupBy("site_id").agg(
         count(F.lit(True)).alias("page_count"),
-        F.substring(F.array_join(in_order(c("text")), "\n"), 1, tx.SITE_TEXT_CHARS).alias("all_text"),
         F.flatten(in_order(F.transform("nodes", lambda n: n["types"]))).alias("node_types"),
         F.sum(F.size("invalid")).cast("int").alias("invalid_count"),
         F.size(F.array_distinct(F.flatten(F.collect_list("phones")))).alias("phone_count"),
@@ -100,7 +104,7 @@ def site_signals(pages: DataFrame, sites: DataFrame, *, as_of_year: int) -> Data
         count(c("has_landmarks")).alias("landmark_pages"), F.avg(c("word_count").cast("double")).alias("mean_words"),
     )
     joined = sites.join(agg, "site_id", "left").join(duplicates_by_site(pages, "title", "duplicate_titles"), "site_id", "left").join(duplicates_by_site(pages, "meta_description", "duplicate_descriptions"), "site_id", "left")
-    joined = joined.join(home_page(pages), "site_id", "left")
+    joined = joined.join(home_page(pages), "site_id", "left").join(site_text(pages), "site_id", "left")
     numbers = [n for n, t in agg.dtypes if t == "int"] + ["duplicate_titles", "duplicate_descriptions"]
     joined = joined.fillna(0, numbers).fillna(False, ["has_pricing_page", "has_docs", "has_customer_pages"])
     text = F.coalesce(c("all_text"), F.lit(""))

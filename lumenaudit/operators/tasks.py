@@ -100,8 +100,8 @@ def general_tasks(sites: DataFrame, roadmap: DataFrame | None = None) -> DataFra
     """Tasks of the first eight findings, then of a roadmap ``(site_id, phase_no, phase, title, action_no, action)``; of equal ones the first, 14 a site."""
     c = F.col
     found = sites.select("site_id", F.posexplode(F.slice("findings", 1, 8)).alias("n", "f")).select(
-        "site_id", F.lit(0).alias("part"), c("n").alias("n"), F.lit(0).alias("m"), F.concat(F.lit("finding-"), c("f.id")).alias("id"), c("f.title").alias("title"),
-        F.coalesce(F.nullif("f.recommendation", F.lit("")), "f.description").alias("detail"), c("f.evidence").alias("evidence"),
+        "site_id", F.lit(0).alias("part"), c("n").alias("n"), F.lit(0).alias("m"), F.concat(F.lit("finding-"), F.coalesce(F.nullif("f.id", F.lit("")), c("n").cast("string"))).alias("id"), F.coalesce(F.nullif("f.title", F.lit("")), F.lit("Resolve prioritized finding")).alias("title"),
+        F.coalesce(F.nullif("f.recommendation", F.lit("")), F.nullif("f.description", F.lit("")), F.lit("Address the finding documented in the diagnostic.")).alias("detail"), c("f.evidence").alias("evidence"),
         F.when(c("f.severity") == "high", "High").when(c("f.severity") == "low", "Low").otherwise("Medium").alias("impact"), F.when(c("f.severity") == "high", "This week").otherwise("Next sprint").alias("effort"), c("f.category").alias("source"),
     )
     if roadmap is not None:

@@ -12,6 +12,7 @@ from lumenaudit.operators.robots import bot_access
 from lumenaudit.operators.scoring import score_sites
 from lumenaudit.operators.sites import site_signals
 from lumenaudit.sources.html import parse_pages
+from lumenaudit.sources.storage import stored
 
 HEADERS = "map<string,string>"
 
@@ -38,8 +39,8 @@ def auxiliary(sites: DataFrame, robots: DataFrame | None = None) -> DataFrame:
 
 
 def signals_of(pages: DataFrame) -> DataFrame:
-    """Page signals of a snapshot; html is read once and dropped."""
-    return page_signals(parse_pages(pages, ["page_id", "site_id", "ord", "url", "requested_url", "start_url", "status", "headers", "truncated"]))
+    """Page signals of a snapshot, stored: html is read and parsed once, whatever reads the signals by column afterwards."""
+    return stored(page_signals(parse_pages(pages, ["page_id", "site_id", "ord", "url", "requested_url", "start_url", "status", "headers", "truncated"])))
 
 
 def audit(signals: DataFrame, *, as_of_year: int, robots: DataFrame | None = None, pagespeed: DataFrame | None = None) -> DataFrame:

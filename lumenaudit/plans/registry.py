@@ -13,7 +13,7 @@ from lumenaudit.operators import competitors, frontier, history, robots, tasks
 from lumenaudit.operators.findings import exploded, with_findings
 from lumenaudit.operators.pages import PAGE_TYPES, page_type
 from lumenaudit.operators.scoring import Check, score_sites
-from lumenaudit.operators.sites import TEXT_FLAGS, WORD_END, freshness, in_order
+from lumenaudit.operators.sites import TEXT_FLAGS, WORD_END, freshness, in_order, site_text
 from lumenaudit.plans import audit as whole
 from lumenaudit.plans import render
 from lumenaudit.sources.html import page_links, parse_pages
@@ -139,7 +139,7 @@ FLAGS = TEXT_FLAGS | {"has_freshness": freshness(YEAR)}
        + ", ".join(f"regexp_matches(t, '(?i){re2(p)}') AS {k}" for k, p in FLAGS.items()) + " FROM s")
 def text_site_flags(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").select(c("source").alias("site_id"), c("doc_id").alias("ord"), "text")
-    s = d.groupBy("site_id").agg(F.substring(F.array_join(in_order(c("text")), "\n"), 1, tx.SITE_TEXT_CHARS).alias("t"))
+    s = site_text(d).withColumnRenamed("all_text", "t")
     return s.select("site_id", F.length("t").alias("chars"), *(tx.matches(c("t"), p).alias(k) for k, p in FLAGS.items()))
 
 

@@ -175,3 +175,40 @@ def test_reports(spark):
     assert render.chart("x", None, []) == "" and render.chart("x", scores, [{"error": "x"}]) == ""
     assert "<h1>example.com</h1>" in render.page(row)
     assert render.rendered(whole.example_site(spark)).count() == 1
+
+
+def test_html_is_parsed_once(spark):
+    """The audit's plan reads stored signals: no parse in any of its branches."""
+    pages = spark.createDataFrame([(1, "https://a.example/", "<title>One</title>"), (2, "https://a.example/b", None)], "page_id long, url string, html string")
+    out = whole.audit(whole.signals_of(whole.snapshot(pages)), as_of_year=2024)
+    assert "MapInArrow" not in out._jdf.queryExecution().toString()
+    assert [(r.site_id, r.page_count) for r in out.collect()] == [("a.example", 2)]
+
+
+def test_site_text_stops_at_the_limit(spark):
+    from lumenaudit.operators.sites import site_text
+
+    rows = [("a", 2, "cc"), ("a", 1, None), ("a", 0, "aaa"), ("a", 3, "dddd"), ("a", 4, "never read"), ("b", 0, ""), ("c", 0, None)]
+    got = {r.site_id: r.all_text for r in site_text(spark.createDataFrame(rows, "site_id string, ord int, text string"), 8).collect()}
+    assert got == {"a": "aaa\ncc\nd", "b": "", "c": ""}
+
+
+def test_why_a_competitor_failed(spark):
+    from pyspark.sql import functions as F
+
+    from lumenaudit.operators.competitors import failure
+
+    rows = spark.createDataFrame([("timeout", True), (None, True), (None, False)], "e string, b boolean").select(failure(F.col("e"), F.col("b")).alias("f")).collect()
+    assert [r.f for r in rows] == ["Crawl failed: timeout", "The site's robots.txt disallows crawling", "No pages could be crawled"]
+
+
+def test_shared_folder_is_never_local_on_a_cluster():
+    from types import SimpleNamespace
+
+    from lumenaudit.sources.storage import shared_folder
+
+    session = lambda master, base: SimpleNamespace(sparkContext=SimpleNamespace(master=master, getConf=lambda: {"spark.checkpoint.dir": base} if base else {}))
+    assert shared_folder(session("yarn", "hdfs:///x/")).startswith("hdfs:///x/lumenaudit-") and shared_folder(session("local[2]", None)).startswith("file:///")
+    for master in ("yarn", "local-cluster[3,2,1000]"):
+        with pytest.raises(ValueError):
+            shared_folder(session(master, None))
