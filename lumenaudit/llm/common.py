@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -14,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from lumenaudit.sources.storage import shared_folder
+
 #: Rows that a Python worker handles at a time; texts of one slice are all it holds.
 SLICE_ROWS = 512
 
@@ -52,11 +52,8 @@ def raw_bytes(column: pa.Array) -> list[bytes | None]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder that the driver and all executors share: under ``spark.checkpoint.dir``, or local where that is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="lumenaudit-")
-    path = f"{base.rstrip('/')}/lumenaudit-{uuid.uuid4().hex}"
+    """A new folder that the driver and all executors share, gone when the session ends."""
+    path = shared_folder(spark)
     atexit.register(_drop, spark, path)
     return path
 

@@ -40,6 +40,8 @@ NUMERATOR, DENOMINATOR = 4, 5  # similarity of 0.8 or more
 MOST_SMALL = 400
 #: Classes of a group that meet in one task.
 BLOCK = 1024
+#: Tasks that share a group's rows where they learn how many blocks it has.
+SALTS = 16
 
 
 def _rolled(codes: np.ndarray, n: int) -> np.ndarray:
@@ -177,7 +179,8 @@ def _pairs(groups: DataFrame, classes: DataFrame, labels: DataFrame | None, near
     named = groups.join(labels.select(F.col("node").alias("cls"), "component"), "cls", "left") if labels is not None else groups.withColumn("component", F.lit(None).cast("long"))
     named = named.withColumn("component", F.coalesce("component", "cls"))
     open_ = named.groupBy("hub").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("m")).where("x < y").select("hub", F.ceil(F.col("m") / block).cast("int").alias("cuts"))
-    rows = named.join(open_, "hub").withColumn("own", F.pmod(F.xxhash64("cls"), "cuts").cast("int"))
+    salted = open_.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # a long group meets its row in several tasks
+    rows = named.withColumn("salt", F.pmod(F.xxhash64("cls", F.lit(1)), F.lit(SALTS)).cast("int")).join(salted, ["hub", "salt"]).withColumn("own", F.pmod(F.xxhash64("cls"), "cuts").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).join(classes.select("cls", "n", "sketch"), "cls")
     rows = rows.select("hub", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "cls", "component", "n", "sketch")
 

@@ -5,7 +5,7 @@ threshold at a time by FOIL's gain, and pruned on the others; the low-quality ro
 The list becomes one ordered Spark ``CASE WHEN``, so that applying it costs no Python and a reader can check it.
 
 Null and empty texts have no words: all statistics are 0 and the base rule rejects them. A table without labelled rows gives an
-empty list: only the base rule holds. Repeated rows are judged each by itself; other columns pass through ``classify`` untouched.
+empty list: only the base rule holds. Repeated rows are judged each by itself; of rows with one labelled id the one with the least statistics is learnt from; other columns pass through ``classify`` untouched.
 """
 
 from __future__ import annotations
@@ -182,7 +182,8 @@ def train(docs: DataFrame, labels: DataFrame, *, most_labelled: int = 10_000, **
     sample = label_sample(labels, "quality", most_labelled)
     fields = [f.split()[0] for f in STATS.split(", ")]
     found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    rows = with_statistics(found, ["doc_id", "label"]).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled).toPandas()
+    one = with_statistics(found, ["doc_id", "label"]).groupBy("doc_id", "label").agg(F.min(F.struct(*fields)).alias("least")).select("doc_id", "label", "least.*")
+    rows = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled).toPandas()
     return learn_rules({f: rows[f].to_numpy() for f in fields}, rows["label"].to_numpy(), **options)
 
 

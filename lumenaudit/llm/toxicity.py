@@ -5,7 +5,7 @@ term leaves few weights that aren't 0, which are broadcast: their number is boun
 sample of the labelled documents in a fixed order, in one task. Every document is scored on its whole text.
 
 Null and empty texts have the bias alone and score below one half, unless most labelled rows are toxic. Without labelled rows of both
-kinds there is no model: every score is the share of toxic rows, 0 if there are none. Repeated rows are scored each by itself. Ids, sources and languages are never features.
+kinds there is no model: every score is the share of toxic rows, 0 if there are none. Repeated rows are scored each by itself; of rows with one labelled id the one with the least features is learnt from. Ids, sources and languages are never features.
 """
 
 from __future__ import annotations
@@ -84,7 +84,8 @@ def train(docs: DataFrame, labels: DataFrame, *, most_labelled: int = 10_000, ep
         cuts = np.searchsorted(pairs // (size + 1), np.arange(1, len(cols["text"])))
         return {"doc_id": cols["doc_id"], "label": cols["label"], "features": [x.tolist() for x in np.split(pairs % (size + 1), cuts)]}
 
-    examples = map_slices(found, extract, "doc_id long, label int, features array<int>", setup=WordCodes).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(most_labelled)
+    every = map_slices(found, extract, "doc_id long, label int, features array<int>", setup=WordCodes)
+    examples = every.groupBy("doc_id", "label").agg(F.min("features").alias("features")).orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(most_labelled)
 
     def learn(batches):
         rows = [(np.asarray(f, np.int64), y) for b in batches for f, y in zip((x.values.to_numpy() for x in b.column(1)), b.column(0).to_pylist(), strict=True)]

@@ -125,6 +125,19 @@ def test_toxicity_learns_held_out_words(spark, tmp_path):
     assert all(r.predicted == 0 for r in got if r.doc_id in (900, 901, None))
 
 
+@pytest.mark.parametrize("module", [quality_rules, toxicity])
+def test_training_does_not_depend_on_row_order(spark, module):
+    r = np.random.default_rng(5)
+    docs = [(n % 120, " ".join(f"{'bad' if n % 3 else 'fine'}{k}" + "#" * (n % 4) for k in r.integers(0, 40, 30))) for n in range(200)]
+    labels = spark.createDataFrame([(n, n % 2, n % 2) for n in range(120)], "doc_id long, quality int, toxic int")
+    out = []
+    for seed in range(2):
+        rows = [docs[k] for k in np.random.default_rng(seed).permutation(len(docs))]
+        got = module.train(spark.createDataFrame(rows, "doc_id long, text string").repartition(1 + 3 * seed), labels)
+        out.append(str([x.tolist() if hasattr(x, "tolist") else x for x in got]))
+    assert out[0] == out[1]
+
+
 def test_warc_rows(spark, data):
     pages = [tuple(r) for r in table(spark, data, "pages").collect()]
     last = {}
