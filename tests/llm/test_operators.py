@@ -125,6 +125,29 @@ def test_toxicity_learns_held_out_words(spark, tmp_path):
     assert all(r.predicted == 0 for r in got if r.doc_id in (900, 901, None))
 
 
+def test_ftrl_is_the_plain_one():
+    """FTRL-proximal coordinate by coordinate, on sparse examples."""
+    r = np.random.default_rng(12)
+    size, alpha, beta, l1, l2 = 40, 0.7, 1.0, 0.4, 0.1
+    rows = [(np.unique(r.integers(0, size, int(r.integers(0, 9)))), int(r.integers(2))) for _ in range(80)]
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i):
+        cut = 0.0 if i == size else l1
+        return 0.0 if abs(z[i]) <= cut else -(z[i] - np.sign(z[i]) * cut) / ((beta + n[i] ** 0.5) / alpha + l2)
+
+    for _ in range(3):
+        for at, label in rows:
+            w = {i: weight(i) for i in [*at.tolist(), size]}
+            g = 1 / (1 + np.exp(-sum(w.values()))) - label
+            for i in w:
+                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / alpha * w[i]
+                n[i] += g * g
+    at, w = toxicity.fit(rows, size, 3, alpha=alpha, beta=beta, l1=l1, l2=l2)
+    want = {i: weight(i) for i in sorted(n) if weight(i)}
+    assert dict(zip(at.tolist(), w.tolist(), strict=True)) == pytest.approx(want) and 0 < len(want) < len(n)
+
+
 @pytest.mark.parametrize("module", [quality_rules, toxicity])
 def test_training_does_not_depend_on_row_order(spark, module):
     r = np.random.default_rng(5)
@@ -538,6 +561,38 @@ def test_importance_resampling(spark, tmp_path):
     assert {r.doc_id: r.log_weight for r in got}[900] == 0.0
 
 
+def test_importance_weights_are_the_plain_sums(spark):
+    """Counts, ratios, weights and keys gram by gram; ties, repeated rows, a long text and a clashing column."""
+    from lumenaudit.llm.hashing import WordCodes
+
+    r = np.random.default_rng(3)
+    docs = [(n, " ".join(f"w{k}" for k in r.integers(0, 30, int(r.integers(0, 25))))) for n in range(40)] + [(5, "w1 w2"), (5, "w1 w2"), (90, "w3 " * 20_000), (91, None), (92, "")]
+    good = {n for n in range(0, 40, 3)}
+    grams_of = lambda t: importance.buckets([(t or "").encode()], WordCodes())[0].tolist()
+    raw, target = Counter(), Counter()
+    for d, t in docs:
+        raw.update(grams_of(t))
+        if d in good:
+            target.update(grams_of(t))
+    size = 1 << importance.BITS
+    total, chosen, want = sum(raw.values()) + 1e-3 * size, sum(target.values()) + size / 256, {}
+    for d, t in docs:
+        got = 0.0
+        for g in grams_of(t):
+            q = (raw[g] + 1e-3) / total
+            got += np.log((target[g] + size / 256 * q) / chosen / q)
+        want.setdefault(d, []).append((round(got, 6), round(got + importance.gumbel(d, 7), 6)))
+    df = spark.createDataFrame([(d, t, 1.5) for d, t in docs], "doc_id long, text string, key double").repartition(3)
+    labels = spark.createDataFrame([(n, int(n in good), 0) for n in range(40)], "doc_id long, quality int, toxic int")
+    rows = importance.resample(df, labels, ["doc_id", "key"], share=0.5, seed=7).collect()
+    found = defaultdict(list)
+    for x in rows:
+        found[x.doc_id].append((round(x.log_weight, 6), round(x.key, 6)))
+    assert {d: sorted(v) for d, v in found.items()} == {d: sorted(v) for d, v in want.items()}
+    least = sorted((x.key for x in rows), reverse=True)[round(0.5 * len(rows)) - 1]
+    assert all(x.kept == (x.key >= least) for x in rows)
+
+
 def test_kth_largest_is_exact(spark):
     values = [int(x) for x in np.random.default_rng(0).integers(-(2**62), 2**62, 500)] + [5, 5, 5, -1, -1, 0]
     df = spark.createDataFrame([(v,) for v in values], "v long")
