@@ -2,6 +2,10 @@
 
 Each stage takes what its predecessor kept, whole, and gives documents with the same columns; the last gives token ids. Between stages
 the rows are written as Parquet in shared storage and read again.
+
+Quality rules reject null, empty and very short texts (their base rule); rows with a null doc_id go through all stages, and of a component of near copies such a row stays only
+where no other has an id. Repeated rows are near copies of each other: one stays. Texts of any length are worked on whole, further columns of documents pass through up to the
+last stage, an empty table gives an empty result.
 """
 
 from __future__ import annotations
