@@ -54,6 +54,30 @@ def escape_html(c: Column) -> Column:
     return c
 
 
+def cut_bytes(c: Column, most: int) -> Column:
+    """The first bytes of a text as UTF-8; a character that the cut parts becomes U+FFFD."""
+    return F.when(F.octet_length(c) <= most, c).otherwise(F.make_valid_utf8(F.substring(c.cast("binary"), 1, most).cast("string")))
+
+
+def url_encode(c: Column) -> Column:
+    """Percent-encoded but for letters, digits and ``-_.!~*'()``."""
+    c = F.url_encode(c)
+    for sent, kept in (("+", "%20"), ("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%7E", "~")):
+        c = F.replace(c, F.lit(sent), F.lit(kept))
+    return c
+
+
+def iso_time(c: Column) -> Column:
+    """A timestamp in UTC to the millisecond, whatever the session's time zone."""
+    utc = F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.unix_millis(c) / F.lit(1000).cast("decimal(4,0)"))
+    return F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
+def iso_day(c: Column) -> Column:
+    """Its day in UTC."""
+    return F.substring(iso_time(c), 1, 10)
+
+
 def js_length(c: Column) -> Column:
     """UTF-16 units."""
     return (F.octet_length(F.encode(c, "UTF-16BE")) / 2).cast("int")

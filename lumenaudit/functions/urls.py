@@ -47,6 +47,13 @@ def canonical(url: Column) -> Column:
     return F.regexp_replace(whole, "/$", "")
 
 
+def absolute(href: Column, origin_: Column) -> Column:
+    """The canonical URL of a location, a relative one taken from the origin; null where it leads to no page."""
+    whole = F.when(href.rlike("(?i)^https?://"), href).when(href.rlike("(?i)^[a-z][a-z0-9+.-]*:") | (href == ""), None)
+    whole = whole.when(href.startswith("//"), F.concat(F.regexp_extract(origin_, "^https?:", 0), href)).when(href.startswith("/"), F.concat(origin_, href)).otherwise(F.concat(origin_, F.lit("/"), href))
+    return F.when(host(whole) != "", canonical(whole))
+
+
 def looks_like_page(url: Column) -> Column:
     return ~F.lower(path(url)).rlike(rf"\.({ASSETS})$")
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenaudit.functions import urls
+from lumenaudit.sources.storage import stored
 
 LOC = r"(?i)<loc>\s*([^<]+?)\s*</loc>"
 
@@ -20,24 +21,37 @@ def sitemap_locs(files: DataFrame) -> DataFrame:
     return files.select("site_id", index.alias("is_index"), loc.alias("loc")).distinct()
 
 
-def sitemap_tree(files: DataFrame, roots: DataFrame, most_children: int = 15) -> DataFrame:
-    """``(site_id, url)``: page URLs of sitemaps reached from ``roots (site_id, url)``. files: ``site_id, url, body``. Indexes are followed level by level, at most
-    ``most_children`` documents a site."""
-    level = known = roots.select("site_id", "url").distinct()
-    pages = None
-    for _ in range(most_children):
-        docs = files.join(level, ["site_id", "url"])
-        found = docs.select("site_id", F.col("body").rlike(r"(?i)<sitemapindex[\s>]").alias("is_index"), F.explode(F.regexp_extract_all("body", F.lit(LOC), F.lit(1))).alias("loc")).distinct()
-        leaf = found.where("NOT is_index").select("site_id", F.col("loc").alias("url"))
-        pages = leaf if pages is None else pages.union(leaf)
-        below = found.where("is_index").select("site_id", F.col("loc").alias("url")).distinct().join(known, ["site_id", "url"], "left_anti")
-        level = below.withColumn("n", F.row_number().over(Window.partitionBy("site_id").orderBy("url"))).where(F.col("n") <= most_children).drop("n")
+def sitemap_tree(files: DataFrame, roots: DataFrame, most_children: int = 15, listed: DataFrame | None = None) -> DataFrame:
+    """``(site_id, url)``: page URLs of sitemaps reached from ``roots (site_id, url)`` and from further ``listed`` ones (those that robots.txt names). files: ``site_id, url, body``.
+
+    Indexes are followed level by level, in order of URL within one. But for the roots a site's sitemaps count against ``most_children``, whether or not there is such a file."""
+    roots = roots.select("site_id", "url").distinct()
+    found = _locations(files.join(roots, ["site_id", "url"]))
+    pages = found.where("NOT is_index").select("site_id", "url")
+    waiting = found.where("is_index").select("site_id", "url")
+    if listed is not None:
+        waiting = waiting.unionByName(listed.select("site_id", "url"))
+    known = roots.withColumn("level", F.lit(0))
+    for depth in range(1, most_children + 1):
+        taken = known.where("level > 0").groupBy("site_id").agg(F.count("*").alias("taken"))
+        fresh = waiting.distinct().join(known, ["site_id", "url"], "left_anti").withColumn("n", F.row_number().over(Window.partitionBy("site_id").orderBy("url")))
+        level = stored(fresh.join(taken, "site_id", "left").where(F.col("n") + F.coalesce("taken", F.lit(0)) <= most_children).select("site_id", "url"))
         if level.limit(1).count() == 0:
             break
-        known = known.union(level)
+        known = known.unionByName(level.withColumn("level", F.lit(depth)))
+        found = _locations(files.join(level, ["site_id", "url"]))
+        pages = pages.unionByName(found.where("NOT is_index").select("site_id", "url"))
+        waiting = found.where("is_index").select("site_id", "url")
     return pages.distinct()
 
 
+def _locations(docs: DataFrame) -> DataFrame:
+    """``(site_id, url, is_index)``: the locations of sitemaps; relative ones are taken from the origin where the documents have one."""
+    found = docs.withColumns({"is_index": F.col("body").rlike(r"(?i)<sitemapindex[\s>]"), "loc": F.explode(F.regexp_extract_all("body", F.lit(LOC), F.lit(1)))})
+    url = urls.absolute(F.col("loc"), F.col("origin")) if "origin" in docs.columns else F.col("loc")
+    return found.select("site_id", url.alias("url"), "is_index").where("url IS NOT NULL").distinct()
+
+
 def seeds(start_urls: DataFrame, sitemap: DataFrame) -> DataFrame:
     """``(site_id, url, priority)``: the start URL and the site's pages of its sitemap, each once. start_urls: ``site_id, start_url``; sitemap: ``site_id, url``."""
     own = start_urls.select("site_id", urls.canonical(F.col("start_url")).alias("url"))

@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenaudit.functions import urls
+from lumenaudit.functions.text import cut_bytes, js_length
 from lumenaudit.operators.findings import with_findings
+from lumenaudit.operators.frontier import sitemap_tree
 from lumenaudit.operators.pages import page_signals
 from lumenaudit.operators.robots import bot_access
+from lumenaudit.operators.robots import sitemaps as named_sitemaps
 from lumenaudit.operators.scoring import score_sites
 from lumenaudit.operators.sites import site_signals
 from lumenaudit.sources.html import parse_pages
@@ -27,15 +30,34 @@ def snapshot(pages: DataFrame) -> DataFrame:
     return out.join(ranks, ["page_id", "site_id"]).withColumn("start_url", F.concat(F.lit("https://"), "site_id", F.lit("/")))
 
 
-def auxiliary(sites: DataFrame, robots: DataFrame | None = None) -> DataFrame:
-    """Sites with what their auxiliary files say; those without are taken as not found. robots: ``site_id, body``."""
-    base = sites.withColumns({"city": F.lit(""), "llms_found": F.lit(False), "llms_length": F.lit(0), "sitemap_found": F.lit(False), "sitemap_urls": F.lit(0)})
-    files = base.select("site_id", urls.origin(F.col("start_url")).alias("origin"))
-    files = files.withColumn("body", F.lit("")) if robots is None else files.join(robots.select("site_id", "body"), "site_id", "left")
-    out = base.join(bot_access(files), "site_id", "left")
+ROBOTS_BYTES, LLMS_BYTES, SITEMAP_BYTES = 300_000, 500_000, 1_200_000
+
+
+def auxiliary(sites: DataFrame, robots: DataFrame | None = None, llms: DataFrame | None = None, sitemaps: DataFrame | None = None) -> DataFrame:
+    """Sites ``(site_id, start_url)`` with what their auxiliary files say; files that aren't given, or that a site lacks, are taken as not found.
+
+    robots, llms: ``site_id, body``; sitemaps: ``site_id, url, body``, the main one at ``/sitemap.xml`` of the site's origin. Bodies count up to their byte limits."""
+    base = sites.withColumns({"city": F.lit(""), "origin": urls.origin(F.col("start_url"))})
+    files = base.select("site_id", "origin")
     if robots is None:
-        return out.withColumn("robots_found", F.lit(False))
-    return out.join(robots.select("site_id", F.lit(True).alias("robots_found")), "site_id", "left").withColumn("robots_found", F.coalesce("robots_found", F.lit(False)))
+        files, found = files.withColumn("body", F.lit("")), None
+    else:
+        robots = robots.select("site_id", cut_bytes(F.col("body"), ROBOTS_BYTES).alias("body"))
+        files, found = files.join(robots, "site_id", "left"), robots.select("site_id", F.lit(True).alias("robots_found"))
+    out = base.join(bot_access(files), "site_id", "left")
+    if llms is not None:
+        llms = llms.select("site_id", F.lit(True).alias("llms_found"), js_length(cut_bytes(F.coalesce("body", F.lit("")), LLMS_BYTES)).alias("llms_length"))
+    if sitemaps is not None:
+        docs = sitemaps.join(base.select("site_id", "origin"), "site_id").withColumn("body", cut_bytes(F.col("body"), SITEMAP_BYTES))
+        main = base.select("site_id", F.concat("origin", F.lit("/sitemap.xml")).alias("url"))
+        listed = None if robots is None else named_sitemaps(files).join(base.select("site_id", "origin"), "site_id").select("site_id", "url")
+        pages = sitemap_tree(docs, main, listed=listed).groupBy("site_id").agg(F.count("*").cast("int").alias("sitemap_urls"))
+        answered = docs.join(main, ["site_id", "url"]).select("site_id").distinct()
+        sitemaps = answered.join(pages, "site_id", "full").select("site_id", F.lit(True).alias("sitemap_found"), F.coalesce("sitemap_urls", F.lit(0)).alias("sitemap_urls"))
+    for part, columns in ((found, {"robots_found": False}), (llms, {"llms_found": False, "llms_length": 0}), (sitemaps, {"sitemap_found": False, "sitemap_urls": 0})):
+        out = out.join(part, "site_id", "left") if part is not None else out.withColumns({k: F.lit(None) for k in columns})
+        out = out.withColumns({k: F.coalesce(k, F.lit(v)) for k, v in columns.items()})
+    return out.drop("origin")
 
 
 def signals_of(pages: DataFrame) -> DataFrame:
@@ -43,9 +65,9 @@ def signals_of(pages: DataFrame) -> DataFrame:
     return stored(page_signals(parse_pages(pages, ["page_id", "site_id", "ord", "url", "requested_url", "start_url", "status", "headers", "truncated"])))
 
 
-def audit(signals: DataFrame, *, as_of_year: int, robots: DataFrame | None = None, pagespeed: DataFrame | None = None) -> DataFrame:
-    """Scored sites with findings. pagespeed: ``site_id, mobile, desktop, lighthouse_accessibility``."""
-    sites = auxiliary(signals.select("site_id", "start_url").distinct(), robots)
+def audit(signals: DataFrame, *, as_of_year: int, robots: DataFrame | None = None, pagespeed: DataFrame | None = None, llms: DataFrame | None = None, sitemaps: DataFrame | None = None) -> DataFrame:
+    """Scored sites with findings. robots, llms, sitemaps: as in ``auxiliary``. pagespeed: ``site_id, mobile, desktop, lighthouse_accessibility``."""
+    sites = auxiliary(signals.select("site_id", "start_url").distinct(), robots, llms, sitemaps)
     out = site_signals(signals, sites, as_of_year=as_of_year).withColumn("domain", F.col("site_id"))
     if pagespeed is None:
         out = out.withColumns({c: F.lit(None).cast("int") for c in ("mobile", "desktop", "lighthouse_accessibility")})

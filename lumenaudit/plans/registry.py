@@ -281,16 +281,6 @@ def page_plan(spark: SparkSession, sf: str) -> DataFrame:
     return tasks.page_plans(p.withColumn("url", F.concat("url", F.lit("#"), "page_id"))).select("site_id", F.regexp_extract("url", "#([0-9]+)$", 1).cast("long").alias("page_id"), F.size("tasks").alias("n_tasks"), "readiness", "priority", "rank")
 
 
-@query()
-def category_tasks_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return tasks.category_tasks(score_sites(example_sites(spark, sf))).select("site_id", "ord", "id", "impact", "effort", "detail")
-
-
-@query()
-def general_tasks_dedupe(spark: SparkSession, sf: str) -> DataFrame:
-    return tasks.general_tasks(with_findings(score_sites(example_sites(spark, sf)))).select("site_id", "ord", "id", "title", "impact", "effort")
-
-
 def stores(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Audits, clients and sends, as orders, customers and line items."""
     audits = table(spark, sf, "orders").select(c("o_orderkey").alias("id"), c("o_custkey").alias("client_id"), c("o_orderdate").alias("created_at"))
@@ -358,12 +348,6 @@ def progress_running_max(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("run_id", "seq", percent.alias("percent")).withColumn("shown", F.max("percent").over(order))
 
 
-@query()
-def rate_limit(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events").select("event_id", "user_id", F.unix_millis(c("ts").cast("timestamp")).alias("at_ms"))
-    return stream.rate_limit(e, client="user_id", at_ms="at_ms", tie="event_id", window_ms=12 * 3_600_000, most=3).select("event_id", "user_id", "accepted")
-
-
 @query("SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS text, count(*) AS turns FROM conversations GROUP BY 1")
 def ordered_concat(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "conversations").select("conv_id", c("turn").alias("ord"), "text")

@@ -63,6 +63,26 @@ def outcome(events: DataFrame) -> DataFrame:
     return got.select("run_id", F.when(c("failed").isNull(), c("data")).alias("data"), F.when(c("failed").isNotNull(), c("failed")).when(c("data").isNull(), F.lit("The stream ended without a result")).alias("error"))
 
 
+def lines(events: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """``(run_id, seq, value)``: the JSON lines of runs, their progress events first and then one result or error. events: ``run_id, seq, stage`` and what else an event
+    says; outcomes: ``run_id, data, error``. Nulls are left out."""
+    said = [n for n in events.columns if n not in ("run_id", "seq")]
+    sent = events.select("run_id", F.col("seq").cast("long").alias("seq"), F.to_json(F.struct(F.lit("progress").alias("type"), *said)).alias("value"))
+    failed = F.col("error").isNotNull()
+    end = F.when(failed, F.to_json(F.struct(F.lit("error").alias("type"), "error"))).otherwise(F.to_json(F.struct(F.lit("result").alias("type"), "data")))
+    return sent.unionByName(outcomes.select("run_id", F.lit((1 << 63) - 1).alias("seq"), end.alias("value")))
+
+
+def save_lines(rows: DataFrame, folder: str) -> None:
+    """Files of JSON lines with their run; a run's lines follow each other, a long run over several files."""
+    rows.repartitionByRange("run_id", "seq").sortWithinPartitions("run_id", "seq").select("run_id", "value").write.json(folder)
+
+
+def stream_lines(rows: DataFrame, folder: str, checkpoint: str):
+    """The same for a stream, from which all that has come by now is written."""
+    return rows.select("run_id", "value").writeStream.format("json").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(folder)
+
+
 def accepted(times: list[int], log: list[int], window_ms: int, most: int) -> tuple[list[bool], list[int]]:
     """Which requests of one client, in order, are let through: at most ``most`` accepted within the window before each. Refused ones don't count."""
     out = []

@@ -140,6 +140,8 @@ def test_sitemaps_and_frontier(spark):
     files = spark.createDataFrame([("s", "r", "<sitemapindex ><loc>a</loc><loc>b</loc></sitemapindex>"), ("s", "a", "<urlset><loc> p1 </loc><loc>p1</loc></urlset>"), ("s", "b", "<sitemapindex><loc>r</loc><loc>c</loc></sitemapindex>"), ("s", "c", "<loc>p2</loc>")], "site_id string, url string, body string")
     got = frontier.sitemap_tree(files, spark.createDataFrame([("s", "r")], "site_id string, url string"))
     assert sorted(r.url for r in got.collect()) == ["p1", "p2"]
+    got = frontier.sitemap_tree(files, spark.createDataFrame([("s", "r")], "site_id string, url string"), most_children=1, listed=spark.createDataFrame([("s", "c")], "site_id string, url string"))
+    assert sorted(r.url for r in got.collect()) == ["p1"]  # a, b and c wait, one may be taken
     starts = spark.createDataFrame([("s", "u0", 5, 0)], "site_id string, url string, priority int, rank int")
     edges = spark.createDataFrame([("s", "u0", True, False, [("low", 1), ("high", 9), ("stop", 8)]), ("s", "high", True, False, [("u0", 5)]), ("s", "low", True, False, []), ("s", "stop", True, True, [])], "site_id string, url string, found boolean, blocked boolean, targets array<struct<url:string,priority:int>>")
     order = frontier.replay(edges, starts).orderBy("ord").collect()
@@ -212,3 +214,22 @@ def test_shared_folder_is_never_local_on_a_cluster():
     for master in ("yarn", "local-cluster[3,2,1000]"):
         with pytest.raises(ValueError):
             shared_folder(session(master, None))
+
+
+def test_auxiliary_files(spark):
+    sites = spark.createDataFrame([("a.example", "https://www.a.example/"), ("b.example", "https://b.example/"), ("c.example", "https://c.example/")], "site_id string, start_url string")
+    llms = spark.createDataFrame([("a.example", "\U0001F600" * 3), ("b.example", None)], "site_id string, body string")
+    robots_txt = spark.createDataFrame([("c.example", "Sitemap: https://c.example/gone.xml")], "site_id string, body string")
+    maps = spark.createDataFrame([
+        ("a.example", "https://www.a.example/sitemap.xml", "<urlset><loc>/x</loc><loc>https://www.a.example/x#top</loc><loc>tel:1</loc></urlset>"), ("b.example", "https://b.example/sitemap.xml", None), ("b.example", "https://b.example/other.xml", "<loc>/y</loc>"),
+    ], "site_id string, url string, body string")
+    got = {r.site_id: (r.robots_found, r.llms_found, r.llms_length, r.sitemap_found, r.sitemap_urls) for r in whole.auxiliary(sites, robots_txt, llms, maps).collect()}
+    assert got == {"a.example": (False, True, 6, True, 1), "b.example": (False, True, 0, True, 0), "c.example": (True, False, 0, False, 0)}
+    bare = whole.auxiliary(sites).first()
+    assert (bare.robots_found, bare.llms_found, bare.llms_length, bare.sitemap_found, bare.sitemap_urls) == (False, False, 0, False, 0)
+
+
+def test_scalars(spark):
+    row = spark.createDataFrame([("a b+c!~*'()\u00e9/", "aa\u00e9\u00e9", -1)], "t string, u string, ms long")
+    got = row.select(tx.url_encode(F.col("t")), tx.cut_bytes(F.col("u"), 3), tx.cut_bytes(F.col("u"), 6), tx.iso_time(F.timestamp_millis("ms")), tx.iso_day(F.timestamp_millis("ms")), urls.absolute(F.lit("x?q=1"), F.lit("https://h.example")), urls.absolute(F.lit("//o.example/y/"), F.lit("https://h.example"))).first()
+    assert tuple(got) == ("a%20b%2Bc!~*'()%C3%A9%2F", "aa\ufffd", "aa\u00e9\u00e9", "1969-12-31T23:59:59.999Z", "1969-12-31", "https://h.example/x?q=1", "https://o.example/y")

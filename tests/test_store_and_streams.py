@@ -71,3 +71,16 @@ def test_open_counts_stream(spark, tmp_path):
     q = stream.open_counts_stream(source).writeStream.outputMode("complete").format("memory").queryName("opens").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(map(tuple, spark.table("opens").collect())) == [(1, 2, 3, 5), (2, 1, 9, 9)]
+
+
+def test_lines_to_files(spark, tmp_path):
+    events = spark.createDataFrame([("r", 2, "crawl", 7), ("r", 1, "start", None), ("q", 1, "start", None)], "run_id string, seq int, stage string, crawled int")
+    ends = spark.createDataFrame([("r", "D", None), ("q", None, "E"), ("p", None, None)], "run_id string, data string, error string")
+    rows = stream.lines(events, ends)
+    stream.save_lines(rows, str(tmp_path / "batch"))
+    texts = [json.loads(x) for p in sorted((tmp_path / "batch").glob("*.json")) for x in p.read_text().splitlines()]
+    assert [json.loads(x["value"]) for x in texts if x["run_id"] == "r"] == [{"type": "progress", "stage": "start"}, {"type": "progress", "stage": "crawl", "crawled": 7}, {"type": "result", "data": "D"}]
+    assert [json.loads(x["value"])["type"] for x in texts if x["run_id"] == "q"] == ["progress", "error"] and [x["run_id"] for x in texts].count("p") == 1
+    source = spark.readStream.schema("run_id string, value string").json(str(tmp_path / "batch"))
+    stream.stream_lines(source, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(120)
+    assert spark.read.json(str(tmp_path / "out")).count() == 6
