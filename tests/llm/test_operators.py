@@ -62,6 +62,21 @@ def test_decision_list_learns_and_orders():
     assert (covered == (label == 0)).all()
 
 
+def test_quality_verdict(spark, data):
+    """The verdict of the emitted conditional against the learnt list, row by row, on rows with nulls, repeats and texts of any length."""
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    name, over, under = next((k, *v) for k, v in quality_rules.FEATURES.items() if v[1])
+    rules = [[quality_rules.Test("word_length", True, 4.5), quality_rules.Test(name, False, 0.02)], [quality_rules.Test(name, True, 0.05)]] if "word_length" in quality_rules.FEATURES else [[quality_rules.Test(name, False, 0.02)], [quality_rules.Test(name, True, 0.05)]]
+    seen = set()
+    for r in quality_rules.classify(docs, rules, ["doc_id"]).collect():
+        x = {k: (r[a] or 0) / max(r[b] or 0, 1) if b else float(r[a] or 0) for k, (a, b) in quality_rules.FEATURES.items()}
+        first = next((n for n, rule in enumerate(rules, 1) if all((x[t.feature] > t.value) == t.above for t in rule)), None)
+        failed = r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words
+        assert (r.rule, r.base_failed, r.kept) == (first, failed, not failed and first is None)
+        seen.add(r.rule)
+    assert len(seen) > 1
+
+
 def test_suffix_dedup(spark, data, rows):
     first = {}
     for doc_id, text, *_ in rows:
