@@ -25,31 +25,28 @@ def sitemap_tree(files: DataFrame, roots: DataFrame, most_children: int = 15, li
     """``(site_id, url)``: page URLs of sitemaps reached from ``roots (site_id, url)`` and from further ``listed`` ones (those that robots.txt names). files: ``site_id, url, body``.
 
     Indexes are followed level by level, in order of URL within one. But for the roots a site's sitemaps count against ``most_children``, whether or not there is such a file."""
-    roots = roots.select("site_id", "url").distinct()
-    found = _locations(files.join(roots, ["site_id", "url"]))
-    pages = found.where("NOT is_index").select("site_id", "url")
-    waiting = found.where("is_index").select("site_id", "url")
-    if listed is not None:
-        waiting = waiting.unionByName(listed.select("site_id", "url"))
-    known = roots.withColumn("level", F.lit(0))
-    for depth in range(1, most_children + 1):
-        taken = known.where("level > 0").groupBy("site_id").agg(F.count("*").alias("taken"))
+    links = stored(_locations(files))  # bodies are read once, whatever the depth
+    below = links.where("is_index").select("site_id", "url", F.col("loc").alias("below"))
+    level = roots.select("site_id", "url").distinct()
+    known = level.withColumn("counts", F.lit(False))
+    for depth in range(most_children + 1):
+        waiting = below.join(level, ["site_id", "url"]).select("site_id", F.col("below").alias("url"))
+        if depth == 0 and listed is not None:
+            waiting = waiting.unionByName(listed.select("site_id", "url"))
+        taken = known.where("counts").groupBy("site_id").agg(F.count("*").alias("taken"))
         fresh = waiting.distinct().join(known, ["site_id", "url"], "left_anti").withColumn("n", F.row_number().over(Window.partitionBy("site_id").orderBy("url")))
         level = stored(fresh.join(taken, "site_id", "left").where(F.col("n") + F.coalesce("taken", F.lit(0)) <= most_children).select("site_id", "url"))
         if level.limit(1).count() == 0:
             break
-        known = known.unionByName(level.withColumn("level", F.lit(depth)))
-        found = _locations(files.join(level, ["site_id", "url"]))
-        pages = pages.unionByName(found.where("NOT is_index").select("site_id", "url"))
-        waiting = found.where("is_index").select("site_id", "url")
-    return pages.distinct()
+        known = known.unionByName(level.withColumn("counts", F.lit(True)))
+    return links.where("NOT is_index").join(known, ["site_id", "url"], "left_semi").select("site_id", F.col("loc").alias("url")).distinct()
 
 
 def _locations(docs: DataFrame) -> DataFrame:
-    """``(site_id, url, is_index)``: the locations of sitemaps; relative ones are taken from the origin where the documents have one."""
-    found = docs.withColumns({"is_index": F.col("body").rlike(r"(?i)<sitemapindex[\s>]"), "loc": F.explode(F.regexp_extract_all("body", F.lit(LOC), F.lit(1)))})
-    url = urls.absolute(F.col("loc"), F.col("origin")) if "origin" in docs.columns else F.col("loc")
-    return found.select("site_id", url.alias("url"), "is_index").where("url IS NOT NULL").distinct()
+    """``(site_id, url, loc, is_index)``: the locations of sitemaps; relative ones are taken from the origin where the documents have one."""
+    found = docs.withColumns({"is_index": F.col("body").rlike(r"(?i)<sitemapindex[\s>]"), "found": F.explode(F.regexp_extract_all("body", F.lit(LOC), F.lit(1)))})
+    loc = urls.absolute(F.col("found"), F.col("origin")) if "origin" in docs.columns else F.col("found")
+    return found.select("site_id", "url", loc.alias("loc"), "is_index").where("loc IS NOT NULL").distinct()
 
 
 def seeds(start_urls: DataFrame, sitemap: DataFrame) -> DataFrame:
