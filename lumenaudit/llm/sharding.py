@@ -79,7 +79,8 @@ def assign(docs: DataFrame, shards: int = SHARDS, *, law: str = "bytes", bundles
         return _slotted(placed, F.col("grown"), law)
     if law == "rows":
         units = shards * bundles_per_shard
-        numbered = _numbered(rows.withColumn("unit", F.pmod(F.xxhash64("h1", "h2"), F.lit(units)).cast("int")), ["unit"], [])
+        # by text and id: numbers go round the shards in turn, so copies of a hot text needn't share a unit
+        numbered = _numbered(rows.withColumn("unit", F.pmod(F.xxhash64("h1", "h2", "doc_id"), F.lit(units)).cast("int")), ["unit"], [])
         n = F.col("number")
         return numbered.select("doc_id", "size", "text_crc32", "tokens", F.lit(law).alias("law"), F.pmod(n, F.lit(shards)).cast("int").alias("shard"), F.floor(n / shards).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
     raise ValueError(f"no such law: {law}")

@@ -548,6 +548,17 @@ def test_sharding_keeps_groups_and_splits_hot_ones(spark):
     assert all(len(s) == 1 for s in groups.values())
 
 
+def test_rows_of_a_hot_text_are_numbered_in_many_units(spark, monkeypatch):
+    docs = [(n, "hot text") for n in range(900)] + [(1000 + n, f"text {n}") for n in range(99)] + [(None, "hot text")] * 2
+    seen, numbered = [], sharding._numbered
+    monkeypatch.setattr(sharding, "_numbered", lambda placed, *keys: seen.append(placed) or numbered(placed, *keys))
+    got = sharding.assign(spark.createDataFrame(docs, "doc_id long, text string"), 8, law="rows").collect()
+    assert max(r["count"] for r in seen[0].groupBy("unit").count().collect()) <= 20
+    counts = Counter(r.shard for r in got)
+    assert len(got) == len(docs) and max(counts.values()) - min(counts.values()) <= 1
+    assert all(sorted(r.slot for r in got if r.shard == s) == list(range(n)) for s, n in counts.items())
+
+
 def test_sharding_keeps_groups_that_a_shard_can_hold(spark):
     docs = [(3 * n + k, f"group {n} " + "y" * 500) for n in range(80) for k in range(3)] + [(1000 + n, f"single {n} " + "z" * 100) for n in range(240)]
     got = sharding.assign(spark.createDataFrame(docs, "doc_id long, text string"), 8).collect()
