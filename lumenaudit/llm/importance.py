@@ -5,8 +5,8 @@ one, from the counts of all documents. A document's log weight is the sum of its
 determines and keeping the largest ``k`` keys draws ``k`` documents without replacement in proportion to the weights. The threshold
 key is found exactly, by counts over 16 bits of the keys at a time: no sort of all rows, no more than 65,536 counts at the driver.
 
-Null and empty texts have no n-grams: log weight 0, so only their noise places them. Ties at the threshold, which only rows with the same doc_id and
-text can make, are all kept. Without documents labelled good all weights are 0. An empty table gives an empty result.
+Null and empty texts have no n-grams: log weight 0, so only their noise places them. Rows with a null doc_id draw their noise by their text. Ties at the
+threshold, which only rows with the same doc_id and text can make (null and empty texts count as the same), are all kept. Without documents labelled good all weights are 0. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -62,9 +62,10 @@ def log_ratios(target: np.ndarray, raw: np.ndarray, smoothing: float = 1.0) -> n
     return np.log(p / q)
 
 
-def gumbel(doc_id: int | None, seed: int) -> float:
-    """Noise of the standard Gumbel distribution, the same for an id wherever it is drawn."""
-    u = (xxhash.xxh64_intdigest(repr(doc_id).encode(), seed) + 0.5) / 2.0**64
+def gumbel(doc_id: int | None, seed: int, text: bytes | None = None) -> float:
+    """Noise of the standard Gumbel distribution, the same for an id wherever it is drawn; without an id, for a text."""
+    name = b"None" + (text or b"") if doc_id is None else repr(doc_id).encode()
+    u = (xxhash.xxh64_intdigest(name, seed) + 0.5) / 2.0**64
     return float(-np.log(-np.log(min(u, 1 - 1e-16))))
 
 
@@ -77,7 +78,7 @@ def weigh(docs: DataFrame, ratios: np.ndarray, keep: list[str], seed: int = 0) -
         texts = raw_bytes(cols["text"])
         f, owner = buckets(texts, codes)
         w = np.bincount(owner, r[f], len(texts))
-        key = w + np.array([gumbel(d, seed) for d in cols["doc_id"].to_pylist()], float)
+        key = w + np.array([gumbel(d, seed, t) for d, t in zip(cols["doc_id"].to_pylist(), texts, strict=True)], float)
         bits = (key + 0.0).view(np.int64)
         rank = np.where(bits < 0, np.int64(-(2**63)) - bits - 1, bits)
         return {c: cols[c] for c in keep} | {"n_grams": pa.array(np.bincount(owner, minlength=len(texts)), pa.int64()), "log_weight": pa.array(w), "key": pa.array(key), "rank_key": pa.array(rank)}

@@ -619,6 +619,18 @@ def test_importance_weights_are_the_plain_sums(spark):
     assert all(x.kept == (x.key >= least) for x in rows)
 
 
+def test_importance_noise_of_rows_without_an_id(spark):
+    docs = [(None, f"word{n % 40}") for n in range(60)] + [(None, None), (None, ""), (3, "word3")]
+    labels = spark.createDataFrame([(3, 0, 0)], "doc_id long, quality int, toxic int")
+    got = importance.resample(spark.createDataFrame(docs, "doc_id long, text string"), labels, ["doc_id", "text"], share=0.5, seed=7).collect()
+    keys = defaultdict(set)
+    for x in got:
+        keys[x.doc_id, x.text or ""].add(x.key)
+    assert len(got) == len(docs) and all(len(k) == 1 for k in keys.values()) and len(set.union(*keys.values())) == len(keys) == 42
+    least = sorted((x.key for x in got), reverse=True)[round(0.5 * len(got)) - 1]
+    assert all(x.kept == (x.key >= least) for x in got)
+
+
 def test_kth_largest_is_exact(spark):
     values = [int(x) for x in np.random.default_rng(0).integers(-(2**62), 2**62, 500)] + [5, 5, 5, -1, -1, 0]
     df = spark.createDataFrame([(v,) for v in values], "v long")
