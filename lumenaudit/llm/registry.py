@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumenaudit.llm import bpe, decontaminate, importance, jaccard_join, pii, quality_rules, sharding, suffix_dedup, toxicity, warc
+from lumenaudit.llm import bpe, decontaminate, importance, jaccard_join, line_dedup, pii, prefix_trie, quality_rules, sharding, spelling, suffix_dedup, toxicity, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_pii_bootstrap": pii.query,
     "op9_vector_sharding": sharding.query,
     "op10_importance_resampling": importance.query,
+    "op11_prefix_trie": prefix_trie.query,
+    "op12_spelling_variants": spelling.query,
+    "op13_line_dedup": line_dedup.query,
 }
-ORACLES: dict[str, str] = {"op4_warc_roundtrip": warc.SQL, "op5_benchmark_decontamination": decontaminate.SQL}
+ORACLES: dict[str, str] = {"op4_warc_roundtrip": warc.SQL, "op5_benchmark_decontamination": decontaminate.SQL, "op11_prefix_trie": prefix_trie.SQL, "op12_spelling_variants": spelling.SQL, "op13_line_dedup": line_dedup.SQL}
