@@ -2,31 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenaudit.functions import text as tx
 from lumenaudit.functions import urls
+from lumenaudit.operators.site_flags import city_mentions, site_flags
+from lumenaudit.operators.sites_text import TEXT_FLAGS, WORD_END, WORD_START, freshness
 
-WORD_END, WORD_START = "(?![A-Za-z0-9_])", "(?<![A-Za-z0-9_])"
-# What the text of a whole site is searched for.
-TEXT_FLAGS = {
-    "has_direct_answers": "(?:we are|we provide|we offer|we specialize|our services include|the best way to|how to|what is|how much|how long)",
-    "has_process": r"our process|how it works|how we work|step [0-9]|step-by-step|methodology|implementation process",
-    "has_pricing": "pricing|plans|price|cost|quote|estimate|subscription|per month|per year",
-    "has_author": "author|written by|reviewed by|founder|ceo|owner|expert|team",
-    "has_credentials": "certified|licensed|insured|award|partner|accredited|years of experience|ISO|SOC 2|HIPAA|GDPR",
-    "has_case_studies": "case study|results|portfolio|customer story|testimonial",
-    "ecommerce_words": "cart|checkout|add to cart|shop|shipping|returns|sku|inventory",
-    "review_words": "review|rating|stars",
-    "has_shipping_returns": "shipping|returns|refund|delivery",
-    "likely_saas": "software|platform|SaaS|dashboard|API|integrations|subscription|demo|free trial",
-    "has_integrations": "integrations?|connectors?|zapier|slack|salesforce|hubspot",
-    "has_security_trust": "security|SOC 2|ISO 27001|SSO|SAML|GDPR|HIPAA|privacy",
-    "has_address": r"[0-9]+[ \n]+[a-z0-9 .'-]+(?:street|st|avenue|ave|road|rd|drive|dr|boulevard|blvd|lane|ln|suite|ste)" + WORD_END,
-    "has_hours": r"hours|open monday|mon(?:day)?[ \n]*-|24/7|open 24",
-    "has_service_area": "service area|serving|nearby|surrounding areas|local",
-}
 # Schema types that count for a fact.
 TYPE_FLAGS = {
     "schema_local_business": "LocalBusiness|Organization|ProfessionalService|Store|Restaurant|MedicalBusiness|LegalService",
@@ -39,10 +22,6 @@ TRUST = "case|testimonial|review|customer|portfolio|press|award|certification|se
 CUSTOMERS = "case-study|case-studies|customers"
 
 
-def freshness(year: int) -> str:
-    return f"updated|last updated|{WORD_START}{year - 1}{WORD_END}|{WORD_START}{year}{WORD_END}|current|latest|recent"
-
-
 def in_order(value: Column, most: int | None = None) -> Column:
     """The values of a group by ``ord``, as an array."""
     rows = F.array_sort(F.collect_list(F.struct(F.col("ord").alias("o"), value.alias("v"))))
@@ -50,17 +29,6 @@ def in_order(value: Column, most: int | None = None) -> Column:
     return F.slice(out, 1, most) if most else out
 
 
-def site_text(pages: DataFrame, most: int = tx.SITE_TEXT_CHARS) -> DataFrame:
-    """``(site_id, all_text)``: the texts of a site's pages by ``ord``, joined by line ends and cut at ``most`` characters (a fixed value). Null texts are left out.
-
-    The window runs over lengths alone; only texts that begin before the limit travel, so a site brings its task little more than the limit, however large it is."""
-    before = Window.partitionBy("site_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    lengths = pages.select("site_id", "ord", F.coalesce(F.length("text") + 1, F.lit(0)).cast("long").alias("n"))
-    begins = lengths.select("site_id", "ord", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("begin")).where(F.col("begin") < most)
-    kept = pages.select("site_id", "ord", "text").join(begins, ["site_id", "ord"])
-    return kept.groupBy("site_id").agg(F.substring(F.array_join(in_order(F.col("text")), "\n"), 1, most).alias("all_text"))
-
-
 def home_page(pages: DataFrame) -> DataFrame:
     """The home page of each site: the start URL, else a root path, else the first page."""
     c = F.col
@@ -103,21 +71,21 @@ def site_signals(pages: DataFrame, sites: DataFrame, *, as_of_year: int) -> Data
         count(c("h1_count") == 1).alias("single_h1"), F.avg("alt_ratio").alias("alt"), F.avg(c("likely_labeled").cast("double")).alias("labeled"),
         count(c("has_landmarks")).alias("landmark_pages"), F.avg(c("word_count").cast("double")).alias("mean_words"),
     )
+    flags = TEXT_FLAGS | {"has_freshness": freshness(as_of_year)}
+    mentioned = city_mentions(pages, sites).withColumn("city_mentioned", F.lit(True))
     joined = sites.join(agg, "site_id", "left").join(duplicates_by_site(pages, "title", "duplicate_titles"), "site_id", "left").join(duplicates_by_site(pages, "meta_description", "duplicate_descriptions"), "site_id", "left")
-    joined = joined.join(home_page(pages), "site_id", "left").join(site_text(pages), "site_id", "left")
+    joined = joined.join(home_page(pages), "site_id", "left").join(site_flags(pages, flags), "site_id", "left").join(mentioned, "site_id", "left")
     numbers = [n for n, t in agg.dtypes if t == "int"] + ["duplicate_titles", "duplicate_descriptions"]
-    joined = joined.fillna(0, numbers).fillna(False, ["has_pricing_page", "has_docs", "has_customer_pages"])
-    text = F.coalesce(c("all_text"), F.lit(""))
+    joined = joined.fillna(0, numbers).fillna(False, ["has_pricing_page", "has_docs", "has_customer_pages", "city_mentioned", *flags])
     types = F.coalesce(F.flatten("node_types"), F.array().cast("array<string>"))
-    out = joined.withColumns({"types": F.array_distinct(types), "schema_count": F.coalesce(F.size("node_types"), F.lit(0)), "all_text": text})
-    out = out.withColumns({k: tx.matches(c("all_text"), p) for k, p in TEXT_FLAGS.items()} | {"has_freshness": tx.matches(c("all_text"), freshness(as_of_year))})
+    out = joined.withColumns({"types": F.array_distinct(types), "schema_count": F.coalesce(F.size("node_types"), F.lit(0))})
     out = out.withColumns({k: F.exists("types", lambda t: tx.matches(t, p)) for k, p in TYPE_FLAGS.items()})
     header = lambda k: F.coalesce(c("home.headers")[k], F.lit(""))
     city = F.coalesce(c("city"), F.lit(""))
     return out.withColumns({
         "schema_found": c("schema_count") > 0, "topical_depth": c("service_pages") + c("product_pages") + c("education_pages") + c("comparison_pages"),
         "likely_ecommerce": c("ecommerce_words") | c("schema_product"), "has_reviews": c("review_words") | c("schema_review"),
-        "city": city, "city_mentioned": (city != "") & F.contains(F.lower("all_text"), F.lower(city)),
+        "city": city,
         "title_coverage": ratio("titled"), "description_coverage": ratio("described"), "h1_coverage": ratio("single_h1"),
         "average_alt": F.coalesce("alt", F.lit(1.0)), "form_coverage": F.coalesce("labeled", F.lit(1.0)),
         "average_words": F.coalesce(tx.rounded(c("mean_words")), F.lit(0)),
@@ -125,5 +93,5 @@ def site_signals(pages: DataFrame, sites: DataFrame, *, as_of_year: int) -> Data
         "has_https": F.coalesce(c("home.url").startswith("https://"), F.lit(False)), "has_hsts": header("strict-transport-security") != "",
         "has_csp": header("content-security-policy") != "", "has_frame_protection": (header("x-frame-options") != "") | F.contains(header("content-security-policy"), F.lit("frame-ancestors")),
         "has_nosniff": header("x-content-type-options") == "nosniff", "has_referrer_policy": header("referrer-policy") != "",
-        "origin": urls.origin(c("start_url")), "text_sample": F.substring("all_text", 1, 15_000),
-    }).drop("all_text", "node_types", "alt", "labeled", "mean_words", "home", "titled", "described", "single_h1", "ecommerce_words", "review_words")
+        "origin": urls.origin(c("start_url")),
+    }).drop("chars", "node_types", "alt", "labeled", "mean_words", "home", "titled", "described", "single_h1", "ecommerce_words", "review_words")

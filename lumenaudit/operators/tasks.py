@@ -125,7 +125,7 @@ def page_tasks() -> Column:
     """The tasks of a page row, nine at most."""
     made = []
     for test, key, title, detail, impact, evidence, source in PAGE_TASKS:
-        values = {"id": f"concat('page-', ord, '-{key}')", "title": filled_sql(title), "detail": filled_sql(detail), "impact": quoted(impact), "evidence": filled_sql(evidence), "effort": quoted(EFFORT[impact]), "source": quoted(source)}
+        values = {"id": f"concat('page-', number, '-{key}')", "title": filled_sql(title), "detail": filled_sql(detail), "impact": quoted(impact), "evidence": filled_sql(evidence), "effort": quoted(EFFORT[impact]), "source": quoted(source)}
         made.append(f"if(coalesce({test}, false), named_struct({', '.join(f'{k!r}, {v}' for k, v in values.items())}), null)")
     return F.expr(f"slice(filter(array({', '.join(made)}), t -> t is not null), 1, {MOST_PAGE_TASKS})")
 
@@ -136,7 +136,7 @@ def page_plans(pages: DataFrame) -> DataFrame:
     pages: page signals with ``site_id, ord, status``."""
     c = F.col
     facts = pages.withColumns({
-        "utility": urls.is_utility(c("url")), "title_length": F.length(F.trim("title")), "description_length": F.length(F.trim("meta_description")), "has_phone": F.size("phones") > 0, "has_email": F.size("emails") > 0,
+        "number": F.row_number().over(Window.partitionBy("site_id").orderBy("ord")) - 1, "utility": urls.is_utility(c("url")), "title_length": F.length(F.trim("title")), "description_length": F.length(F.trim("meta_description")), "has_phone": F.size("phones") > 0, "has_email": F.size("emails") > 0,
     })
     rows = facts.withColumn("tasks", page_tasks()).where(F.size("tasks") > 0)
     loss = F.aggregate("tasks", F.lit(0), lambda n, t: n + mapped(t["impact"], PENALTY, 6))

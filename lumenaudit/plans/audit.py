@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenaudit.functions import urls
@@ -21,13 +21,13 @@ HEADERS = "map<string,string>"
 
 
 def snapshot(pages: DataFrame) -> DataFrame:
-    """Pages ``(page_id, url, html)`` as a crawl's: site, order of arrival, status and headers."""
-    site = urls.domain(F.col("url"))
-    order = Window.partitionBy("site_id").orderBy("page_id")
-    out = pages.select("page_id", "url", "html", site.alias("site_id")).where("site_id <> ''")
+    """Pages ``(page_id, url, html)`` as a crawl's: site, order of arrival, status and headers. No shuffle: html stays where it was read.
+
+    ``ord`` is the order of a site's pages: by ``page_id``, those without one last, pages of one id by URL; repeated pages each count. Pages whose URL has no host belong to no site and are left out."""
+    order = F.struct(F.col("page_id").isNull().alias("unnumbered"), "page_id", F.col("url"), F.monotonically_increasing_id().alias("row"))
+    out = pages.select("page_id", "url", "html", urls.domain(F.col("url")).alias("site_id"), order.alias("ord")).where("site_id <> ''")
     out = out.withColumns({"requested_url": F.col("url"), "url": urls.canonical(F.col("url")), "status": F.lit(200), "headers": F.create_map().cast(HEADERS), "truncated": F.octet_length("html") > 900_000})
-    ranks = out.select("page_id", "site_id").withColumn("ord", F.row_number().over(order) - 1)  # without the pages' text
-    return out.join(ranks, ["page_id", "site_id"]).withColumn("start_url", F.concat(F.lit("https://"), "site_id", F.lit("/")))
+    return out.withColumn("start_url", F.concat(F.lit("https://"), "site_id", F.lit("/")))
 
 
 ROBOTS_BYTES, LLMS_BYTES, SITEMAP_BYTES = 300_000, 500_000, 1_200_000

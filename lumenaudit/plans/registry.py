@@ -13,7 +13,9 @@ from lumenaudit.operators import competitors, frontier, history, robots, tasks
 from lumenaudit.operators.findings import exploded, with_findings
 from lumenaudit.operators.pages import PAGE_TYPES, page_type
 from lumenaudit.operators.scoring import Check, score_sites
-from lumenaudit.operators.sites import TEXT_FLAGS, WORD_END, freshness, in_order, site_text
+from lumenaudit.operators.site_flags import site_flags, text_sample
+from lumenaudit.operators.sites import in_order
+from lumenaudit.operators.sites_text import TEXT_FLAGS, WORD_END, freshness
 from lumenaudit.plans import audit as whole
 from lumenaudit.plans import render
 from lumenaudit.sources.html import page_links, parse_pages
@@ -139,8 +141,12 @@ FLAGS = TEXT_FLAGS | {"has_freshness": freshness(YEAR)}
        + ", ".join(f"regexp_matches(t, '(?i){re2(p)}') AS {k}" for k, p in FLAGS.items()) + " FROM s")
 def text_site_flags(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").select(c("source").alias("site_id"), c("doc_id").alias("ord"), "text")
-    s = site_text(d).withColumnRenamed("all_text", "t")
-    return s.select("site_id", F.length("t").alias("chars"), *(tx.matches(c("t"), p).alias(k) for k, p in FLAGS.items()))
+    return site_flags(d, FLAGS)
+
+
+@query("SELECT source AS site_id, substr(string_agg(text, chr(10) ORDER BY doc_id), 1, 15000) AS sample FROM documents WHERE source IS NOT NULL GROUP BY 1")
+def text_site_samples(spark: SparkSession, sf: str) -> DataFrame:
+    return text_sample(table(spark, sf, "documents").select(c("source").alias("site_id"), c("doc_id").alias("ord"), "text"))
 
 
 @query(f"""SELECT site_id, count(*) AS duplicate_titles FROM (SELECT {DOMAIN} AS site_id, lower({TITLE}) AS t, count(*) FROM pages WHERE {TITLE} <> '' GROUP BY ALL HAVING count(*) > 1) GROUP BY 1""")

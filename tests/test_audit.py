@@ -187,12 +187,59 @@ def test_html_is_parsed_once(spark):
     assert [(r.site_id, r.page_count) for r in out.collect()] == [("a.example", 2)]
 
 
-def test_site_text_stops_at_the_limit(spark):
-    from lumenaudit.operators.sites import site_text
-
-    rows = [("a", 2, "cc"), ("a", 1, None), ("a", 0, "aaa"), ("a", 3, "dddd"), ("a", 4, "never read"), ("b", 0, ""), ("c", 0, None)]
-    got = {r.site_id: r.all_text for r in site_text(spark.createDataFrame(rows, "site_id string, ord int, text string"), 8).collect()}
-    assert got == {"a": "aaa\ncc\nd", "b": "", "c": ""}
+def joined_flags(rows, patterns, most):
+    """The patterns on each site's joined and cut text, plainly."""
+    import re
+
+    out = {}
+    for site in {r[0] for r in rows}:
+        texts = [r[2] for r in sorted((r for r in rows if r[0] == site and r[2] is not None), key=lambda r: (r[1] is None, r[1] or 0))]
+        if texts:
+            text = "\n".join(texts)[:most]
+            out[site] = (len(text), *(bool(re.search(p, text, re.I)) for p in patterns.values()))
+    return out
+
+
+@pytest.mark.parametrize(("most", "partitions"), [(40, 3), (1_500_000, 9), (9, 4)])
+def test_site_flags_are_those_of_the_joined_text(spark, most, partitions):
+    import random
+
+    from lumenaudit.operators.site_flags import site_flags, text_sample
+    from lumenaudit.operators.sites_text import TEXT_FLAGS, freshness
+
+    r = random.Random(most)
+    bits = ["12", " ", "", "main", "elm street", "-", "mon", "monday ", " - 5", "4 x", "st", "st.", "2024", "12024", "how", "how to", "é😀", "x\ny", "7 \n", "\n \n"]
+    rows = [(f"s{r.randrange(60)}", n, "".join(r.choice(bits) for _ in range(r.randrange(3)))) for n in range(500)]
+    rows += [("hot", n, r.choice(["12", "", " ", "-", "mon", "quiet"])) for n in range(300)] + [("none", 1, None), ("cut", 0, "abc 12"), ("cut", 1, "3 elm street")]
+    patterns = TEXT_FLAGS | {"has_freshness": freshness(2024)}
+    df = spark.createDataFrame(rows, "site_id string, ord int, text string").repartition(5)
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {x.site_id: (x.chars, *(x[k] or False for k in patterns)) for x in site_flags(df, patterns, most).collect()}
+        samples = {x.site_id: x["sample"] for x in text_sample(df, most).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == joined_flags(rows, patterns, most)
+    assert all(len(samples[k]) == v[0] for k, v in got.items()) and "none" not in samples
+
+
+def test_pages_without_ids_or_with_one_id_count_once(spark):
+    """Six rows, one without an id, two of one id, two without a host."""
+    rows = [(None, "https://a.example/n", "<title>N</title>one"), (7, "https://a.example/x", "<body>two</body>"), (7, "https://a.example/y", "<body>three</body>"), (1, "https://a.example/", "<body>four"), (2, None, "x"), (3, "nowhere", "x")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    signals = whole.signals_of(whole.snapshot(pages))
+    assert signals.count() == 4
+    plan = whole.snapshot(pages)._jdf.queryExecution().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    assert [(r.site_id, r.page_count) for r in whole.audit(signals, as_of_year=2024).collect()] == [("a.example", 4)]
+    from lumenaudit.operators.site_flags import site_flags, text_sample
+
+    twice = spark.createDataFrame([("s", 1, "one"), ("s", 1, "two"), ("s", None, "three"), ("s", 2, "same"), ("s", 2, "same")], "site_id string, ord int, text string")
+    assert site_flags(twice, {"a": "one", "b": "two\\Z"}).first()[:3] == ("s", len("one two same same three"), True)
+    sample = text_sample(twice).first()["sample"].split("\n")
+    assert sorted(sample[:2]) == ["one", "two"] and sample[2:] == ["same", "same", "three"]
 
 
 def test_why_a_competitor_failed(spark):
