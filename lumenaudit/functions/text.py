@@ -18,6 +18,11 @@ def normalize_text(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, SPACE, " "))
 
 
+def stripped(c: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(c, f"^{SPACE}|{SPACE}$", "")
+
+
 def word_count(c: Column) -> Column:
     """Words of a normalised text."""
     return F.size(F.filter(F.split(c, " "), lambda w: w != "")).cast("long")
@@ -48,12 +53,6 @@ def percent(c: Column) -> Column:
     return F.concat(rounded(F.coalesce(c, F.lit(0.0)) * 100.0).cast("string"), F.lit("%"))
 
 
-def escape_html(c: Column) -> Column:
-    for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
-        c = F.replace(c, F.lit(raw), F.lit(safe))
-    return c
-
-
 def cut_bytes(c: Column, most: int) -> Column:
     """The first bytes of a text as UTF-8; a character that the cut parts becomes U+FFFD."""
     return F.when(F.octet_length(c) <= most, c).otherwise(F.make_valid_utf8(F.substring(c.cast("binary"), 1, most).cast("string")))

@@ -8,6 +8,8 @@ from urllib.parse import urljoin, urlsplit, urlunsplit
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lumenaudit.functions.text import stripped
+
 # Query parameters that don't change a page.
 TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "gclid", "fbclid")
 # Endings of paths that aren't pages.
@@ -83,7 +85,7 @@ def title_from_url(url: Column) -> Column:
 
 def normalized(text: Column) -> Column:
     """The audited URL of what a user typed; null where it is none."""
-    t = F.trim(text)
+    t = stripped(text)
     full = F.when(t.rlike("(?i)^https?://"), t).otherwise(F.concat(F.lit("https://"), t))
     bare = F.concat(origin(full), path(full), F.regexp_extract(full, r"^[^?#]*(\?[^#]*)", 1))
     return F.when((t != "") & (host(full) != "") & ~t.rlike(r"^(?!(?i)https?:)[a-zA-Z][a-zA-Z0-9+.-]*://") & ~host(full).rlike(r"\s"), bare)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenaudit.functions.text import stripped
+
 # The compared signals.
 SIGNALS = (("Schema coverage", "schema_count"), ("FAQ pages", "faq_pages"), ("Topical depth", "topical_depth"), ("Trust pages", "trust_pages"))
 NO_PAGES = "The crawl returned no usable pages"
@@ -41,4 +43,4 @@ def compare(pairs: DataFrame, sites: DataFrame) -> DataFrame:
 
 def competitor_list(text: Column) -> Column:
     """Competitors as typed, by lines or commas: trimmed, without blanks, the first five."""
-    return F.slice(F.filter(F.transform(F.split(text, "\r?\n|,"), lambda x: F.trim(x)), lambda x: x != ""), 1, 5)
+    return F.slice(F.filter(F.transform(F.split(text, "\r?\n|,"), stripped), lambda x: x != ""), 1, 5)

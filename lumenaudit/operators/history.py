@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenaudit.functions.text import stripped
+
 
 def latest_history(audits: DataFrame, clients: DataFrame, sends: DataFrame, most: int = 50) -> DataFrame:
     """The latest audits, with the client's name and the sends as an array, the latest first.
@@ -23,11 +25,36 @@ def history_kpis(history: DataFrame) -> DataFrame:
     return history.agg(F.count("*").alias("audits"), F.coalesce(F.sum(F.size("sends")), F.lit(0)).cast("long").alias("sends"), F.coalesce(F.sum(opened), F.lit(0)).cast("long").alias("opened"))
 
 
-def audit_by_id(audits: DataFrame, clients: DataFrame, audit_id: str) -> DataFrame:
-    """One stored audit with its client; a malformed id finds nothing. Workspace parts that a row lacks come from its columns."""
+def reopened(audits: DataFrame, clients: DataFrame) -> DataFrame:
+    """Stored audits as a workspace reopens them: ``audit_id, client_id, company_name, scores, llm_status, html, markdown, workspace``, with what older rows lack taken from their columns.
+
+    audits: ``id, client_id, domain, requested_url, created_at`` and JSON texts ``scores, findings, category_details, competitors, crawl_summary, report``. clients: ``id, company_name``.
+    A workspace is JSON: the stored one, else one without pages from the columns."""
+    c = F.col
+    part = lambda path: F.get_json_object("report", path)
+    filled = lambda name, empty: F.coalesce(c(name), F.lit(empty))
+    llm = F.coalesce(part("$.llm"), F.lit('{"status":"skipped"}'))
+    js = lambda name, empty: F.parse_json(filled(name, empty))
+    primary = F.struct(
+        c("domain"), c("requested_url").alias("startUrl"), F.coalesce(F.get_json_object("crawl_summary", "$.crawledPages").cast("long"), F.lit(0)).alias("pageCount"), F.array().cast("array<string>").alias("pages"),
+        F.struct(js("crawl_summary", "{}").alias("summary")).alias("crawl"), js("scores", "{}").alias("scores"), js("findings", "[]").alias("findings"), js("category_details", "{}").alias("categoryDetails"),
+    )
+    whole = F.struct(c("created_at").alias("createdAt"), F.struct(c("requested_url").alias("url")).alias("input"), primary.alias("primary"), js("competitors", "[]").alias("competitorComparison"), F.parse_json(llm).alias("llm"))
+    rebuilt = F.to_json(whole, {"ignoreNullFields": "false"})
+    named = audits.join(clients.select(c("id").alias("client_id"), "company_name"), "client_id", "left")
+    return named.select(
+        c("id").alias("audit_id"), "client_id", F.coalesce(F.nullif("company_name", F.lit("")), "domain").alias("company_name"), filled("scores", "{}").alias("scores"), F.get_json_object(llm, "$.status").alias("llm_status"),
+        F.coalesce(part("$.html"), F.lit("")).alias("html"), F.nullif(part("$.markdown"), F.lit("")).alias("markdown"), F.coalesce(part("$.workspace"), rebuilt).alias("workspace"),
+    )
+
+
+def audit_by_id(audits, clients: DataFrame, audit_id: str) -> DataFrame:
+    """One stored audit, reopened; a malformed id finds nothing. audits: a DataFrame, or a ``Store`` by id, of which only files that can hold the id are read."""
     if not valid_uuid(audit_id):
-        return audits.where(F.lit(False)).join(clients.select(F.col("id").alias("client_id"), "company_name"), "client_id", "left")
-    return audits.where(F.col("id") == audit_id).join(clients.select(F.col("id").alias("client_id"), "company_name"), "client_id", "left")
+        found = (audits if isinstance(audits, DataFrame) else audits.find([audit_id])).where(F.lit(False))
+    else:
+        found = audits.where(F.col("id") == audit_id) if isinstance(audits, DataFrame) else audits.find([audit_id])
+    return reopened(found, clients)
 
 
 def valid_uuid(text: str) -> bool:
@@ -47,7 +74,7 @@ def upsert_clients(old: DataFrame, new: DataFrame, key: str = "domain", kept: tu
 
 def new_send(requests: DataFrame) -> DataFrame:
     """Rows of a send from what was posted: trimmed address in lower case, trimmed name or none, with ``error`` where the request is invalid."""
-    email, name = F.lower(F.trim("prospect_email")), F.nullif(F.trim("prospect_name"), F.lit(""))
+    email, name = F.lower(stripped(F.col("prospect_email"))), F.nullif(stripped(F.col("prospect_name")), F.lit(""))
     error = F.when(F.col("audit_id").isNull() | ~F.col("audit_id").rlike("^[0-9a-fA-F-]{36}$"), "A valid audit is required").when(email.isNull() | ~email.rlike(r"^[^\s@]+@[^\s@]+\.[^\s@]+$"), "A valid email is required").when(F.length(name) > 200, "The name is too long")
     return requests.withColumns({"prospect_email": email, "prospect_name": name, "error": error})
 

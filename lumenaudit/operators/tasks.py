@@ -116,7 +116,7 @@ def general_tasks(sites: DataFrame, roadmap: DataFrame | None = None) -> DataFra
         F.lit("").alias("evidence"), F.lit("Medium").alias("impact"), F.lit("Ongoing").alias("effort"), F.lit("Diagnostic").alias("source"),
     )
     every = found.unionByName(none)
-    key = F.lower(F.concat("title", F.lit("|"), "detail"))
+    key = F.lower(F.concat("title", F.lit("|"), F.coalesce("detail", F.concat(F.lit("|"), "id"))))  # a task without an action is like no other
     first = every.withColumn("r", F.row_number().over(Window.partitionBy("site_id", key).orderBy("part", "n", "m"))).where("r = 1")
     return first.withColumn("ord", F.row_number().over(Window.partitionBy("site_id").orderBy("part", "n", "m")) - 1).where(c("ord") < MOST_GENERAL).drop("part", "n", "m", "r")
 
