@@ -1,10 +1,7 @@
-"""URLs: column expressions for the fast path, and a resolver for links."""
+"""URLs as column expressions."""
 
 from __future__ import annotations
 
-import re
-from urllib.parse import urljoin, urlsplit, urlunsplit
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -100,28 +97,35 @@ def is_private_host(url: Column) -> Column:
     return h.isin("localhost", "localhost.localdomain") | h.endswith(".local") | v4 | v6
 
 
-SKIPPED = re.compile(r"(mailto|tel|sms|javascript):", re.I)
+# Links that lead to no page.
+SKIPPED = "(?i)^(?:mailto|tel|sms|javascript):"
+#: Characters that a path holds percent-encoded.
+UNSAFE = r"""[\x00-\x20"<>`{}\x7F-\x{10FFFF}]+"""
 
 
-def resolve(href: str | None, base: str) -> str | None:
-    """The canonical absolute URL of a link, None where it leads to no page."""
-    if not href or SKIPPED.match(href):
-        return None
-    try:
-        u = urlsplit(urljoin(base, href.strip(" \t\r\n\f")))
-        if u.scheme not in ("http", "https") or not u.hostname:
-            return None
-        port = f":{u.port}" if u.port and u.port != {"http": 80, "https": 443}[u.scheme] else ""
-    except ValueError:
-        return None
-    kept = "&".join(p for p in u.query.split("&") if p and p.split("=", 1)[0] not in TRACKING)
-    path_ = re.sub(r'[ "<>`{}\x00-\x20\x7F-\U0010FFFF]', lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), u.path) or "/"
-    return urlunsplit((u.scheme, u.hostname + port, path_, kept, "")).removesuffix("/")
+def _folded_path(path_: Column) -> Column:
+    """A path without its ``.`` and ``..`` segments: a stack of segments, from which ``..`` takes one."""
+    parts = F.split(path_, "/", -1)
+    last = F.element_at(parts, -1)
+    stack = F.aggregate(F.slice(parts, 2, 1 << 20), F.array().cast("array<string>"), lambda s, x: F.when(x == "..", F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(0)))).when(x == ".", s).otherwise(F.array_append(s, x)))
+    ended = F.when(last.isin(".", ".."), F.array_append(stack, F.lit(""))).otherwise(stack)
+    return F.concat(F.lit("/"), F.array_join(ended, "/"))
 
 
-def page_like(url: str) -> bool:
-    return not re.search(rf"\.({ASSETS})$", urlsplit(url).path.lower())
+def _encoded_path(path_: Column) -> Column:
+    parts = F.regexp_extract_all(path_, F.lit(f"{UNSAFE}|{UNSAFE.replace('[', '[^', 1)}"), F.lit(0))
+    return F.array_join(F.transform(parts, lambda x: F.when(x.rlike(f"^{UNSAFE}"), F.replace(F.url_encode(x), F.lit("+"), F.lit("%20"))).otherwise(x)), "")
 
 
-def site_of(url: str) -> str:
-    return re.sub(r"^www\.", "", (urlsplit(url).hostname or "").lower())
+def resolved(href: Column, base: Column) -> Column:
+    """The canonical absolute URL of a page's link, null where it leads to no page: links take from the base what they lack, ``.`` and ``..`` are folded, unsafe characters of the path are percent-encoded."""
+    h = F.regexp_replace(F.regexp_replace(href, r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"[\t\r\n]", "")
+    here, folder = F.regexp_extract(base, r"^(?i:https?)://[^/?#]*", 0), F.regexp_extract(path(base), r"^.*/", 0)
+    bare = F.regexp_extract(base, r"^[^?#]*", 0)
+    whole = (
+        F.when(h.rlike(SKIPPED) | (href == ""), None).when(h.rlike("^(?i)https?://"), h).when(h.rlike("^(?i)[a-z][a-z0-9+.-]*:"), None)
+        .when(h.startswith("//"), F.concat(F.regexp_extract(base, "^(?i)https?:", 0), h)).when(h.startswith("/"), F.concat(here, h)).when(h.startswith("?"), F.concat(bare, h))
+        .when((h == "") | h.startswith("#"), base).otherwise(F.concat(here, folder, h))
+    )
+    rest = F.regexp_extract(whole, r"^[^?#]*(\?[^#]*)", 1)
+    return F.when(host(whole) != "", canonical(F.concat(F.regexp_extract(whole, r"^(?i:https?)://[^/?#]*", 0), _encoded_path(_folded_path(path(whole))), rest)))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lumenaudit.functions import text as tx
 from lumenaudit.operators.ordered import running
 from lumenaudit.operators.sites_text import SEAMS
+from lumenaudit.sources.storage import spread, stored
 
 c = F.col
 #: Cut pages, one a site at most, that are broadcast; more are joined by a shuffle.
@@ -35,7 +36,8 @@ def site_flags(pages: DataFrame, patterns: dict[str, str], most: int = tx.SITE_T
     rows = pages.where("text IS NOT NULL").select("site_id", "ord", F.xxhash64("text").alias("tie"), "text")
     seams = sorted(SEAMS.keys() & patterns.keys())
     blank = tx.matches(c("text"), f"\\A{BLANKS}\\z")
-    lean = rows.select("site_id", "ord", "tie", (F.length("text").cast("long")).alias("n"), blank.alias("blank"), *(v.alias(k) for k, v in _tests(c("text"), patterns).items()))
+    # stored, as a range sort looks at its rows twice: the patterns are searched for once
+    lean = stored(spread(rows).select("site_id", "ord", "tie", (F.length("text").cast("long")).alias("n"), blank.alias("blank"), *(v.alias(k) for k, v in _tests(c("text"), patterns).items())))
     placed = running(lean, "site_id", [c("ord"), c("tie")], sums={"begin": c("n") + 1}, lasts={f"before_{k}": F.when(~c("blank"), c(f"e_{k}")) for k in seams})
     inside = placed.where(c("begin") < most)
     cut = inside.where(c("begin") + c("n") > most).select("site_id", "ord", "tie", (most - c("begin")).cast("int").alias("room"))

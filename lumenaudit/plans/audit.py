@@ -14,8 +14,8 @@ from lumenaudit.operators.robots import bot_access
 from lumenaudit.operators.robots import sitemaps as named_sitemaps
 from lumenaudit.operators.scoring import score_sites
 from lumenaudit.operators.sites import site_signals
-from lumenaudit.sources.html import parse_pages
-from lumenaudit.sources.storage import stored
+from lumenaudit.sources.html_tokens import parse_pages
+from lumenaudit.sources.storage import spread, stored
 
 HEADERS = "map<string,string>"
 
@@ -62,7 +62,7 @@ def auxiliary(sites: DataFrame, robots: DataFrame | None = None, llms: DataFrame
 
 def signals_of(pages: DataFrame) -> DataFrame:
     """Page signals of a snapshot, stored: html is read and parsed once, whatever reads the signals by column afterwards."""
-    return stored(page_signals(parse_pages(pages, ["page_id", "site_id", "ord", "url", "requested_url", "start_url", "status", "headers", "truncated"])))
+    return stored(page_signals(parse_pages(spread(pages), ["page_id", "site_id", "ord", "url", "requested_url", "start_url", "status", "headers", "truncated"])))
 
 
 def audit(signals: DataFrame, *, as_of_year: int, robots: DataFrame | None = None, pagespeed: DataFrame | None = None, llms: DataFrame | None = None, sitemaps: DataFrame | None = None) -> DataFrame:

@@ -18,7 +18,8 @@ from lumenaudit.operators.sites import in_order
 from lumenaudit.operators.sites_text import TEXT_FLAGS, WORD_END, freshness
 from lumenaudit.plans import audit as whole
 from lumenaudit.plans import render
-from lumenaudit.sources.html import page_links, parse_pages
+from lumenaudit.sources import html_tokens
+from lumenaudit.sources.html_tokens import page_links, parse_pages
 from lumenaudit.sources.tables import table
 from lumenaudit.streaming import progress as stream
 
@@ -406,13 +407,36 @@ def send_requests(spark: SparkSession, sf: str) -> DataFrame:
     return history.new_send(r).select("c_custkey", "prospect_email", "prospect_name", "error")
 
 
-@query()
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+# the pages' tokens as rows, with the text that each says
+TOKENS_SQL = rf"""WITH e AS (SELECT map([{', '.join(map(quoted, html_tokens.entities()))}], [{', '.join(map(quoted, html_tokens.entities().values()))}]) AS named),
+t AS (SELECT page_id, url, coalesce(html, '') AS html, unnest(x) AS raw, unnest(range(len(x))) AS pos FROM (SELECT *, regexp_extract_all(coalesce(html, ''), {quoted(html_tokens.TOKEN)}) AS x FROM pages)),
+n AS (SELECT *, lower(regexp_extract(raw, {quoted(html_tokens.NAME)}, 1)) AS name FROM t),
+k AS (SELECT *, CASE WHEN raw NOT LIKE '<%' OR raw = '<' THEN 'text' WHEN raw LIKE '</%' AND name <> '' THEN 'close' WHEN name IN {html_tokens.RAW} THEN 'raw' WHEN name <> '' AND raw LIKE '%>' THEN 'open' ELSE 'other' END AS kind FROM n),
+i AS (SELECT *, CASE WHEN kind = 'raw' THEN regexp_replace(regexp_replace(raw, '^<[a-zA-Z]+[^>]*>', ''), '(?is)</[a-z]+\s*>$', '') WHEN kind = 'text' THEN raw END AS inner_ FROM k),
+s AS (SELECT i.*, CASE WHEN inner_ IS NULL THEN NULL WHEN name IN ('script', 'style') OR NOT contains(inner_, '&') THEN inner_ ELSE array_to_string(list_transform(regexp_extract_all(inner_, {quoted(html_tokens.ENTITY)}), lambda y: coalesce(named[y[2:]], y)), '') END AS said FROM i, e),
+b AS (SELECT page_id, min(pos) AS body FROM s WHERE kind IN ('open', 'raw') AND name NOT IN {html_tokens.HEAD} OR kind = 'close' AND name = 'head' OR kind = 'text' AND trim(regexp_replace(raw, '{WHITE}', ' ', 'g')) <> '' GROUP BY 1),
+x AS (SELECT s.page_id, string_agg(said, '' ORDER BY pos) FILTER (WHERE pos >= body) AS joined FROM s JOIN b USING (page_id) GROUP BY 1),
+h AS (SELECT o.page_id, o.pos, coalesce(min(f.pos), 1000000000) AS ends FROM s o LEFT JOIN s f ON f.page_id = o.page_id AND f.pos > o.pos AND f.name = 'h1' AND f.kind = 'close' WHERE o.name = 'h1' AND o.kind = 'open' GROUP BY ALL),
+g AS (SELECT h.page_id, h.pos, trim(regexp_replace(coalesce(string_agg(said, '' ORDER BY s.pos), ''), '{WHITE}', ' ', 'g')) AS heading FROM h JOIN s ON s.page_id = h.page_id AND s.pos > h.pos AND s.pos < h.ends GROUP BY ALL),
+a AS (SELECT page_id, url, pos, regexp_extract(raw, '(?is)[\s"''/]href\s*=\s*"([^"]*)"', 1) AS href FROM s WHERE name = 'a' AND kind = 'open' AND regexp_matches(raw, '(?i)[\s"''/]href'))"""
+
+
+@query(TOKENS_SQL + rf""" SELECT page_id, coalesce(max(trim(regexp_replace(said, '{WHITE}', ' ', 'g'))) FILTER (WHERE pos = (SELECT min(pos) FROM s f WHERE f.page_id = s.page_id AND f.name = 'title' AND f.kind = 'raw')), '') AS title,
+coalesce(max(hs), 0)::INT AS h1_count, coalesce(max(links), 0)::INT AS links, length(max(txt))::INT AS chars, max(txt) AS text, bool_or(regexp_matches(raw, '(?i)^<(main|nav|header|footer|aside)\b')) AS has_landmarks, bool_or(name = 'form' AND kind = 'open') AS has_form
+FROM s LEFT JOIN (SELECT page_id, count(*) FILTER (WHERE heading <> '') AS hs FROM g GROUP BY 1) USING (page_id) LEFT JOIN (SELECT page_id, count(*) AS links FROM a GROUP BY 1) USING (page_id)
+LEFT JOIN (SELECT page_id, substr(trim(regexp_replace(coalesce(joined, ''), '{WHITE}', ' ', 'g')), 1, 250000) AS txt FROM x) USING (page_id) GROUP BY page_id""")
 def html_parse_full(spark: SparkSession, sf: str) -> DataFrame:
     p = parse_pages(table(spark, sf, "pages"), ["page_id"])
-    return p.select("page_id", "title", F.size("h1").alias("h1_count"), F.size("links").alias("links"), F.length("text").alias("chars"), "has_landmarks", "has_form")
+    return p.select("page_id", "title", F.size("h1").alias("h1_count"), F.size("links").alias("links"), F.length("text").alias("chars"), "text", "has_landmarks", "has_form")
 
 
-@query()
+@query(TOKENS_SQL + rf""", l AS (SELECT url, regexp_extract(url, '^(?i:https?)://[^/?#]*', 0) AS o, regexp_replace(href, '#.*$', '') AS href FROM a),
+r AS (SELECT DISTINCT url, lower(o) || array_to_string(list_transform(regexp_extract_all(href, '[\x00-\x20"<>`{{}}\x7F-\x{{10FFFF}}]+|[^\x00-\x20"<>`{{}}\x7F-\x{{10FFFF}}]+'), lambda y: CASE WHEN regexp_matches(y, '^[\x00-\x20"<>`{{}}\x7F-\x{{10FFFF}}]') THEN url_encode(y) ELSE y END), '') AS target
+FROM l WHERE href LIKE '/%' AND href NOT LIKE '//%') SELECT url, regexp_replace(target, '/$', '') AS target FROM r WHERE NOT regexp_matches(lower(target), '\.({urls.ASSETS})$')""")
 def html_links(spark: SparkSession, sf: str) -> DataFrame:
     return page_links(parse_pages(table(spark, sf, "pages"), ["page_id", "url"]))
 

@@ -13,7 +13,8 @@ from lumenaudit.operators.scoring import CATEGORIES, score_sites
 from lumenaudit.operators.sites import freshness
 from lumenaudit.plans import audit as whole
 from lumenaudit.plans import render
-from lumenaudit.sources.html import parse
+from lumenaudit.sources import jsonld
+from lumenaudit.sources.html_tokens import decoded, parse_pages
 
 
 def one(df):
@@ -22,23 +23,28 @@ def one(df):
     return rows[0]
 
 
+def parse(spark, html):
+    return one(parse_pages(spark.createDataFrame([(html,)], "html string"), [])).asDict(recursive=True)
+
+
 def ld(*blocks: str) -> str:
     return "<html><head>" + "".join(f'<script type="application/ld+json">{b}</script>' for b in blocks) + "</head><body><h1>x</h1></body></html>"
 
 
-def test_json_ld_graphs_and_lists():
-    a = parse(ld('{"@context":"x","@graph":[{"@type":"Organization"},{"@type":"FAQPage"}]}'))
-    b = parse(ld('[{"@type":"Product"},[{"@type":["Service","LocalBusiness"]}]]', '{"@type":"Organization","legalName":"L"}'))
+def test_json_ld_graphs_and_lists(spark):
+    a = parse(spark, ld('{"@context":"x","@graph":[{"@type":"Organization"},{"@type":"FAQPage"}]}'))
+    b = parse(spark, ld('[{"@type":"Product"},[{"@type":["Service","LocalBusiness"]}]]', '{"@type":"Organization","legalName":"L"}'))
     assert [n["types"] for n in a["nodes"]] == [["Organization"], ["FAQPage"]]
     assert [n["types"] for n in b["nodes"]] == [["Product"], ["Service", "LocalBusiness"], ["Organization"]] and b["nodes"][2]["name"] == "L"
-    bad = parse(ld('{"@type":"WebSite"}', "{ this is not valid json", "  "))
+    bad = parse(spark, ld('{"@type":"WebSite"}', "{ this is not valid json", "  "))
     assert len(bad["nodes"]) == 1 and bad["invalid"][0]["sample"] == "{ this is not valid json"
-    assert parse(ld('"text"'))["nodes"][0]["types"] == ["Unknown"]
-    assert parse(ld('{"@type":"A","description":"' + "x" * 9000 + '"}'))["nodes"][0]["raw"] == "{}"
+    assert parse(spark, ld('"text"'))["nodes"][0]["types"] == ["Unknown"]
+    assert parse(spark, ld('{"@type":"A","description":"' + "x" * 9000 + '"}'))["nodes"][0]["raw"] == "{}"
 
 
-def test_page_parse():
+def test_page_parse(spark):
     p = parse(
+        spark,
         "<html><head><title> A &amp; <b>B</title><meta NAME='Description' content=' d  e '><meta name=robots content=NoIndex><link rel=Canonical href='/c'></head>"
         "<body class='x FAQ-list'><nav aria-label=n><a href='/a'>l</a><a href='tel:1'>t</a><a href='mailto:x'>m</a><a>no</a></nav><h1> One  two </h1><h1></h1>"
         "<h2>Why?</h2><h3>q</h3><img alt=' '><img alt=y><img><form><input><label>l</label><textarea></textarea></form><p>word<p>word2<script>var s=1;</script></body></html>"
@@ -47,7 +53,39 @@ def test_page_parse():
     assert p["links"] == ["/a", "tel:1", "mailto:x"] and p["has_tel_link"] and p["has_mail_link"] and p["has_form"] and p["has_landmarks"]
     assert (p["image_count"], p["images_with_alt"], p["inputs"], p["labels"], p["aria_labels"], p["question_headings"], p["faq_markup"]) == (3, 1, 2, 1, 1, 1, True)
     assert "var s=1;" in p["text"] and "wordword2" in p["text"] and "A &" not in p["text"]
-    assert parse(None)["text"] == "" and parse("plain text")["text"] == "plain text"
+    assert parse(spark, None)["text"] == "" and parse(spark, "plain text")["text"] == "plain text"
+
+
+def test_tokens_of_odd_pages(spark):
+    """Comments, raw elements, quotes in tags, pages cut anywhere, character references."""
+    p = parse(spark, "<!-- <h1>no</h1> --><title>A<b></title><body data-x='a>b'><h1>x <b>y</b> &lt;z&gt;</h1><script>if (a < b) { '<h1>n</h1>' }</script><p>1 &copy; 2&nbsp;3 &#8364;&#x1F600; &unknown; &amp</p><a href=\"/q?a=1&amp;b=2\">l</a><a hre")
+    assert (p["title"], p["h1"], p["links"]) == ("A<b>", ["x y <z>"], ["/q?a=1&b=2"])
+    assert p["text"] == "x y <z>if (a < b) { '<h1>n</h1>' }1 © 2 3 €😀 &unknown; &l"
+    assert parse(spark, "<h1>open <b>to the end")["h1"] == ["open to the end"] and parse(spark, "a < b &am")["text"] == "a < b &am"
+    long = "<div " + " ".join(f"d{k}='{k}>'" for k in range(60)) + ">in</div><p " + " ".join(f'd{k}="{k}"' for k in range(3000)) + ">" + "y" * 300_000
+    assert parse(spark, long)["text"] == ("in" + "y" * 300_000)[:250_000]
+    assert one(spark.createDataFrame([("&notin; &NotEqualTilde; &#0065; &#99999999;",)], "t string").select(decoded(F.col("t")).alias("x"))).x == "∉ ≂̸ A &#99999999;"
+
+
+def test_json_ld_to_any_depth(spark):
+    deep = '{"@type":"Deep"}'
+    for k in range(30):
+        deep = f'{{"@graph":[{deep},{k}]}}' if k % 2 else f"[{deep}]"
+    rows = [(1, deep), (2, '{"@graph":[]}'), (2, "[]"), (2, "null"), (3, "broken {"), (3, "  "), (4, None), (5, '{"@type":[],"@id":5,"name":"","headline":"H"}'), (5, '{"@graph":"","@type":"Own"}')]
+    df = spark.createDataFrame(rows, "page long, block string")
+    got = jsonld.nodes(df, "page").select("page", "types", "id", "name").collect()
+    assert sorted((r.page, r.types[0], r.id, r.name) for r in got if r.types[0] != "Unknown") == [(1, "Deep", None, None), (5, "Own", None, None)]
+    assert sum(r.page == 1 for r in got) == 16 and [(r.id, r.name) for r in got if r.page == 5 and r.types == ["Unknown"]] == [("5", "H")]
+    assert not any(r.page == 2 for r in got) and [tuple(r) for r in jsonld.bad_blocks(df, "page").collect()] == [(3, "broken {")]
+
+
+LINKS = [("../x", "https://e.com/a/b/c", "https://e.com/a/x"), ("./../../../y/./z/..", "https://e.com/a/b/c", "https://e.com/y"), ("?q=1&utm_source=x", "https://e.com/a/b?z#f", "https://e.com/a/b?q=1"), ("#top", "https://e.com/a/b?z=1", "https://e.com/a/b?z=1"),
+         ("//F.com:443/p", "https://e.com", "https://f.com/p"), ("d e/é", "http://e.com/a/", "http://e.com/a/d%20e/%C3%A9"), (" /t\n ", "https://e.com/a", "https://e.com/t"), ("ftp://x/y", "https://e.com/a", None), ("JavaScript:x", "https://e.com/a", None), ("HTTP://E.com:80/..", "https://e.com/a", "http://e.com")]
+
+
+def test_relative_links(spark):
+    rows = spark.createDataFrame([(h, b) for h, b, _ in LINKS], "h string, b string").select("h", urls.resolved(F.col("h"), F.col("b")).alias("x")).collect()
+    assert {r.h: r.x for r in rows} == {h: w for h, _, w in LINKS}
 
 
 @pytest.mark.parametrize(("text", "hit"), [("Copyright 2030", True), ("As of 2029, x", True), ("Founded in 2010", False), ("12030 units sold in 12019", False), ("Last updated: March", True), ("our latest work", True)])
@@ -76,7 +114,7 @@ def test_robots(spark):
 
 def test_urls(spark):
     for href, want in (("/pricing", "https://example.com/pricing"), ("mailto:a", None), ("tel:1", None), ("javascript:void(0)", None), ("../x/?utm_source=a&q=1#f", "https://example.com/x/?q=1"), ("//Other.com:443/", "https://other.com"), (None, None)):
-        assert urls.resolve(href, "https://example.com/about/") == want
+        assert one(spark.createDataFrame([(href,)], "h string").select(urls.resolved(F.col("h"), F.lit("https://example.com/about/")).alias("x"))).x == want
     df = spark.createDataFrame([("https://www.Example.com/page/?utm_source=x&utm_medium=y&gclid=1",), ("https://example.com/?q=turf",)], "u string")
     assert [r.c for r in df.select(urls.canonical(F.col("u")).alias("c")).collect()] == ["https://www.example.com/page", "https://example.com/?q=turf"]
     assert [r.d for r in df.select(urls.domain(F.col("u")).alias("d")).collect()] == ["example.com"] * 2
