@@ -112,6 +112,14 @@ def columns(docs: DataFrame, keep: list[str], made: str) -> tuple[list[str], str
     return keep, "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep) + made
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """The name, with as many underscores after it as tell it from all columns of ``docs``."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def packed(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``text`` and whole rows as ``__row``, so that no column of theirs clashes with an operator's."""
     return docs.select("doc_id", "text", F.struct("*").alias("__row"))

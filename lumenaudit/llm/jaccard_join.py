@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenaudit.llm.common import raw_bytes, release, shared_value, written
+from lumenaudit.llm.common import free_name, raw_bytes, release, shared_value, written
 from lumenaudit.llm.graph import components
 from lumenaudit.llm.hashing import A, B, mixed, signed, word_hashes
 from lumenaudit.llm.stars import ENTRY, shared_lists, stars
@@ -356,11 +356,12 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
 
     Rows count by a number of their own, so ids may be null or repeat: of a component the row with the least doc_id stays, one with a null id only where
     all its rows have null ids (so also where it is alone), and of rows with the same least id one, which isn't defined."""
-    rows = written(docs.withColumn("__number", F.monotonically_increasing_id()))
-    got = join(rows.select(F.col("__number").alias("doc_id"), "text"), **options).select(F.col("doc_id").alias("__number"), "component_id")
-    ranked = got.join(rows.select("__number", "doc_id"), "__number")
-    kept = ranked.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "__number")).alias("first")).select("first.__number")
-    return rows.join(kept, "__number", "left_semi").select(*docs.columns)
+    number = free_name(docs, "__number")
+    rows = written(docs.withColumn(number, F.monotonically_increasing_id()))
+    got = join(rows.select(F.col(number).alias("doc_id"), "text"), **options).select(F.col("doc_id").alias(number), F.col("component_id").alias("component"))
+    ranked = got.join(rows.select(number, "doc_id"), number)
+    kept = ranked.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.col(number).alias("row"))).alias("first")).select(F.col("first.row").alias(number))
+    return rows.join(kept, number, "left_semi").drop(number)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenaudit.llm.common import columns, map_slices, release, shared_value, written
+from lumenaudit.llm.common import columns, free_name, map_slices, release, shared_value, written
 
 KINDS = ("email", "ip", "card", "phone", "id")
 ORDER = {k: n for n, k in enumerate(KINDS)}
@@ -44,8 +44,6 @@ Span = tuple[str, int, int]
 KEPT_WORDS = 500_000
 #: Patterns that the driver and a worker hold at a time.
 MOST_PATTERNS = 500_000
-#: Column of the ``id`` spans that earlier blocks of patterns found.
-KNOWN = "__known"
 
 
 class Patterns:
@@ -251,43 +249,44 @@ def all_spans(text: str | None, patterns: set[str], last: set[str], known: list[
     return base, ordered([*base, *extra.union(known)])
 
 
-def searched(cols: dict, state: tuple) -> list[tuple[list[Span], list[Span]]]:
-    """``all_spans`` of each row of a slice."""
-    known = cols[KNOWN].to_pylist() if KNOWN in cols else [None] * len(cols["text"])
+def searched(cols: dict, state: tuple, noted: str | None) -> list[tuple[list[Span], list[Span]]]:
+    """``all_spans`` of each row of a slice; the column ``noted``, if any, holds what other blocks of patterns announce."""
+    known = cols[noted].to_pylist() if noted else [None] * len(cols["text"])
     return [all_spans(t, *state, [("id", *map(int, k.split(":"))) for k in ks.split(",")] if ks else []) for t, ks in zip(cols["text"].to_pylist(), known, strict=True)]
 
 
-def _to_last_block(docs: DataFrame, patterns: Patterns | Iterable[str]) -> tuple[DataFrame, list[str]]:
-    """The rows with what all blocks of patterns but the last announce (in ``KNOWN``, if there is more than one), and the last block."""
+def _to_last_block(docs: DataFrame, patterns: Patterns | Iterable[str]) -> tuple[DataFrame, list[str], str | None]:
+    """The rows with what all blocks of patterns but the last announce, the last block, and the name of the column that holds what the others announce (None if there is one block)."""
     if not isinstance(patterns, Patterns):
-        return docs, list(patterns)
+        return docs, list(patterns), None
     last: list[str] = []
     stored: list[DataFrame] = []
+    noted, name = None, free_name(docs, "__known")
     for k, block in enumerate(patterns.blocks()):
         if k:
-            docs = written(_noted(docs, last))
+            docs = written(_noted(docs, last, noted, name))
             release(*stored)
-            stored = [docs]
+            stored, noted = [docs], name
         last = block
-    return docs, last
+    return docs, last, noted
 
 
-def _noted(docs: DataFrame, block: list[str]) -> DataFrame:
-    names = [c for c in docs.columns if c != KNOWN]
+def _noted(docs: DataFrame, block: list[str], noted: str | None, name: str) -> DataFrame:
+    names = [c for c in docs.columns if c != noted]
 
     def run(cols: dict, state: tuple) -> dict:
-        return {c: cols[c] for c in names} | {KNOWN: [",".join(f"{a}:{b}" for k, a, b in spans if k == "id") for _, spans in searched(cols, state)]}
+        return {c: cols[c] for c in names} | {name: [",".join(f"{a}:{b}" for k, a, b in spans if k == "id") for _, spans in searched(cols, state, noted)]}
 
-    return map_slices(docs, run, columns(docs, names, f"{KNOWN} string")[1], setup=sent(docs, block))
+    return map_slices(docs, run, columns(docs, names, f"{name} string")[1], setup=sent(docs, block))
 
 
 def find(docs: DataFrame, keep: list[str], patterns: Patterns | Iterable[str]) -> DataFrame:
     """``keep`` columns, ``base`` and ``spans`` (as ``kind:start:end``, comma-joined) of every row."""
     keep, ddl = columns(docs, keep, "base string, spans string, " + ", ".join(f"n_{k} long" for k in KINDS[:4]))
-    docs, block = _to_last_block(docs.select(*dict.fromkeys([*keep, "text"])), patterns)
+    docs, block, noted = _to_last_block(docs.select(*dict.fromkeys([*keep, "text"])), patterns)
 
     def run(cols: dict, state: tuple) -> dict:
-        got = searched(cols, state)
+        got = searched(cols, state, noted)
         return {c: cols[c] for c in keep} | {"base": [spelled(b) for b, _ in got], "spans": [spelled(s) for _, s in got]} | {
             f"n_{k}": pa.array([sum(s[0] == k for s in b) for b, _ in got], pa.int64()) for k in KINDS[:4]
         }
@@ -312,10 +311,10 @@ def masked(text: str, spans: list[Span]) -> str:
 def mask(docs: DataFrame, patterns: Patterns | Iterable[str]) -> DataFrame:
     """All columns of ``docs``, with personal data in ``text`` replaced; a column ``n_chars`` is set to the new length."""
     names, schema = docs.columns, docs.schema
-    docs, block = _to_last_block(docs, patterns)
+    docs, block, noted = _to_last_block(docs, patterns)
 
     def run(cols: dict, state: tuple) -> dict:
-        texts = [t and masked(t, spans) for t, (_, spans) in zip(cols["text"].to_pylist(), searched(cols, state), strict=True)]
+        texts = [t and masked(t, spans) for t, (_, spans) in zip(cols["text"].to_pylist(), searched(cols, state, noted), strict=True)]
         return {c: texts if c == "text" else cols[c] for c in names}
 
     out = map_slices(docs, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), setup=sent(docs, block))

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenaudit.llm.common import columns, map_slices, raw_bytes, release, written
+from lumenaudit.llm.common import columns, free_name, map_slices, raw_bytes, release, written
 from lumenaudit.llm.hashing import A, B, C, mixed, signed
 from lumenaudit.llm.stars import ENTRY, shared_lists, stars
 
@@ -377,12 +377,13 @@ def deduplicate(docs: DataFrame, keep: list[str]) -> DataFrame:
     """``keep`` columns, ``n_bytes``, ``removed`` (array of runs ``start, end`` in bytes) and ``kept`` (the remaining bytes) of every row."""
     found = removals(docs.select("doc_id", "text"))
     keep, ddl = columns(docs, keep, "n_bytes long, removed array<struct<start:long,end:long>>, kept binary")
-    rows = docs.select(*dict.fromkeys([*keep, "doc_id", "text"])).withColumn("__th", F.xxhash64("text"))
-    joined = rows.join(found.select(F.col("doc_id").alias("__id"), F.col("th").alias("__t"), "spans").hint("shuffle_hash"), (F.col("doc_id") == F.col("__id")) & (F.col("__th") == F.col("__t")), "left")
+    th, own, other, mine = (free_name(docs, n) for n in ("__th", "__id", "__t", "__spans"))
+    rows = docs.select(*dict.fromkeys([*keep, "doc_id", "text"])).withColumn(th, F.xxhash64("text"))
+    joined = rows.join(found.select(F.col("doc_id").alias(own), F.col("th").alias(other), F.col("spans").alias(mine)).hint("shuffle_hash"), (F.col("doc_id") == F.col(own)) & (F.col(th) == F.col(other)), "left")
 
     def run(cols: dict) -> dict:
         texts = [t or b"" for t in raw_bytes(cols["text"])]
-        spans = cols["spans"]
+        spans = cols[mine]
         flat = spans.flatten()
         pos, n, flags = (flat.field(k) for k in range(3))
         pos, n, flags = pos.to_numpy().astype(np.int64), n.to_numpy().astype(np.int64), flags.to_pylist()
@@ -397,7 +398,7 @@ def deduplicate(docs: DataFrame, keep: list[str]) -> DataFrame:
             rest.append(b"".join([*parts, t[end:]]))
         return {c: cols[c] for c in keep} | {"n_bytes": [len(t) for t in texts], "removed": [[{"start": a, "end": b} for a, b in r] for r in runs], "kept": rest}
 
-    return map_slices(joined.select(*dict.fromkeys([*keep, "text"]), "spans"), run, ddl, rows=256)
+    return map_slices(joined.select(*dict.fromkeys([*keep, "text"]), mine), run, ddl, rows=256)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -272,3 +272,24 @@ def test_join_hot(spark):
     counts = left.groupBy("k").agg(F.count("*").alias("n"))
     got, want = join_hot(left, right, "k", counts), left.join(right, "k")
     assert got.count() == want.count() > 20_000 and got.exceptAll(want).count() == 0
+
+
+# --- columns of users with the names that operators use
+
+
+@pytest.mark.parametrize("name", ["__known", "__number", "__th", "__id", "__t", "__spans", "__row", "spans", "row", "keep", "th", "base", "component_id", "cls"])
+def test_columns_named_like_internal_ones_survive(spark, name):
+    from lumenaudit.llm import jaccard_join, pii, suffix_dedup
+
+    texts = ["one two three four five six seven", "one two three four five six seven", "mail bob@mail.example.com now", None, "x" * 120, "x" * 120]
+    df = spark.createDataFrame([(n, t, f"mine {n}") for n, t in enumerate(texts)], f"doc_id long, text string, `{name}` string")
+    own = {n: f"mine {n}" for n in range(len(texts))}
+    masked = pii.mask(df, ["token ="])
+    assert {r.doc_id: r[name] for r in masked.collect()} == own and masked.columns == df.columns
+    assert {r.doc_id: r[name] for r in line_dedup.drop_lines(df).collect()} == own
+    if name not in ("base", "spans"):  # these give way to the operator's own columns, as documented
+        assert {r.doc_id: r[name] for r in pii.find(df, ["doc_id", name], ["token ="]).collect()} == own
+    assert {r.doc_id: r[name] for r in suffix_dedup.deduplicate(df, ["doc_id", name]).collect()} == own
+    if name in ("__number", "component_id", "cls"):
+        kept = jaccard_join.keep_one(df)
+        assert kept.columns == df.columns and all(r[name] == own[r.doc_id] for r in kept.collect()) and kept.count() == 4
