@@ -64,9 +64,18 @@ def access(files: DataFrame, requests: DataFrame) -> DataFrame:
     named = asked.select("site_id", "bot").distinct().join(tokens, "site_id").where((F.col("agent") == "*") | F.startswith(F.lower("bot"), F.col("agent")))
     length = F.when(F.col("agent") == "*", F.lit(-1)).otherwise(F.length("agent"))
     best = named.withColumn("n", length).withColumn("top", F.max("n").over(Window.partitionBy("site_id", "bot"))).where("n = top").select("site_id", "bot", "grp").distinct()
-    applied = asked.join(best, ["site_id", "bot"]).join(parsed.where("path IS NOT NULL").select("site_id", "grp", "type", F.col("path").alias("rule")), ["site_id", "grp"])
-    pattern = normal_pattern(F.col("rule"), F.coalesce("origin", F.lit("")))
-    hit = applied.withColumn("pattern", pattern).where("pattern <> ''").withColumn("regex", pattern_regex(F.col("pattern"))).where(F.rlike("path", F.col("regex")))
+    # rules by the letters before their first wildcard; a path meets only those that begin as it does
+    origins = asked.select("site_id", "origin").distinct()
+    index = parsed.where("path IS NOT NULL").select("site_id", "grp", "type", F.col("path").alias("rule")).join(origins, "site_id")
+    index = index.withColumn("pattern", normal_pattern(F.col("rule"), F.coalesce("origin", F.lit("")))).where("pattern <> ''").withColumn("prefix", F.regexp_extract("pattern", "^[^*$]*", 0)).drop("rule").distinct()
+    by = ["site_id", "grp", "origin"]
+    lengths = index.groupBy(*by).agg(F.collect_set(F.length("prefix")).alias("lengths")).alias("l")
+    asking = asked.join(best, ["site_id", "bot"]).alias("a")
+    same = lambda x, y, names: [F.col(f"{x}.{n}").eqNullSafe(F.col(f"{y}.{n}")) if n == "origin" else F.col(f"{x}.{n}") == F.col(f"{y}.{n}") for n in names]
+    begun = asking.join(lengths, same("a", "l", by)).select("a.*", F.explode(F.filter("lengths", lambda n: n <= F.length("path"))).alias("n")).withColumn("prefix", F.substring("path", F.lit(1), F.col("n"))).alias("b")
+    applied = begun.join(index.alias("i"), same("b", "i", [*by, "prefix"])).select("b.*", "i.type", "i.pattern")
+    plain = ~F.col("pattern").rlike("[*$]")
+    hit = applied.where(plain | F.rlike("path", pattern_regex(F.col("pattern"))))
     won = hit.groupBy("site_id", "bot", "path").agg(F.max(F.struct(specificity(F.col("pattern")).alias("s"), (F.col("type") == "allow").alias("allow"))).alias("w"))
     return asked.join(won, ["site_id", "bot", "path"], "left").select("site_id", "bot", "path", F.coalesce("w.allow", F.lit(True)).alias("allowed"))
 

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from lumenaudit.functions import text as tx
 from lumenaudit.functions import urls
-from lumenaudit.operators import frontier, tasks
+from lumenaudit.operators import frontier, redirects, tasks
 from lumenaudit.operators.scoring import CATEGORIES, ORDER, VERTICALS
 from lumenaudit.plans import audit as whole
-from lumenaudit.plans.registry import DOMAIN, ORACLES, c, page_links_same_site, query
+from lumenaudit.plans.registry import DOMAIN, ORACLES, c, page_links_same_site, plan_pages, query
 from lumenaudit.plans.report_queries import FOUND_SQL, POINTS, VARIED, scored
 from lumenaudit.sources.storage import shared_folder
 from lumenaudit.sources.tables import table
@@ -156,3 +156,43 @@ def byte_limited(spark: SparkSession, sf: str) -> DataFrame:
     kept = tx.cut_bytes(c("text"), 100)
     tail = F.when(kept.endswith("�") & ~F.contains("text", F.lit("�")), F.lit(100)).otherwise(F.octet_length(kept))
     return table(spark, sf, "documents").select("doc_id", tail.alias("bytes"), (F.octet_length("text") > 100).alias("cut"))
+
+
+# customers' keys as URLs: chains of eight, some that loop, ends without location, and locations out of the snapshot
+HOPS_SQL = """SELECT c_custkey AS k, 'https://e.com/' || c_custkey AS url, CASE WHEN c_custkey % 8 = 0 AND c_custkey % 3 > 0 THEN 200 WHEN c_custkey % 11 = 5 THEN 404 ELSE 302 END AS status,
+CASE WHEN c_custkey % 8 = 0 AND c_custkey % 3 > 0 OR c_custkey % 11 = 5 OR c_custkey % 13 = 4 THEN NULL WHEN c_custkey % 8 = 0 THEN 'https://e.com/' || (c_custkey + 2) WHEN c_custkey % 17 = 6 THEN 'https://f.com/' || c_custkey ELSE 'https://e.com/' || (c_custkey - 1) END AS goes FROM customer"""
+FOLLOWED_SQL = f"""WITH RECURSIVE a AS ({HOPS_SQL}), r AS (SELECT url, url AS here, 0 AS hops FROM a UNION ALL SELECT r.url, a.goes, hops + 1 FROM r JOIN a ON a.url = r.here WHERE a.goes IS NOT NULL AND hops < 5),
+l AS (SELECT url, here, hops FROM r QUALIFY row_number() OVER (PARTITION BY url ORDER BY hops DESC) = 1), f AS (SELECT l.url, l.here AS final_url, hops::INT AS hops, coalesce(a.status, 0)::INT AS status, a.goes, coalesce(a.status, 0) = 200 AS ok FROM l LEFT JOIN a ON a.url = l.here)"""
+
+
+def answers(spark: SparkSession, sf: str) -> DataFrame:
+    k = c("c_custkey")
+    end = (k % 8 == 0) & (k % 3 > 0)
+    status = F.when(end, 200).when(k % 11 == 5, 404).otherwise(302)
+    goes = F.when(end | (k % 11 == 5) | (k % 13 == 4), None).when(k % 8 == 0, F.concat(F.lit("../"), k + 2)).when(k % 17 == 6, F.concat(F.lit("//F.com:443/x/../"), k)).otherwise(F.concat(F.lit("./"), k - 1, F.lit("#x")))
+    return table(spark, sf, "customer").select(F.concat(F.lit("https://e.com/"), k).alias("url"), status.alias("status"), goes.alias("location"))
+
+
+@query(FOLLOWED_SQL + """ SELECT url, final_url, hops, status, ok, CASE WHEN goes IS NOT NULL THEN 'Too many redirects' WHEN status = 302 THEN 'Redirect without Location header' WHEN status = 0 THEN 'Not in the snapshot' END AS error FROM f""")
+def redirects_followed(spark: SparkSession, sf: str) -> DataFrame:
+    return redirects.followed(answers(spark, sf))
+
+
+@query(FOLLOWED_SQL + " SELECT final_url, count(*) AS urls, min(url) AS first_url FROM f WHERE ok GROUP BY 1 HAVING count(*) > 1")
+def redirects_same_end(spark: SparkSession, sf: str) -> DataFrame:
+    return redirects.same_end(redirects.followed(answers(spark, sf)))
+
+
+PAGE_TASKS_SQL = ORACLES["page_plan"].replace("SELECT site_id, page_id, n::INT AS n_tasks", "SELECT site_id, n, thin::INT + CASE WHEN u THEN 0 ELSE 1 END AS high").replace("greatest(0, r)::INT AS readiness, CASE WHEN thin OR NOT u THEN 'High' ELSE 'Medium' END AS priority, ", "")
+
+
+@query(f"""WITH g AS ({ORACLES["general_tasks_dedupe"]}), c AS ({ORACLES["category_tasks_topk"]}), p AS ({PAGE_TASKS_SQL}),
+e AS (SELECT site_id, 1 AS n, (impact = 'High')::INT AS high FROM g WHERE ord < 14 UNION ALL SELECT site_id, 1, (impact = 'High')::INT FROM c UNION ALL SELECT site_id, n, high FROM p)
+SELECT site_id, sum(n)::BIGINT AS total_tasks, sum(high)::BIGINT AS high_impact_tasks FROM e GROUP BY 1""")
+def action_plan_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """All three parts of the plan together: general and category tasks of the customers' sites, page plans of the snapshot's."""
+    s = scored(spark, sf)
+    row = "struct<phase_no:int,phase:string,title:string,action_no:int,action:string>"
+    actions = F.expr(f"CAST(array(struct(0, 'Now', 'Fix', 0, 'Do it'), struct(0, 'Now', 'fix', 1, 'do IT'), struct(2, '', '', 0, 'Later')) AS array<{row}>)")
+    roadmap = s.where("k % 2 = 0").select("site_id", F.explode(actions).alias("a")).select("site_id", "a.*")
+    return tasks.plan_totals(tasks.general_tasks(s, roadmap), tasks.category_tasks(s), tasks.page_plans(plan_pages(spark, sf)))

@@ -165,17 +165,18 @@ def site_home_page(spark: SparkSession, sf: str) -> DataFrame:
     return home_page(p).select("site_id", c("home.page_id").alias("page_id"))
 
 
-ROBOTS = "# audit\nUser-agent: Googlebot\nUser-Agent: GPTBot # two\nDisallow: /private\nSitemap: https://e.com/s.xml\nAllow: /private/ok\nCrawl-delay: 5\nUser-agent: *\nDisallow:\nDisallow: /*.pdf$\nDisallow: /search*results\n"
-
-
-@query(f"""WITH l AS (SELECT generate_subscripts(a, 1) AS line, unnest(a) AS raw FROM (SELECT string_split('{ROBOTS}', chr(10)) AS a)),
-k AS (SELECT line - 1 AS line, lower(trim(split_part(t, ':', 1))) AS key, trim(substr(t, instr(t, ':') + 1)) AS value FROM (SELECT line, trim(regexp_replace(raw, '#.*$', '')) AS t FROM l) WHERE instr(t, ':') > 0),
-g AS (SELECT *, CASE WHEN key = 'user-agent' AND coalesce(lag(key) OVER (ORDER BY line), '') <> 'user-agent' THEN 1 ELSE 0 END AS s FROM k WHERE key <> 'sitemap'),
-n AS (SELECT *, sum(s) OVER (ORDER BY line) AS grp FROM g), a AS (SELECT grp, string_agg(lower(value), ',' ORDER BY lower(value)) AS agents FROM n WHERE key = 'user-agent' GROUP BY grp)
-SELECT grp::INT AS grp, agents, line::INT AS line, key AS type, value AS path FROM n JOIN a USING (grp) WHERE key IN ('allow', 'disallow') AND value <> ''""")
+# a robots.txt for each customer: its segment's and its nation's agents share a group, comments, a sitemap between agents, an empty rule
+@query("""WITH k AS (SELECT c_custkey AS site_id, lower(c_mktsegment) AS seg, c_nationkey AS n FROM customer), g AS (SELECT site_id, 1 AS grp, array_to_string(list_sort(list_distinct([seg, 'bot' || n])), ',') AS agents FROM k UNION ALL SELECT site_id, 2, '*' FROM k)
+SELECT site_id, 0 AS grp, '*' AS agents, 1 AS line, 'disallow' AS type, '/early' AS path FROM k WHERE site_id % 3 = 0 UNION ALL
+SELECT site_id, grp, agents, 5, 'disallow', '/private' || site_id FROM g WHERE grp = 1 UNION ALL SELECT site_id, grp, agents, 7, 'allow', '/private' || site_id || '/ok' FROM g WHERE grp = 1 UNION ALL SELECT site_id, grp, agents, 11, 'disallow', '/*.pdf$' FROM g WHERE grp = 2""")
 def robots_parse(spark: SparkSession, sf: str) -> DataFrame:
-    files = spark.createDataFrame([("e.com", ROBOTS)], "site_id string, body string")
-    return robots.rules(files).where("path IS NOT NULL").select("grp", F.array_join("agents", ",").alias("agents"), "line", "type", "path")
+    k = c("c_custkey").cast("string")
+    lines_ = [
+        F.lit("# audit"), F.when(c("c_custkey") % 3 == 0, "Disallow: /early").otherwise(""), F.concat(F.lit("User-agent: "), "c_mktsegment"), F.lit("Sitemap: https://e.com/s.xml"), F.concat(F.lit("USER-AGENT: Bot"), c("c_nationkey"), F.lit(" # two")),
+        F.concat(F.lit("Disallow: /private"), k), F.lit("Crawl-delay: 5"), F.concat(F.lit(" allow :/private"), k, F.lit("/ok")), F.lit("nothing"), F.lit("User-agent: *"), F.lit("Disallow:"), F.lit("Disallow: /*.pdf$"),
+    ]
+    files = table(spark, sf, "customer").select(c("c_custkey").alias("site_id"), F.concat_ws("\n", *lines_).alias("body"))
+    return robots.rules(files).where("path IS NOT NULL").select("site_id", "grp", F.array_join("agents", ",").alias("agents"), "line", "type", "path")
 
 
 RULES = (("*", "disallow", "/fr/", "^/fr/"), ("*", "allow", "/fr/*5", "^/fr/.*5"), ("googlebot", "disallow", "/*2$", "^/.*2$"), ("googlebot", "allow", "/en", "^/en"))
@@ -188,17 +189,31 @@ SELECT bot, path, coalesce(type, 'allow') = 'allow' AS allowed FROM (SELECT bot,
 def robots_access_matrix(spark: SparkSession, sf: str) -> DataFrame:
     body = "\n".join([f"User-agent: *\n{RULES[0][1]}: {RULES[0][2]}\n{RULES[1][1]}: {RULES[1][2]}", f"User-agent: Googlebot\n{RULES[2][1]}: {RULES[2][2]}\n{RULES[3][1]}: {RULES[3][2]}"])
     files = spark.createDataFrame([("s", body)], "site_id string, body string")
-    bots = spark.createDataFrame([("Googlebot",), ("ClaudeBot",)], "bot string")
-    asked = table(spark, sf, "pages").select(urls.path(c("url")).alias("path")).distinct().withColumns({"site_id": F.lit("s"), "origin": F.lit(""), "bot": F.explode(F.array(*(F.lit(r.bot) for r in bots.collect())))})
+    asked = table(spark, sf, "pages").select(urls.path(c("url")).alias("path")).distinct().withColumns({"site_id": F.lit("s"), "origin": F.lit(""), "bot": F.explode(F.array(F.lit("Googlebot"), F.lit("ClaudeBot")))})
     return robots.access(files, asked).select("bot", "path", "allowed")
 
 
-@query("SELECT * FROM (VALUES ('ChatGPT-User', true, 'ChatGPT-User: allowed at /'), ('Claude-SearchBot', false, 'Claude-SearchBot: blocked at /'), ('ClaudeBot', false, 'ClaudeBot: blocked at /'), ('GPTBot', true, 'GPTBot: allowed at /'), "
-       "('Google-Extended', true, 'Google-Extended: allowed at /'), ('Googlebot', true, 'Googlebot: allowed at /'), ('OAI-SearchBot', false, 'OAI-SearchBot: blocked at /'), ('PerplexityBot', true, 'PerplexityBot: allowed at /')) t(bot, allowed, evidence)")
+# customers' files: every second names a bot's beginning, every third all bots, every fifth takes it back for the root
+@query("""WITH b(bot) AS (VALUES ('ChatGPT-User'), ('Claude-SearchBot'), ('ClaudeBot'), ('GPTBot'), ('Google-Extended'), ('Googlebot'), ('OAI-SearchBot'), ('PerplexityBot')), k AS (SELECT c_custkey AS k FROM customer),
+a AS (SELECT k AS site_id, bot, CASE WHEN k % 2 = 0 AND bot LIKE 'Claude%' THEN false WHEN k % 7 = 0 AND bot LIKE 'Google%' THEN true WHEN k % 3 = 0 THEN k % 5 = 0 ELSE true END AS allowed FROM k, b)
+SELECT site_id, bot, allowed, bot || CASE WHEN allowed THEN ': allowed at /' ELSE ': blocked at /' END AS evidence FROM a""")
 def robots_bot_access(spark: SparkSession, sf: str) -> DataFrame:
-    body = "User-agent: Claude\nDisallow: /\n\nUser-agent: OAI-SearchBot\nDisallow: https://e.com/\n\nUser-agent: Google\nAllow: /\nDisallow: /\n"
-    files = spark.createDataFrame([("e.com", "https://e.com", body)], "site_id string, origin string, body string")
-    return robots.bot_access(files).select(F.explode("bots").alias("bot", "v")).select("bot", "v.allowed", "v.evidence")
+    k = c("c_custkey")
+    body = F.concat_ws("\n\n", F.when(k % 2 == 0, "User-agent: Claude\nDisallow: https://e.com/"), F.when(k % 7 == 0, "User-agent: Google\nAllow: /\nDisallow: /"), F.when(k % 3 == 0, F.concat(F.lit("User-agent: *\nDisallow: /"), F.when(k % 5 == 0, "\nAllow: /").otherwise(""))))
+    files = table(spark, sf, "customer").select(k.alias("site_id"), F.lit("https://e.com").alias("origin"), body.alias("body"))
+    return robots.bot_access(files).select("site_id", F.explode("bots").alias("bot", "v")).select("site_id", "bot", "v.allowed", "v.evidence")
+
+
+# robots.txt of the snapshot's hosts, each with a rule for every one of its first pages, and wildcards
+@query(f"""WITH p AS (SELECT page_id, {DOMAIN} AS site_id, {PATH} AS path FROM pages), f AS (SELECT site_id, path FROM p WHERE page_id % 3 = 0), u AS (SELECT DISTINCT site_id, path FROM p),
+m AS (SELECT u.site_id, u.path, 'disallow' AS type, length(f.path) AS n FROM u JOIN f ON f.site_id = u.site_id AND starts_with(u.path, f.path) UNION ALL SELECT site_id, path, 'allow', 6 FROM u WHERE regexp_matches(path, '^/.*2.*\\.html$') UNION ALL SELECT site_id, path, 'disallow', 4 FROM u WHERE path = '/en/' OR starts_with(path, '/en/')),
+w AS (SELECT site_id, path, type FROM m QUALIFY row_number() OVER (PARTITION BY site_id, path ORDER BY n DESC, type) = 1) SELECT site_id, path, coalesce(type, 'allow') = 'allow' AS allowed FROM u LEFT JOIN w USING (site_id, path)""")
+def robots_gate(spark: SparkSession, sf: str) -> DataFrame:
+    p = table(spark, sf, "pages").select("page_id", urls.domain(c("url")).alias("site_id"), urls.path(c("url")).alias("path"))
+    lines_ = F.array_join(F.array_sort(F.collect_list(F.when(c("page_id") % 3 == 0, F.concat(F.lit("Disallow: "), "path")))), "\n")
+    files = p.groupBy("site_id").agg(F.concat(F.lit("User-agent: *\nAllow: /*2*.html$\nDisallow: /en/\n"), lines_).alias("body"))
+    asked = p.select("site_id", "path").distinct().withColumns({"bot": F.lit("AuditBot"), "origin": F.lit("")})
+    return robots.access(files, asked).select("site_id", "path", "allowed")
 
 
 @query(f"SELECT DISTINCT {DOMAIN} AS site_id, false AS is_index, url AS loc FROM pages")
@@ -252,13 +267,14 @@ def site_findings(spark: SparkSession, sf: str) -> DataFrame:
     return exploded(with_findings(score_sites(example_sites(spark, sf)))).select("site_id", "ord", "id", "severity", "score_impact", "evidence")
 
 
-@query(f"""WITH s AS ({ORACLES['site_seo_summary']}), p AS (SELECT site_id, lead(site_id) OVER (ORDER BY site_id) AS other FROM s),
+@query(f"""WITH s AS ({ORACLES['site_seo_summary']}), p AS (SELECT site_id, nullif(min(site_id) OVER (), site_id) AS other FROM s),
 j AS (SELECT p.site_id, p.other, a.page_count AS x, b.page_count AS y FROM p JOIN s a ON a.site_id = p.site_id LEFT JOIN s b ON b.site_id = p.other)
 SELECT site_id, coalesce(other, 'none') AS domain, CASE WHEN other IS NULL THEN 'The crawl returned no usable pages' END AS error, CASE WHEN other IS NOT NULL THEN 0 END AS score_diff,
 CASE WHEN y > x THEN 'FAQ pages: competitor has ' || y || ', audited site has ' || x ELSE '' END AS gaps, CASE WHEN x > y THEN 'FAQ pages: audited site has ' || x || ', competitor has ' || y ELSE '' END AS advantages FROM j""")
 def competitor_gaps(spark: SparkSession, sf: str) -> DataFrame:
     s = example_sites(spark, sf).withColumns({"faq_pages": c("page_count"), "aeo_geo": F.lit(90), "overall": F.lit(80)})
-    ids = s.select("site_id").withColumn("competitor_id", F.lead("site_id").over(Window.partitionBy(F.lit(0)).orderBy("site_id")))  # one row per site name of a small list
+    least = s.agg(F.min("site_id").alias("least"))  # one row
+    ids = s.select("site_id").crossJoin(F.broadcast(least)).select("site_id", F.nullif("least", c("site_id")).alias("competitor_id"))
     pairs = ids.select("site_id", "competitor_id", F.lit("").alias("name"), F.coalesce("competitor_id", F.lit("none")).alias("url"), F.lit(None).cast("string").alias("error"), F.lit(0).alias("ord"))
     return competitors.compare(pairs, s).select("site_id", "domain", "error", "score_diff", F.array_join("gaps", "|").alias("gaps"), F.array_join("advantages", "|").alias("advantages"))
 
@@ -383,20 +399,23 @@ def text_units(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", tx.js_length(c("text")).alias("units"), (F.octet_length("text") > 2000).alias("truncated"))
 
 
-GUARDED = (("http://localhost/", True), ("https://127.0.0.1:8080/x", True), ("http://10.0.0.5", True), ("http://192.168.1.1/", True), ("http://172.15.0.1/", False), ("http://172.31.9.9/", True), ("http://internal.local", True), ("http://[::1]/", True), ("https://example.com/", False), ("http://230.1.1.1/", True))
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{u}', {str(p).lower()})" for u, p in GUARDED) + ") t(url, private)")
+# customers' keys as addresses: of all first octets, of the second ones of 172 and 192, and names
+@query("""WITH k AS (SELECT c_custkey AS k, c_custkey % 256 AS a, c_custkey // 256 % 256 AS b FROM customer), u AS (
+SELECT k, 'http://' || a || '.' || b || '.3.4:8080/x' AS url, a IN (0, 10, 127) OR a >= 224 OR a = 169 AND b = 254 OR a = 172 AND b BETWEEN 16 AND 31 OR a = 192 AND b = 168 AS private FROM k UNION ALL SELECT k, 'https://172.' || a || '.1.' || b || '/', a BETWEEN 16 AND 31 FROM k UNION ALL
+SELECT k, 'https://192.' || a || '.1.2', a = 168 FROM k UNION ALL SELECT k, 'https://u@Printer' || k || '.LOCAL/', true FROM k UNION ALL SELECT k, 'http://local' || k || '.example/', false FROM k UNION ALL SELECT k, 'http://[fe80::' || a || ']/', true FROM k) SELECT k, url, private FROM u""")
 def url_private_guard(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame([(u,) for u, _ in GUARDED], "url string").select("url", F.coalesce(urls.is_private_host(c("url")), F.lit(False)).alias("private"))
-
-
-NORMAL = (("example.com", "https://example.com/"), ("http://Example.com/page#section", "http://example.com/page"), (" https://a.b/c?d=e#f ", "https://a.b/c?d=e"), ("ftp://a.b", None), ("", None))
+    k, a, b = c("c_custkey"), (c("c_custkey") % 256).cast("string"), (F.floor(c("c_custkey") / 256) % 256).cast("string")
+    made = [F.concat(F.lit("http://"), a, F.lit("."), b, F.lit(".3.4:8080/x")), F.concat(F.lit("https://172."), a, F.lit(".1."), b, F.lit("/")), F.concat(F.lit("https://192."), a, F.lit(".1.2")), F.concat(F.lit("https://u@Printer"), k, F.lit(".LOCAL/")), F.concat(F.lit("http://local"), k, F.lit(".example/")), F.concat(F.lit("http://[fe80::"), a, F.lit("]/"))]
+    return table(spark, sf, "customer").select(k.alias("k"), F.explode(F.array(*made)).alias("url")).select("k", "url", F.coalesce(urls.is_private_host(c("url")), F.lit(False)).alias("private"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', {f'{b!r}' if b else 'NULL'})" for a, b in NORMAL) + ") t(typed, url)")
+# pages' URLs as users type them: with white space around, without a scheme, with a fragment, or another scheme
+@query(f"""WITH q AS (SELECT page_id, lower(regexp_extract(url, '^(?i:https?://[^/?#]*)', 0)) AS o, {PATH} AS p, regexp_extract(url, '^[^?#]*(\\?[^#]*)', 1) AS r FROM pages)
+SELECT page_id, CASE page_id % 4 WHEN 3 THEN NULL WHEN 1 THEN regexp_replace(o, '^http:', 'https:') || p || r ELSE o || p || r END AS normalized FROM q""")
 def url_normalize(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame([(a,) for a, _ in NORMAL], "typed string").select("typed", urls.normalized(c("typed")).alias("url"))
+    k, u = c("page_id") % 4, c("url")
+    typed = F.when(k == 0, F.concat(F.lit("\t "), u, F.lit("\n"))).when(k == 1, F.regexp_replace(u, "^(?i)https?://", "")).when(k == 2, F.concat(F.regexp_replace(u, "#.*$", ""), F.lit("#part"))).otherwise(F.regexp_replace(u, "^(?i)https?:", "ftp:"))
+    return table(spark, sf, "pages").select("page_id", urls.normalized(typed).alias("normalized"))
 
 
 @query("""SELECT c_custkey, lower(trim(e)) AS prospect_email, nullif(trim(n), '') AS prospect_name, CASE WHEN a IS NULL THEN 'A valid audit is required' WHEN NOT regexp_matches(lower(trim(e)), '^[^\\s@]+@[^\\s@]+\\.[^\\s@]+$') THEN 'A valid email is required' END AS error

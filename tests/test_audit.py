@@ -318,3 +318,18 @@ def test_scalars(spark):
     row = spark.createDataFrame([("a b+c!~*'()\u00e9/", "aa\u00e9\u00e9", -1)], "t string, u string, ms long")
     got = row.select(tx.url_encode(F.col("t")), tx.cut_bytes(F.col("u"), 3), tx.cut_bytes(F.col("u"), 6), tx.iso_time(F.timestamp_millis("ms")), tx.iso_day(F.timestamp_millis("ms")), urls.absolute(F.lit("x?q=1"), F.lit("https://h.example")), urls.absolute(F.lit("//o.example/y/"), F.lit("https://h.example"))).first()
     assert tuple(got) == ("a%20b%2Bc!~*'()%C3%A9%2F", "aa\ufffd", "aa\u00e9\u00e9", "1969-12-31T23:59:59.999Z", "1969-12-31", "https://h.example/x?q=1", "https://o.example/y")
+
+
+def test_redirects(spark):
+    from lumenaudit.operators.redirects import followed, same_end
+
+    chain = [(f"https://e.com/{k}", 301, f"/{k + 1}") for k in range(8)] + [("https://e.com/8", 200, None)]
+    rows = [*chain, ("https://l.com/a", 302, "b"), ("https://l.com/b", 307, "./a"), ("https://l.com/self", 308, ""), ("https://n.com/", 302, None), ("https://o.com/", 303, "https://gone.com/x"), ("https://s.com/", 404, "/ignored"), ("https://s.com/", 404, "/ignored"), (None, 200, None), ("https://t.com/", None, None)]
+    got = {r.url: (r.final_url, r.hops, r.ok, r.error) for r in followed(spark.createDataFrame(rows, "url string, status int, location string").repartition(3)).collect()}
+    end = ("https://e.com/8", True, None)
+    for k in range(3, 9):
+        assert got[f"https://e.com/{k}"] == (end[0], 8 - k, *end[1:])
+    assert got["https://e.com/2"] == ("https://e.com/7", 5, False, "Too many redirects") and got["https://l.com/a"] == ("https://l.com/b", 5, False, "Too many redirects")
+    assert got["https://l.com/self"][3] == got["https://n.com/"][3] == "Redirect without Location header" and got["https://o.com/"] == ("https://gone.com/x", 1, False, "Not in the snapshot")
+    assert got["https://s.com/"] == ("https://s.com/", 0, False, None) and got["https://t.com/"][3] == "Not in the snapshot" and len(got) == 16
+    assert [tuple(r) for r in same_end(followed(spark.createDataFrame(rows, "url string, status int, location string"))).collect()] == [("https://e.com/8", 6, "https://e.com/3")]
