@@ -33,13 +33,13 @@ def landed(stream: DataFrame) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
-LINE = F.concat(F.lit('{"id":'), c("event_id").cast("string"), F.lit(',"said":"é€'), "event_type", F.lit('😀"}'))
 LINES_SQL = """SELECT user_id AS run_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS line, '{"id":' || event_id || ',"said":"é€' || event_type || '😀"}' AS value FROM events"""
 
 
 def event_chunks(spark: SparkSession, sf: str) -> DataFrame:
     """Each user's events as lines, sent in chunks that end within a line, mostly within one of its characters: ``run_id, seq, data, last``."""
-    e = table(spark, sf, "events").select(c("user_id").alias("run_id"), "event_id", LINE.cast("binary").alias("bytes"))
+    line = F.concat(F.lit('{"id":'), c("event_id").cast("string"), F.lit(',"said":"é€'), "event_type", F.lit('😀"}'))
+    e = table(spark, sf, "events").select(c("user_id").alias("run_id"), "event_id", line.cast("binary").alias("bytes"))
     cut = F.pmod(F.xxhash64("event_id"), F.octet_length("bytes")).cast("int")
     e = e.withColumn("cut", cut).select("run_id", "event_id", F.expr("substring(bytes, 1, cut)").alias("head"), F.expr("substring(bytes, cut + 1)").alias("tail"))
     order = Window.partitionBy("run_id").orderBy("event_id")
