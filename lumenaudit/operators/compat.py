@@ -69,11 +69,6 @@ def category(key: str) -> Column:
     return F.element_at(F.filter("categories", lambda k: k["key"] == key), 1)
 
 
-def bot_list(names: tuple[str, ...]) -> Column:
-    """``name: Allowed`` or ``name: Blocked`` of some crawlers; one that robots.txt doesn't name is allowed."""
-    return F.array(*(F.concat(F.lit(f"{n}: "), F.when(F.coalesce(c("bots")[n]["allowed"], F.lit(True)), "Allowed").otherwise("Blocked")) for n in names))
-
-
 def detailed_checks() -> Column:
     """The answer-engine categories with their status, details and advice."""
     one = lambda k: F.struct(
