@@ -1,16 +1,18 @@
 """Exact self-join of shingle sets by Jaccard similarity: a size-aware heavy-light join that yields classes and components.
 
 A set is the distinct 5-word shingles of a text (64-bit hashes of them); equal sets form a class, and only classes are joined. All sets share one order: frequent shingles
-(``df`` of at least ``heavy_share`` of the documents, found in a pass over all texts) last, else by hash. Two sets of similarity t share ``s`` elements among the first
-``n - ceil(t n) + s`` of each. Small sets enumerate all subsets of size 2 of that prefix, which few others have; large sets, and small ones that a
-large one may link with, enter inverted lists of their prefix's elements. The boundary minimises the cost of rows written against list
-entries scanned, over the sizes of all classes and the mean list length of all texts.
+(``df`` of at least ``heavy_share`` of the documents, found in a pass over all texts) last, else by hash. Of two sets that link at t = 0.8 the larger one has the first ``s`` common elements among its first ``n - ceil(t n) + s``, the smaller one
+already among its first ``n - ceil(2 t / (1 + t) n) + s``, its inner prefix. Small sets enumerate all subsets of size 2 of their prefix, which few others have; large sets, and small ones
+that a large one may link with, enter inverted lists of their prefix's elements. The boundary minimises the cost of rows written against list
+entries scanned, over the sizes of all classes and the mean list length of all texts. Only pairs with an inner entry in a list need a test: lists without one go, and texts of one template
+that have more elements of their own than a link allows are never an inner entry of the template's lists.
 
 The lists of near copies mostly agree: all lists with one least class, the hub, fold into a group of distinct classes, so that two classes that share hundreds of
-elements meet once and not once for each. Long groups are cut into blocks, which meet pair by pair. Within a block each class carries a sketch, the parities of its elements by bucket;
+elements meet once and not once for each. Classes with an inner entry meet all of their group, in blocks of some ten thousand where it is long. Each class carries a sketch, the parities of its elements by bucket;
 where two sketches differ in more bits than a link allows elements to differ, the pair can't link and is never a row. In the first turns each
-class of a block gives the one pair with the nearest class of another component, so a turn makes no more rows than it reads. These pairs are verified on the texts and the links'
-components labelled; last, all pairs across components that sketches don't rule out are verified. Pairs of one component need no test, as results tell components.
+class of a block gives the one pair with the nearest class of another component. These pairs are verified on the texts and the links'
+components labelled; last, all pairs across components that sketches don't rule out are verified. A class without a pair in its first turn has none later and leaves its groups.
+Pairs of one component need no test, as results tell components.
 
 Null and empty texts have empty sets and link with nothing; a row of them is a component of its own. Repeated rows are equal sets, also those of one doc_id; rows of one doc_id
 with different texts are sets of their own, each with its own class and component. A row with a null doc_id links like any other and so may
@@ -38,8 +40,12 @@ TABLE = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in ra
 NUMERATOR, DENOMINATOR = 4, 5  # similarity of 0.8 or more
 #: Sets of that many elements are large whatever they cost.
 MOST_SMALL = 400
-#: Classes of a group that meet in one task.
-BLOCK = 1024
+#: Classes of a block, and bytes of their sketches: two blocks meet in one task.
+BLOCK = 32_768
+BLOCK_BYTES = 16 << 20
+#: Entries of a list that meets its hub in all tasks, where lists hold no more than ``HOT_LISTS`` times as many in all.
+HOT_LIST = 1_000_000
+HOT_LISTS = 10_000
 #: Tasks that share a group's rows where they learn how many blocks it has.
 SALTS = 16
 
@@ -64,7 +70,8 @@ def shingle_sets(texts: list[bytes | None]) -> list[np.ndarray]:
 
 
 def set_hash(s: np.ndarray) -> int:
-    return xxhash.xxh64_intdigest(s.tobytes(), len(s)) - (1 << 63)
+    """An even number: an entry's last bit tells whether it is an inner one."""
+    return (xxhash.xxh64_intdigest(s.tobytes(), len(s)) & ~1) - (1 << 63)
 
 
 def sketch(s: np.ndarray) -> bytes:
@@ -133,20 +140,23 @@ def prefix(s: np.ndarray, heavy: np.ndarray, extra: int) -> np.ndarray:
     return s[:k]
 
 
-def signatures(s: np.ndarray, heavy: np.ndarray, boundary: int) -> np.ndarray:
-    """Signatures of a set: subsets of two for small sets, single elements for those that link with a large set."""
-    n, out = len(s), []
+def signatures(s: np.ndarray, heavy: np.ndarray, boundary: int) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of a set, subsets of two for small sets and single elements for those that link with a large set, and which of them lie in its inner prefix."""
+    n, out, inner = len(s), [], []
+    within = n * (DENOMINATOR - NUMERATOR) // (NUMERATOR + DENOMINATOR)
     if n <= boundary and n >= NUMERATOR:
         p = prefix(s, heavy, 2)
         i, j = np.triu_indices(len(p), 1)
         out.append(mixed(p[i] * A + p[j] * B))
+        inner.append(j < within + 2)
     if n * DENOMINATOR >= NUMERATOR * (boundary + 1) and n >= NUMERATOR:
         out.append(mixed(prefix(s, heavy, 1)))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+        inner.append(np.arange(len(out[-1])) < within + 1)
+    return (np.concatenate(out), np.concatenate(inner)) if out else (np.zeros(0, np.uint64), np.zeros(0, bool))
 
 
 def _entries(docs: DataFrame, heavy: np.ndarray, boundary: int) -> DataFrame:
-    """The entries of the inverted lists."""
+    """The entries of the inverted lists; a member is its class, plus 1 for an inner entry."""
     sent = shared_value(docs.sparkSession, heavy)
 
     def run(batches):
@@ -154,10 +164,10 @@ def _entries(docs: DataFrame, heavy: np.ndarray, boundary: int) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 for s in shingle_sets(raw_bytes(batch.slice(at, 256).column(0))):
-                    g = signatures(s, frequent, boundary)
+                    g, inner = signatures(s, frequent, boundary)
                     if len(g):
                         sigs.append(g)
-                        classes.append(np.full(len(g), set_hash(s), np.int64))
+                        classes.append(set_hash(s) + inner.astype(np.int64))
                         held += len(g)
                 if held > 3_000_000:
                     yield from stars(np.concatenate(sigs), np.concatenate(classes))
@@ -169,20 +179,25 @@ def _entries(docs: DataFrame, heavy: np.ndarray, boundary: int) -> DataFrame:
 
 
 def _groups(lists: DataFrame) -> DataFrame:
-    """``(hub, cls)``: the distinct classes of all lists whose least class is the hub."""
-    hubs = lists.groupBy("sig").agg(F.min("pivot").alias("hub"))
-    return lists.join(hubs, "sig").select("hub", F.col("member").alias("cls")).distinct()
+    """``(hub, cls, inner)``: the distinct classes of all lists with an inner entry whose least class is the hub, and whether one of their entries is an inner one."""
+    even = lambda c: F.col(c).bitwiseAND(F.lit(-2))
+    hubs = written(lists.groupBy("sig").agg(F.min(even("pivot")).alias("hub"), F.max(F.col("member").bitwiseAND(F.lit(1))).alias("any"), F.count("*").alias("entries")))
+    hot = hubs.where(F.col("entries") >= max(HOT_LIST, (hubs.agg(F.sum("entries")).first()[0] or 0) // HOT_LISTS))
+    if hot.limit(1).count():  # at most HOT_LISTS rows
+        apart = lists.join(F.broadcast(hot), "sig", "left_anti").join(hubs, "sig")
+        met = apart.unionByName(lists.join(F.broadcast(hot), "sig"))
+    else:
+        met = lists.join(hubs, "sig")
+    met = met.where("any = 1").select("hub", even("member").alias("cls"), F.col("member").bitwiseAND(F.lit(1)).alias("inner"))
+    out = met.groupBy("hub", "cls").agg((F.max("inner") == 1).alias("inner"))
+    out._release = hubs
+    return out
 
 
-def _pairs(groups: DataFrame, classes: DataFrame, labels: DataFrame | None, nearest: bool, block: int = BLOCK) -> DataFrame:
-    """Distinct pairs ``(a, b)`` of classes of one group and different components whose sizes and sketches allow a link: all of them, or for each class of a block the nearest one."""
-    named = groups.join(labels.select(F.col("node").alias("cls"), "component"), "cls", "left") if labels is not None else groups.withColumn("component", F.lit(None).cast("long"))
-    named = named.withColumn("component", F.coalesce("component", "cls"))
-    open_ = named.groupBy("hub").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("m")).where("x < y").select("hub", F.ceil(F.col("m") / block).cast("int").alias("cuts"))
-    salted = open_.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # a long group meets its row in several tasks
-    rows = named.withColumn("salt", F.pmod(F.xxhash64("cls", F.lit(1)), F.lit(SALTS)).cast("int")).join(salted, ["hub", "salt"]).withColumn("own", F.pmod(F.xxhash64("cls"), "cuts").cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).join(classes.select("cls", "n", "sketch"), "cls")
-    rows = rows.select("hub", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "cls", "component", "n", "sketch")
+def _pairs(groups: DataFrame, classes: DataFrame, labels: DataFrame | None, nearest: bool) -> DataFrame:
+    """Distinct pairs ``(a, b)`` of classes of one group and different components, one of them with an inner entry, whose sizes and sketches allow a link: all of them, or for each
+    class of a block the nearest one."""
+    rows = _cells(groups, classes, labels)
 
     def run(batches):
         rest = None
@@ -202,12 +217,12 @@ def _pairs(groups: DataFrame, classes: DataFrame, labels: DataFrame | None, near
 
     def settle(table, cuts):
         found = []
-        own, cls, comp, n = (table.column(k).to_numpy() for k in range(3, 7))
-        sketches = table.column(7).combine_chunks()
-        within = table.column(1).to_numpy() == table.column(2).to_numpy()
+        cls, comp, n = (table.column(k).to_numpy() for k in range(3, 6))
+        left, right = (table.column(k).to_numpy(zero_copy_only=False) for k in (6, 7))
+        sketches = table.column(8).combine_chunks()
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            if b - a > 1:
-                i, j = near(comp[a:b], n[a:b].astype(np.int64), sketches[a:b].to_pylist(), None if within[a] else own[a:b], nearest)
+            if b - a > 1 and left[a:b].any():
+                i, j = near(comp[a:b], n[a:b].astype(np.int64), sketches[a:b].to_pylist(), left[a:b], right[a:b], nearest)
                 found.append((cls[a:b][i], cls[a:b][j]))
         if found:
             a, b = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -216,11 +231,28 @@ def _pairs(groups: DataFrame, classes: DataFrame, labels: DataFrame | None, near
     return rows.repartition("hub", "p", "q").sortWithinPartitions("hub", "p", "q").mapInArrow(run, "a long, b long").distinct()
 
 
-def near(comp: np.ndarray, n: np.ndarray, sketches: list[bytes], own: np.ndarray | None, nearest: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Places of pairs of different components, and different ``own`` where given, that sizes and sketches don't rule out. ``nearest``: for each place one with the fewest
+def _cells(groups: DataFrame, classes: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The rows of the groups ``(hub, cls, inner, n)`` that span components, with their sketches, by cell: in cell ``(p, q)`` block p of the inner classes meets block q of all."""
+    named = groups.join(labels.select(F.col("node").alias("cls"), "component"), "cls", "left") if labels is not None else groups.withColumn("component", F.lit(None).cast("long"))
+    named = named.withColumn("component", F.coalesce("component", "cls"))
+    size = F.greatest(F.lit(32.0), F.col("n") / 2)  # bytes of a sketch at most
+    blocks = lambda one: F.ceil(F.greatest(F.sum(F.when(one, F.lit(1.0))) / BLOCK, F.sum(F.when(one, size)) / BLOCK_BYTES)).cast("int")
+    spans = named.groupBy("hub").agg(F.min("component").alias("x"), F.max("component").alias("y"), blocks(F.col("inner")).alias("ps"), blocks(F.lit(True)).alias("qs"))
+    salted = spans.where("x < y AND ps > 0").select("hub", "ps", "qs", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))  # a long group meets its row in several tasks
+    rows = named.withColumn("salt", F.pmod(F.xxhash64("cls", F.lit(1)), F.lit(SALTS)).cast("int")).join(salted, ["hub", "salt"]).join(classes.select("cls", "sketch"), "cls")
+    rows = rows.withColumn("own_p", F.pmod(F.xxhash64("cls", F.lit(2)), "ps").cast("int")).withColumn("own_q", F.pmod(F.xxhash64("cls"), "qs").cast("int"))
+    across = F.transform(F.sequence(F.lit(0), F.col("ps") - 1), lambda p: F.struct(p.alias("p"), F.col("own_q").alias("q")))
+    down = F.transform(F.sequence(F.lit(0), F.col("qs") - 1), lambda q: F.struct(F.col("own_p").alias("p"), q.alias("q")))
+    rows = rows.withColumn("cell", F.explode(F.when(F.col("inner"), F.array_union(across, down)).otherwise(across)))
+    left, right = F.col("inner") & (F.col("cell.p") == F.col("own_p")), F.col("cell.q") == F.col("own_q")
+    return rows.select("hub", "cell.p", "cell.q", "cls", "component", "n", left.alias("left"), right.alias("right"), "sketch")
+
+
+def near(comp: np.ndarray, n: np.ndarray, sketches: list[bytes], left: np.ndarray, right: np.ndarray, nearest: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Places of pairs of different components, one of ``left`` and one of ``right``, that sizes and sketches don't rule out. ``nearest``: for each place one with the fewest
     different bits, if any."""
     order = np.argsort(n, kind="stable")
-    comp, n, own = comp[order], n[order], None if own is None else own[order]
+    comp, n, left, right = comp[order], n[order], left[order], right[order]
     widths = np.fromiter((len(sketches[k]) for k in order.tolist()), np.int64, len(order))
     tables, first = {}, {}
     for w in np.unique(widths).tolist():
@@ -228,7 +260,8 @@ def near(comp: np.ndarray, n: np.ndarray, sketches: list[bytes], own: np.ndarray
         tables[w], first[w] = np.frombuffer(b"".join([sketches[k] for k in order[at].tolist()]), np.uint8).reshape(-1, w), int(at[0])
     double = {w: folded(tables[2 * w]) for w in tables if 2 * w in tables}
     most = np.searchsorted(n, n * DENOMINATOR // NUMERATOR, side="right")
-    left, right = [], []
+    sides = np.flatnonzero(left), np.flatnonzero(right)
+    first_of, second_of = [], []
     best, partner = np.full(len(n), np.iinfo(np.int64).max), np.full(len(n), -1)
     for k in range(len(n) - 1):
         w = int(widths[k])
@@ -239,7 +272,12 @@ def near(comp: np.ndarray, n: np.ndarray, sketches: list[bytes], own: np.ndarray
             a, b = max(k + 1, first[width]), min(int(most[k]), first[width] + len(table))
             if a >= b:
                 continue
-            at = a + np.flatnonzero(comp[a:b] != comp[k] if own is None else (comp[a:b] != comp[k]) & (own[a:b] != own[k]))
+            if left[k] and right[k]:
+                at = a + np.flatnonzero(comp[a:b] != comp[k])
+            else:
+                side = sides[1 if left[k] else 0]
+                at = side[np.searchsorted(side, a) : np.searchsorted(side, b)]
+                at = at[comp[at] != comp[k]]
             if not len(at):
                 continue
             rows = table[at - first[width]] if len(at) < b - a else table[a - first[width] : b - first[width]]
@@ -253,13 +291,13 @@ def near(comp: np.ndarray, n: np.ndarray, sketches: list[bytes], own: np.ndarray
                 if gap[j] < best[k]:
                     best[k], partner[k] = gap[j], at[j]
             elif len(at):
-                left.append(np.full(len(at), k))
-                right.append(at)
+                first_of.append(np.full(len(at), k))
+                second_of.append(at)
     if nearest:
         k = np.flatnonzero(partner >= 0)
         return order[k], order[partner[k]]
     none = np.zeros(0, np.int64)
-    return (order[np.concatenate(left)], order[np.concatenate(right)]) if left else (none, none)
+    return (order[np.concatenate(first_of)], order[np.concatenate(second_of)]) if first_of else (none, none)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, least_shares: int = 8, classes_per_share: int = 4096) -> DataFrame:
@@ -306,14 +344,18 @@ def join(docs: DataFrame, *, heavy_share: float = 0.001, most_heavy: int = 1_000
     sizes = classes.groupBy(F.least("n", F.lit(MOST_SMALL + 1)).alias("n")).count().collect()
     boundary = boundary_by_cost(mean, {r.n: r["count"] for r in sizes})
     lists = written(shared_lists(_entries(docs, heavy, boundary)))
-    groups = written(_groups(lists))
-    release(lists)
+    grouped = _groups(lists)
+    groups = written(grouped.join(classes.select("cls", "n"), "cls"))
+    release(lists, grouped._release)
     labels = links = texts = None
     for turn in range(turns + 1):
         pairs = written(_pairs(groups, classes, labels, nearest=turn < turns))
         if turn == 0:  # who has no near class in its first turn has none later
-            needed = classes.join(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "cls").select("cls", F.col("doc_id").alias("__id"), F.col("th").alias("__th"))
+            whole, near_ones = groups, written(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct())
+            groups = written(whole.join(near_ones, "cls", "left_semi"))
+            needed = classes.join(near_ones, "cls").select("cls", F.col("doc_id").alias("__id"), F.col("th").alias("__th"))
             texts = written(docs.join(needed, docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__th"))).select("cls", "text").dropDuplicates(["cls"]))
+            release(whole, near_ones)
         if pairs.limit(1).count() == 0:
             release(pairs)
             if turn < turns:  # nothing is near across components, so the last turn would find nothing either

@@ -375,18 +375,61 @@ def test_near_pairs_are_all_that_sketches_allow():
     r = np.random.default_rng(4)
     base = r.integers(0, 1 << 63, 700, dtype=np.uint64)
     sets = [np.unique(np.concatenate([base[: int(r.integers(80, 700))], r.integers(0, 1 << 63, int(r.integers(0, 60)), dtype=np.uint64)])) for _ in range(60)]
-    n, comp, own = np.array([len(s) for s in sets]), r.integers(0, 20, 60), r.integers(0, 2, 60)
+    n, comp, side = np.array([len(s) for s in sets]), r.integers(0, 20, 60), r.integers(0, 3, 60)
     sketches = [jaccard_join.sketch(s) for s in sets]
     links = {(i, j) for i in range(60) for j in range(60) if jaccard_join.linked(sets[i], sets[j])}
-    for which in (None, own):
-        i, j = jaccard_join.near(comp, n, sketches, which, False)
+    for left, right in ((side >= 0, side >= 0), (side == 0, side >= 0), (side != 1, side != 0)):
+        i, j = jaccard_join.near(comp, n, sketches, left, right, False)
         got = {(a, b) for a, b in zip([*i, *j], [*j, *i], strict=True)}
-        across = {(a, b) for a, b in links if comp[a] != comp[b] and (which is None or which[a] != which[b])}
+        across = {(a, b) for a, b in links if comp[a] != comp[b] and (left[a] and right[b] or left[b] and right[a])}
         assert across <= got and len(across) > 20 and all(comp[a] != comp[b] for a, b in got)
-        i, j = jaccard_join.near(comp, n, sketches, which, True)
+        assert all(left[a] and right[b] or left[b] and right[a] for a, b in got)
+        i, j = jaccard_join.near(comp, n, sketches, left, right, True)
         assert set(i) == {a for a, _ in got} and set(zip(i, j, strict=True)) <= got
 
 
+def from_template(n, edits, seed, words=120):
+    r = np.random.default_rng(seed)
+    base = [f"t{k}" for k in range(words)]
+    docs = []
+    for d in range(n):
+        w = list(base)
+        for k in range(int(edits[d % len(edits)])):
+            w[int(r.integers(words))] = f"e{d}_{k}"
+        docs.append((d, " ".join(w)))
+    return docs
+
+
+@pytest.mark.parametrize("edits", [(3,), (0, 1, 2, 3, 4)])
+def test_jaccard_join_of_template_texts_in_blocks(spark, edits, monkeypatch):
+    """Long groups in many cells, lists that meet a broadcast hub, classes that leave after the first turn: all against brute force."""
+    docs = from_template(250, edits, 3)
+    monkeypatch.setattr(jaccard_join, "HOT_LIST", 5)
+    monkeypatch.setattr(jaccard_join, "HOT_LISTS", 100_000)
+    for block, width in ((16, 1 << 20), (1 << 20, 1000)):
+        monkeypatch.setattr(jaccard_join, "BLOCK", block)
+        monkeypatch.setattr(jaccard_join, "BLOCK_BYTES", width)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), heavy_share=0.05).collect()}
+        assert got == brute_components(docs)
+
+
+@pytest.mark.parametrize("edits", [(3,), (2,)])
+def test_rows_of_cells_grow_with_the_texts(spark, edits, monkeypatch):
+    """Texts of one template, mostly below the threshold: four times the texts make at most five times the rows."""
+    rows, cells = {}, jaccard_join._cells
+    for n in (500, 2000):
+        rows[n] = 0
+
+        def counted(*args, n=n):
+            out = cells(*args)
+            rows[n] += out.count()
+            return out
+
+        monkeypatch.setattr(jaccard_join, "_cells", counted)
+        jaccard_join.join(spark.createDataFrame(from_template(n, edits, 5), "doc_id long, text string")).count()
+    assert rows[2000] <= 5 * max(rows[500], 400)
+
+
 @pytest.mark.parametrize("chunk", [7, 1 << 20])
 def test_word_hashes_do_not_depend_on_chunks(chunk, monkeypatch):
     from lumenaudit.llm import hashing
