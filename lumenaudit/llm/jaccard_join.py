@@ -11,7 +11,7 @@ The lists of near copies mostly agree: all lists with one least class, the hub,
 elements meet once and not once for each. Classes with an inner entry meet all of their group, in blocks of some ten thousand where it is long. Each class carries a sketch, the parities of its elements by bucket;
 where two sketches differ in more bits than a link allows elements to differ, the pair can't link and is never a row. In the first turns each
 class of a block gives the one pair with the nearest class of another component. These pairs are verified on the texts and the links'
-components labelled; last, all pairs across components that sketches don't rule out are verified. A class without a pair in its first turn has none later and leaves its groups.
+components labelled; last, all pairs across components that sketches don't rule out are verified. A class without a pair in a turn has none later and leaves its groups.
 Pairs of one component need no test, as results tell components.
 
 Null and empty texts have empty sets and link with nothing; a row of them is a component of its own. Repeated rows are equal sets, also those of one doc_id; rows of one doc_id
@@ -350,11 +350,12 @@ def join(docs: DataFrame, *, heavy_share: float = 0.001, most_heavy: int = 1_000
     labels = links = texts = None
     for turn in range(turns + 1):
         pairs = written(_pairs(groups, classes, labels, nearest=turn < turns))
-        if turn == 0:  # who has no near class in its first turn has none later
+        if turn < turns:  # components only grow: a class that is near none of another component in this turn is so in no later one
             whole, near_ones = groups, written(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct())
             groups = written(whole.join(near_ones, "cls", "left_semi"))
-            needed = classes.join(near_ones, "cls").select("cls", F.col("doc_id").alias("__id"), F.col("th").alias("__th"))
-            texts = written(docs.join(needed, docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__th"))).select("cls", "text").dropDuplicates(["cls"]))
+            if turn == 0:
+                needed = classes.join(near_ones, "cls").select("cls", F.col("doc_id").alias("__id"), F.col("th").alias("__th"))
+                texts = written(docs.join(needed, docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__th"))).select("cls", "text").dropDuplicates(["cls"]))
             release(whole, near_ones)
         if pairs.limit(1).count() == 0:
             release(pairs)
