@@ -77,21 +77,28 @@ def rate_limit(spark: SparkSession, sf: str) -> DataFrame:
     return stream.rate_limit(e, client="user_id", at_ms="at_ms", tie="event_id", window_ms=12 * 3_600_000, most=3).select("event_id", "user_id", "accepted")
 
 
+#: Sitemaps of a site's pages: with the one that robots.txt names as many as an audit follows. Each counts up to its byte limit.
+PARTS = 14
+
+
 @query(f"""WITH p AS (SELECT DISTINCT {DOMAIN} AS site_id, page_id FROM pages), n AS (SELECT site_id, min(page_id) AS k, count(*) AS pages FROM p GROUP BY 1)
 SELECT site_id, k % 3 > 0 AS robots_found, k % 2 = 0 AS llms_found, CASE WHEN k % 2 = 0 THEN least(500000, k * 7001 % 600000 + 1) ELSE 0 END::INT AS llms_length, k % 5 > 0 OR k % 3 > 0 AS sitemap_found,
 (CASE WHEN k % 5 > 0 THEN pages ELSE 0 END + CASE WHEN k % 3 > 0 THEN 1 ELSE 0 END)::INT AS sitemap_urls FROM n""")
 def audit_auxiliary(spark: SparkSession, sf: str) -> DataFrame:
-    """Sites with files of each kind: a sitemap index that names a sitemap of all pages, and one of a single page that only robots.txt names."""
+    """Sites with files of each kind: a sitemap index that names the sitemaps of all pages, as many as an audit follows, and one of a single page that only robots.txt names."""
     p = table(spark, sf, "pages").select(urls.domain(c("url")).alias("site_id"), "page_id")
     loc = F.concat(F.lit("<loc> /p/"), c("page_id").cast("string"), F.lit(" </loc>"))
-    n = p.groupBy("site_id").agg(F.min("page_id").alias("k"), F.array_join(F.collect_set(loc), "\n").alias("locs"))
+    n = p.groupBy("site_id").agg(F.min("page_id").alias("k"))
+    parts = p.groupBy("site_id", F.pmod("page_id", F.lit(PARTS)).alias("part")).agg(F.array_join(F.collect_set(loc), "\n").alias("locs")).where("part IS NOT NULL")
     home = F.concat(F.lit("https://"), "site_id")
     sites = n.select("site_id", F.concat(home, F.lit("/")).alias("start_url"))
     robots = n.where("k % 3 > 0").select("site_id", F.concat(F.lit("User-agent: *\nSitemap: "), home, F.lit("/more.xml")).alias("body"))
     llms = n.where("k % 2 = 0").select("site_id", F.repeat(F.lit("x"), (c("k") * 7001 % 600_000 + 1).cast("int")).alias("body"))
     file = lambda rows, name, body: rows.select("site_id", F.concat(home, F.lit(name)).alias("url"), F.concat(*(F.lit(b) if isinstance(b, str) else b for b in body)).alias("body"))
-    main = file(n.where("k % 5 > 0"), "/sitemap.xml", ("<sitemapindex><loc>/pages.xml</loc><loc>/sitemap.xml</loc></sitemapindex>",))
-    files = main.unionByName(file(n, "/pages.xml", ("<urlset>", c("locs"), "<loc>mailto:x</loc></urlset>"))).unionByName(file(n, "/more.xml", ("<urlset><loc>https://", c("site_id"), "/more</loc></urlset>",)))
+    named = "".join(f"<loc>/pages{k}.xml</loc>" for k in range(PARTS))
+    main = file(n.where("k % 5 > 0"), "/sitemap.xml", (f"<sitemapindex>{named}<loc>/sitemap.xml</loc></sitemapindex>",))
+    listed = parts.select("site_id", F.concat(home, F.lit("/pages"), c("part").cast("string"), F.lit(".xml")).alias("url"), F.concat(F.lit("<urlset>"), "locs", F.lit("<loc>mailto:x</loc></urlset>")).alias("body"))
+    files = main.unionByName(listed).unionByName(file(n, "/more.xml", ("<urlset><loc>https://", c("site_id"), "/more</loc></urlset>",)))
     return whole.auxiliary(sites, robots, llms, files).select("site_id", "robots_found", "llms_found", "llms_length", "sitemap_found", "sitemap_urls")
 
 
