@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from lumenaudit.operators import frontier
-from lumenaudit.plans import operator_queries
+from lumenaudit.plans import operator_queries, registry
+from lumenaudit.sources.html_tokens import parse_pages
 
 
 def _above_generate(df):
@@ -23,3 +24,15 @@ def test_sitemap_tree_looks_at_a_body_once(spark):
     found = frontier._locations(docs)
     assert "RLIKE (?i)<sitemapindex" not in _above_generate(found) and "body" not in _above_generate(found)
     assert {r["loc"] for r in found.collect()} == {"https://a/x", "https://a/y"}
+
+
+def test_robots_gate_weighs_rules_as_its_sql(spark, tmp_path):
+    at = lambda k, path: (k, f"https://h.example{path}", "")
+    spark.createDataFrame([at(3, "/en/123"), at(4, "/en/12345.html"), at(5, "/fr/2.html"), at(6, "/fr/")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["path"]: r["allowed"] for r in registry.robots_gate(spark, str(tmp_path)).collect()}
+    assert got == {"/en/123": False, "/en/12345.html": False, "/fr/2.html": True, "/fr/": False}
+
+
+def test_words_before_a_reference_arent_references(spark):
+    page = spark.createDataFrame([(1, "<body>Reth&amp; x</body>")], "page_id long, html string")
+    assert parse_pages(page, ["page_id"]).first()["text"] == "Reth& x"
