@@ -36,3 +36,20 @@ def test_robots_gate_weighs_rules_as_its_sql(spark, tmp_path):
 def test_words_before_a_reference_arent_references(spark):
     page = spark.createDataFrame([(1, "<body>Reth&amp; x</body>")], "page_id long, html string")
     assert parse_pages(page, ["page_id"]).first()["text"] == "Reth& x"
+
+
+def test_running_knows_the_next_values(spark):
+    from lumenaudit.operators.ordered import running
+
+    rows = spark.range(0, 1000, numPartitions=7).selectExpr("id", "id % 3 % 2 AS k", "IF(id % 5 = 0, NULL, id) AS v")
+    got = {r["id"]: r for r in running(rows, "k", [F.col("id")], lasts={"before": F.col("v")}, nexts={"after": F.col("v")}).collect()}
+    for k in (0, 1):
+        ids = [x for x in range(1000) if x % 3 % 2 == k]
+        for x in ids:
+            assert got[x]["after"] == next((y for y in ids if y > x and y % 5), None) and got[x]["before"] == next((y for y in reversed(ids) if y < x and y % 5), None)
+
+
+def test_competitor_gaps_compares_with_the_next_site(spark, tmp_path):
+    spark.createDataFrame([(1, "https://a.example/", ""), (2, "https://b.example/", ""), (3, "https://b.example/x", ""), (4, "https://c.example/", "")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["site_id"]: (r["domain"], r["gaps"] != "", r["advantages"] != "") for r in registry.competitor_gaps(spark, str(tmp_path)).collect()}
+    assert got == {"a.example": ("b.example", True, False), "b.example": ("c.example", False, True), "c.example": ("none", False, False)}
