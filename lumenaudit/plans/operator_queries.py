@@ -12,7 +12,7 @@ from lumenaudit.operators.scoring import CATEGORIES, ORDER, VERTICALS
 from lumenaudit.plans import audit as whole
 from lumenaudit.plans.registry import DOMAIN, ORACLES, c, page_links_same_site, plan_pages, query
 from lumenaudit.plans.report_queries import FOUND_SQL, POINTS, VARIED, scored
-from lumenaudit.sources.storage import shared_folder
+from lumenaudit.sources.storage import shared_folder, stored
 from lumenaudit.sources.tables import table
 from lumenaudit.streaming import progress as stream
 
@@ -61,7 +61,7 @@ d AS (SELECT *, row_number() OVER (PARTITION BY site_id, same ORDER BY part, n)
 SELECT site_id, (row_number() OVER (PARTITION BY site_id ORDER BY part, n) - 1)::INT AS ord, id, impact, effort, source FROM d WHERE r = 1""")
 def general_tasks_dedupe(spark: SparkSession, sf: str) -> DataFrame:
     """Tasks of findings and of a roadmap that repeats an action in other letters."""
-    s = scored(spark, sf)
+    s = stored(scored(spark, sf).select("site_id", "k", "findings"))
     row = "struct<phase_no:int,phase:string,title:string,action_no:int,action:string>"
     actions = F.expr(f"CAST(array(struct(0, 'Now', 'Fix', 0, 'Do it'), struct(0, 'Now', 'fix', 1, 'do IT'), struct(2, '', '', 0, 'Later')) AS array<{row}>)")
     roadmap = s.where("k % 2 = 0").select("site_id", F.explode(actions).alias("a")).select("site_id", "a.*")
@@ -198,7 +198,7 @@ e AS (SELECT site_id, 1 AS n, (impact = 'High')::INT AS high FROM g WHERE ord <
 SELECT site_id, sum(n)::BIGINT AS total_tasks, sum(high)::BIGINT AS high_impact_tasks FROM e GROUP BY 1""")
 def action_plan_totals(spark: SparkSession, sf: str) -> DataFrame:
     """All three parts of the plan together: general and category tasks of the customers' sites, page plans of the snapshot's."""
-    s = scored(spark, sf)
+    s = stored(scored(spark, sf).select("site_id", "k", "categories", "findings"))
     row = "struct<phase_no:int,phase:string,title:string,action_no:int,action:string>"
     actions = F.expr(f"CAST(array(struct(0, 'Now', 'Fix', 0, 'Do it'), struct(0, 'Now', 'fix', 1, 'do IT'), struct(2, '', '', 0, 'Later')) AS array<{row}>)")
     roadmap = s.where("k % 2 = 0").select("site_id", F.explode(actions).alias("a")).select("site_id", "a.*")

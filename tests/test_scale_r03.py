@@ -1,11 +1,18 @@
 """What the third review found: larger sites, and steps whose work grew faster than their input."""
 
+from pathlib import Path
+
+import pytest
 from pyspark.sql import functions as F
 
-from lumenaudit.operators import frontier
-from lumenaudit.plans import operator_queries, registry
+from lumenaudit.operators import frontier, tasks
+from lumenaudit.operators.scoring import score_sites
+from lumenaudit.plans import operator_queries, registry, report_queries
+from lumenaudit.plans.audit import example_site
 from lumenaudit.sources.html_tokens import parse_pages
 
+SMALL = Path("/root/testdata/sf0.001")
+
 
 def _above_generate(df):
     """The lines of the optimized plan above its generator."""
@@ -53,3 +60,13 @@ def test_competitor_gaps_compares_with_the_next_site(spark, tmp_path):
     spark.createDataFrame([(1, "https://a.example/", ""), (2, "https://b.example/", ""), (3, "https://b.example/x", ""), (4, "https://c.example/", "")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got = {r["site_id"]: (r["domain"], r["gaps"] != "", r["advantages"] != "") for r in registry.competitor_gaps(spark, str(tmp_path)).collect()}
     assert got == {"a.example": ("b.example", True, False), "b.example": ("c.example", False, True), "c.example": ("none", False, False)}
+
+
+def test_category_tasks_need_no_shuffle(spark):
+    plan = tasks.category_tasks(score_sites(example_site(spark)))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
+
+
+@pytest.mark.skipif(not SMALL.exists(), reason="needs the driver's tables")
+def test_signals_of_varied_sites_come_from_all_cores(spark):
+    assert len(report_queries.scored(spark, str(SMALL)).inputFiles()) > 1
