@@ -96,8 +96,8 @@ def roadmap() -> Column:
     return F.array(phase("Now", first, 1), phase("Next", F.lit("Strengthen evidence quality"), 3))
 
 
-def response(sites: DataFrame) -> DataFrame:
-    """One row per site. sites: scored sites with ``findings`` and the input's ``company_name, industry, city`` (empty where not given)."""
+def response(sites: DataFrame, *more: Column) -> DataFrame:
+    """One row per site, with ``more`` columns. sites: scored sites with ``findings`` and the input's ``company_name, industry, city`` (empty where not given)."""
     given = lambda name: F.coalesce(c(name), F.lit(""))
     industry = F.when(given("industry") != "", c("industry")).otherwise("this category")
     target = F.when(given("city") != "", F.concat(industry, F.lit(" in "), c("city"))).otherwise(industry)
@@ -124,7 +124,7 @@ def response(sites: DataFrame) -> DataFrame:
         F.transform(top, lambda f: F.struct(f["title"].alias("title"), f["recommendation"].alias("description"), F.when(f["severity"] == "high", "1-3 hours").otherwise("30-90 minutes").alias("time_estimate"))).alias("quick_wins"),
         F.concat(F.lit("For "), target, F.lit(INSIGHT)).alias("industry_insight"),
         F.array(*(F.struct(F.lit(label).alias("label"), c(k).alias("score"), F.lit(text).alias("explanation")) for label, k, text in NARRATIVE)).alias("score_narrative"),
-        roadmap().alias("roadmap"), F.array(F.lit(CAVEAT)).alias("caveats"), band(c("overall")).alias("band"), tone(c("overall")).alias("tone"),
+        roadmap().alias("roadmap"), F.array(F.lit(CAVEAT)).alias("caveats"), band(c("overall")).alias("band"), tone(c("overall")).alias("tone"), *more,
     )
 
 
