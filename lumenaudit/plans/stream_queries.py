@@ -16,13 +16,23 @@ from lumenaudit.streaming import progress as events_of
 c = F.col
 
 
+#: Rows of a file, at least, where a part of a stream comes in several.
+FILE_ROWS = 10_000
+
+
 def arriving(rows: DataFrame, part: F.Column, parts: int) -> DataFrame:
-    """The rows as a stream that brings one part after another."""
+    """The rows as a stream that brings one part after another, each in as many files: they are written and read by all cores."""
     spark, folder = rows.sparkSession, shared_folder(rows.sparkSession)
     numbered = stored(rows.withColumn("__part", part))
+    sizes = {r["__part"]: r["count"] for r in numbered.groupBy("__part").count().collect()}  # a row a part
+    # so few files that each has rows of each part: a file without rows would not be written
+    files = max(1, min(2 * spark.sparkContext.defaultParallelism, *(sizes.get(k, 0) // FILE_ROWS for k in range(parts))))
     for k in range(parts):
-        numbered.where(c("__part") == k).drop("__part").coalesce(1).write.mode("append").parquet(folder)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        mine = numbered.where(c("__part") == k).drop("__part")
+        (mine.repartition(files) if files > 1 else mine.coalesce(1)).write.mode("append").parquet(folder)
+        if len(spark.read.schema(rows.schema).parquet(folder).inputFiles()) != files * (k + 1):
+            raise ValueError("a part of the stream has another number of files")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
 def landed(stream: DataFrame) -> DataFrame:

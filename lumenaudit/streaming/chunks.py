@@ -41,18 +41,18 @@ def chunk_lines(chunks: DataFrame) -> DataFrame:
 
 
 class Joined(StatefulProcessor):
-    """State of a run: the number of its next chunk and line, and the bytes of its open line; chunks that came too early wait by number."""
+    """State of a run: the number of its next chunk and line, the bytes of its open line, and how many chunks that came too early wait in a list, which is read and written as a whole."""
 
     def __init__(self, ttl_ms: int):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.open = handle.getValueState("open", "next long, line long, tail binary", self.ttl_ms)
-        self.early = handle.getMapState("early", "seq long", "data binary, last boolean", self.ttl_ms)
+        self.open = handle.getValueState("open", "next long, line long, tail binary, early long", self.ttl_ms)
+        self.early = handle.getListState("early", "seq long, data binary, last boolean", self.ttl_ms)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        number, line, tail = self.open.get() if self.open.exists() else (0, 0, b"")
-        waiting = {k[0]: (bytes(v[0]), v[1]) for k, v in self.early.iterator()} if self.early.exists() else {}
+        number, line, tail, early = self.open.get() or (0, 0, b"", 0)
+        waiting = {k: (bytes(data), last) for k, data, last in self.early.get()} if early else {}
         held = set(waiting)
         for df in rows:
             for seq, data, last in zip(df["seq"], df["data"], df["last"], strict=True):
@@ -71,11 +71,13 @@ class Joined(StatefulProcessor):
                 if (text := x.decode("utf-8", "replace")).strip():
                     out.append((line, text))
                 line += 1
-        for seq in held - waiting.keys():
-            self.early.removeKey((seq,))
-        for seq in waiting.keys() - held:
-            self.early.updateValue((seq,), waiting[seq])
-        self.open.update((number, line, bytes(tail)))
+        come = [(seq, *waiting[seq]) for seq in sorted(waiting.keys() - held)]
+        if held - waiting.keys():
+            self.early.clear()
+            come = [(seq, *waiting[seq]) for seq in sorted(waiting)]
+        if come:
+            self.early.appendList(come)
+        self.open.update((number, line, bytes(tail), len(waiting)))
         if out:
             yield pd.DataFrame({"run_id": [key[0]] * len(out), "line": [x[0] for x in out], "value": pd.Series([x[1] for x in out], dtype=object)})
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenaudit.operators import frontier, tasks
 from lumenaudit.operators.scoring import score_sites
-from lumenaudit.plans import operator_queries, registry, report_queries
+from lumenaudit.plans import operator_queries, registry, report_queries, stream_queries
 from lumenaudit.plans.audit import example_site
 from lumenaudit.sources.html_tokens import parse_pages
 
@@ -70,3 +70,10 @@ def test_category_tasks_need_no_shuffle(spark):
 @pytest.mark.skipif(not SMALL.exists(), reason="needs the driver's tables")
 def test_signals_of_varied_sites_come_from_all_cores(spark):
     assert len(report_queries.scored(spark, str(SMALL)).inputFiles()) > 1
+
+
+def test_parts_of_a_stream_come_in_several_files(spark):
+    seen = []
+    stream = stream_queries.arriving(spark.range(0, 60_000).withColumn("x", F.col("id") % 3), F.col("x"), 3)
+    stream.writeStream.foreachBatch(lambda df, n: seen.append((n, df.count(), [r["x"] for r in df.select("x").distinct().collect()], df.select(F.input_file_name()).distinct().count()))).trigger(availableNow=True).start().awaitTermination()
+    assert seen == [(k, 20_000, [k], 2) for k in range(3)]
