@@ -77,3 +77,35 @@ def test_parts_of_a_stream_come_in_several_files(spark):
     stream = stream_queries.arriving(spark.range(0, 60_000).withColumn("x", F.col("id") % 3), F.col("x"), 3)
     stream.writeStream.foreachBatch(lambda df, n: seen.append((n, df.count(), [r["x"] for r in df.select("x").distinct().collect()], df.select(F.input_file_name()).distinct().count()))).trigger(availableNow=True).start().awaitTermination()
     assert seen == [(k, 20_000, [k], 2) for k in range(3)]
+
+
+def test_mentions_find_what_matches_finds(spark):
+    from lumenaudit.functions import text as tx
+    from lumenaudit.operators import pages, sites
+    from lumenaudit.operators.sites_text import TEXT_FLAGS, freshness
+
+    patterns = [*TEXT_FLAGS.values(), freshness(2024), pages.FAQ, sites.COMPARISON, *(p for _, p in pages.PAGE_TYPES), "ab?|x{0}y|c[|(]d|e\\|f|(?:g|h)i"]
+    assert tx.alternatives(patterns[-1]) == ["ab?", "x{0}y", "c[|(]d", "e\\|f", "(?:g|h)i"] and "how long" in tx.alternatives(TEXT_FLAGS["has_direct_answers"])
+    words = [w for p in patterns for w in tx.alternatives(p)] + ["12 Oak St", "STEP 4", "Connector", "2024", "12024", "Q&A", "q&ab", "vs", "vsx", "mon \n-", "Monday -", "slacK", "İSO", "PRİCE", "é", "", "a", "y", "c|d", "E|F", "HI"]
+    rows = spark.createDataFrame([(f"{a} {w}{b}",) for w in words for a in ("", "ü ") for b in ("", ".", "s")] + [(None,)], "t string").withColumn("low", tx.folded(F.col("t")))
+    assert rows.where(F.concat_ws(",", *(~tx.matches(F.col("t"), p).eqNullSafe(tx.mentions(F.col("t"), F.col("low"), p)) for p in patterns)).contains("true")).count() == 0
+
+
+def test_site_flags_look_words_up(spark):
+    """A text is matched against few patterns; before, against each of them."""
+    from lumenaudit.operators import site_flags
+    from lumenaudit.operators.sites_text import TEXT_FLAGS, freshness
+
+    text = spark.createDataFrame([("now in 2023",)], "text string")
+    tests = site_flags._tests(F.col("text"), TEXT_FLAGS | {"has_freshness": freshness(2024)})
+    plan = site_flags._low(text).select(*(v.alias(k) for k, v in tests.items()))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") < 14 and plan.count("lower(") == 1
+
+
+def test_values_of_a_site_dont_meet_in_one_row(spark):
+    from lumenaudit.operators.sites import distinct_values
+
+    rows = [("a", 2, [["X", "Y"], ["X"]], ["p", "q"]), ("a", 1, [["Z"], ["Y"]], [f"l{k:02}" for k in range(40)]), ("b", 1, [], [])]
+    pages = spark.createDataFrame([(s, o, [(t,) for t in ts], v, v, v) for s, o, ts, v in rows], "site_id string, ord int, nodes array<struct<types:array<string>>>, same_as array<string>, phones array<string>, emails array<string>")
+    types, same_as, phones, emails = ({r[0]: r[1] for r in df.collect()} for df in distinct_values(pages))
+    assert types == {"a": ["Z", "Y", "X"]} and same_as == {"a": [f"l{k:02}" for k in range(30)]} and phones == emails == {"a": 42}
