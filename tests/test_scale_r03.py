@@ -109,3 +109,13 @@ def test_values_of_a_site_dont_meet_in_one_row(spark):
     pages = spark.createDataFrame([(s, o, [(t,) for t in ts], v, v, v) for s, o, ts, v in rows], "site_id string, ord int, nodes array<struct<types:array<string>>>, same_as array<string>, phones array<string>, emails array<string>")
     types, same_as, phones, emails = ({r[0]: r[1] for r in df.collect()} for df in distinct_values(pages))
     assert types == {"a": ["Z", "Y", "X"]} and same_as == {"a": [f"l{k:02}" for k in range(30)]} and phones == emails == {"a": 42}
+
+
+def test_scores_are_planned_apart_from_the_joins_of_a_site(spark):
+    from lumenaudit.plans import audit as whole
+
+    pages = spark.createDataFrame([(1, "https://a.example/", "<title>One</title>"), (2, "https://b.example/b", None)], "page_id long, url string, html string")
+    out = whole.audit(whole.signals_of(whole.snapshot(pages)), as_of_year=2024)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    assert sorted((r.site_id, r.page_count) for r in out.select("site_id", "page_count").collect()) == [("a.example", 1), ("b.example", 1)]
